@@ -72,7 +72,13 @@ class Scratch:
         """Write `df` and return the written table."""
         path = f"{self.base}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(freed, None)
+        self.spark.conf.set(freed, "true")  # shuffle files go once the table is written
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(freed, before) if before is not None else self.spark.conf.unset(freed)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
