@@ -30,6 +30,7 @@ import re
 import struct
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -350,29 +351,38 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "d
     return source.mapInArrow(run, f"id {tokens.schema[id_col].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass over the texts, keeping digests instead of ids and text.
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass over the texts, keeping digests instead of the text.
 
-    Returns `id_col`, n_tokens long, ids_sha256 string, decoded_sha256 string.
+    Returns `id_col`, n_tokens long, ids_sha256 string, decoded_sha256 string,
+    and with `with_ids` also ids array<int>.
     """
     ship(docs.sparkSession)
 
     def run(batches):
         c = codec(vocabulary, pattern)
         for b in slices(batches):
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, kept = [], [], [], []
             for t in b.column(1).to_pylist():
                 packed = c.encode_packed(t)
                 ids = struct.unpack(f"<{len(packed) // 4}I", packed)
                 n.append(len(ids))
+                if with_ids:
+                    kept.append(packed)
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 digest = hashlib.sha256()
                 for part in c.decode_stream(ids):
                     digest.update(part.encode("utf-8"))
                 text_sha.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(kept), "<i4"))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = source.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    out = source.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)

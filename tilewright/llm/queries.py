@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, line_dedup, mixing, ngram_join, quality, topk, url_filter
+from . import ann, bpe, html_text, line_dedup, mixing, ngram_join, pii, quality, topk, url_filter
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 #: Verdict, host, path.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_personal_data": op4_personal_data,
     "op5_url_filter": op5_url_filter,
     "op6_html_text": op6_html_text,
     "op7_byte_bpe": op7_byte_bpe,
