@@ -1,10 +1,363 @@
-"""Every query of the engine by name, with the SQL that gives the same rows."""
+"""Every query of the engine by name, with the SQL that gives the same rows.
+
+The canonical raster of the tests is `px`: one row of 64 samples in 0..255 for
+each row of the embeddings table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import tags, text
+from .operators import index, raster
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: The raster in SQL; every oracle over pixels begins with it.
+PX = "WITH px AS (SELECT CAST(vec_id AS BIGINT) AS y, r.x AS x, CAST(floor(abs(CAST(embedding[r.x + 1] AS DOUBLE)) * 255) AS BIGINT) % 256 AS u FROM embeddings, range(64) r(x))"
+WIDTH = 64
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.from_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster with gaps: y, x, u from order lines; of samples set twice the largest counts."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 4096).alias("y"), F.col("l_linenumber").cast("bigint").alias("x"), F.col("l_quantity").cast("bigint").alias("u"))
+    return rows.groupBy("y", "x").agg(F.max("u").alias("u"))
+
+
+@query(PX + " SELECT x % 4 AS c, CAST(sum(u) AS BIGINT) AS total, count(*) AS samples FROM px GROUP BY 1")
+def channel_mean(spark, sf_dir):
+    return raster.channel_totals(raster.with_channel(pixels(spark, sf_dir), 4))
+
+
+@query(PX + " SELECT y - 10 AS y, x - 5 AS x, u FROM px WHERE y >= 10 AND y < 90 AND x >= 5 AND x < 45")
+def region_read(spark, sf_dir):
+    return raster.region(pixels(spark, sf_dir), 5, 10, 40, 80)
+
+
+@query(PX + " SELECT g.y, g.x, coalesce(u, 7) AS u FROM (SELECT a.v AS y, b.v AS x FROM range(40) a(v), range(90) b(v)) g LEFT JOIN px ON px.y = g.y - 10 AND px.x = g.x - 15")
+def region_read_outside_filled(spark, sf_dir):
+    return raster.region_filled(pixels(spark, sf_dir), -15, -10, 90, 40, filler=7)
+
+
+@query(PX + " SELECT (y // 16) * 4 + x // 16 AS linear, count(*) AS samples, CAST(sum(u) AS BIGINT) AS total, min(u) AS low, max(u) AS high FROM px GROUP BY 1")
+def tile_index(spark, sf_dir):
+    t = raster.tile_index(pixels(spark, sf_dir), 16, 16, 4)
+    return t.groupBy("linear").agg(F.count("*").alias("samples"), F.sum("u").alias("total"), F.min("u").alias("low"), F.max("u").alias("high"))
+
+
+@query("SELECT v AS linear, v // 20 AS plane, (v % 20) // 4 AS ty, v % 4 AS tx, (v % 4) * 300 AS from_x, ((v % 20) // 4) * 200 AS from_y, least(300, 1000 - (v % 4) * 300) AS w, least(200, 900 - ((v % 20) // 4) * 200) AS h FROM range(60) r(v)")
+def tile_grid(spark, sf_dir):
+    return raster.tile_grid(spark, 1000, 900, 300, 200, planes=3, crop=True)
+
+
+@query("SELECT v AS linear, (v // 20 * 5 + (v % 20) // 4) * 4 + v % 4 AS again FROM range(60) r(v)")
+def tile_linear_roundtrip(spark, sf_dir):
+    g = raster.tile_grid(spark, 1000, 900, 300, 200, planes=3)
+    return g.select("linear", ((F.col("plane") * 5 + F.col("ty")) * 4 + F.col("tx")).alias("again"))
+
+
+SPARSE = "WITH s AS (SELECT l_orderkey % 4096 AS y, CAST(l_linenumber AS BIGINT) AS x, max(CAST(l_quantity AS BIGINT)) AS u FROM lineitem GROUP BY 1, 2)"
+
+
+@query(SPARSE + ", t AS (SELECT (y // 4) * 4 + x // 2 AS linear, count(*) AS n FROM s GROUP BY 1) SELECT linear, n AS set_area FROM t WHERE n = 8")
+def tile_completed(spark, sf_dir):
+    return raster.tile_coverage(sparse(spark, sf_dir), 2, 4, 4).where("completed").select("linear", "set_area")
+
+
+@query(SPARSE + " SELECT (y // 4) * 4 + x // 2 AS linear, count(*) AS set_area, 8 - count(*) AS unset_area FROM s GROUP BY 1 HAVING count(*) < 8")
+def tile_unset_area(spark, sf_dir):
+    return raster.tile_coverage(sparse(spark, sf_dir), 2, 4, 4).where("not completed").select("linear", "set_area", "unset_area")
+
+
+@query(SPARSE + " SELECT g.linear, coalesce(t.total, 0) AS total, t.linear IS NULL AS missing FROM (SELECT v AS linear FROM range(4096) r(v)) g LEFT JOIN (SELECT (y // 4) * 4 + x // 2 AS linear, CAST(sum(u) AS BIGINT) AS total FROM s GROUP BY 1) t USING (linear)")
+def missing_tile_fill(spark, sf_dir):
+    stored = raster.tile_index(sparse(spark, sf_dir), 2, 4, 4).groupBy("linear").agg(F.sum("u").alias("total"))
+    grid = raster.tile_grid(spark, 8, 4096, 2, 4).select("linear")
+    return grid.join(stored.withColumn("_has", F.lit(True)), "linear", "left").select("linear", F.coalesce("total", F.lit(0)).alias("total"), F.col("_has").isNull().alias("missing"))
+
+
+@query("SELECT CAST(max(l_linenumber) + 1 AS BIGINT) AS width, max(l_orderkey % 4096) + 1 AS height FROM lineitem")
+def map_dimensions(spark, sf_dir):
+    return sparse(spark, sf_dir).agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+@query(PX + ", p AS (SELECT y, x, u, coalesce(lag(u, 3) OVER (PARTITION BY y ORDER BY x), 0) AS b FROM px) SELECT y, x, ((u - b) % 256 + 256) % 256 AS delta FROM p")
+def predictor_encode(spark, sf_dir):
+    return raster.predictor_encode(pixels(spark, sf_dir), stride=3).select("y", "x", "delta")
+
+
+@query(PX + " SELECT y, x, u AS restored FROM px")
+def predictor_roundtrip(spark, sf_dir):
+    return raster.predictor_decode(raster.predictor_encode(pixels(spark, sf_dir), stride=3), stride=3).select("y", "x", "restored")
+
+
+LINKS = "WITH t AS (SELECT l_partkey AS off, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 8 + l_linenumber) AS n, l_orderkey * 8 + l_linenumber AS k, CAST(l_quantity AS BIGINT) AS bytes FROM (SELECT DISTINCT ON (l_orderkey * 8 + l_linenumber) * FROM lineitem ORDER BY l_orderkey * 8 + l_linenumber, l_partkey, l_quantity))"
+
+
+def links_table(spark, sf_dir) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), F.struct(F.col("l_partkey").alias("off"), F.col("l_quantity").alias("q")).alias("s"))
+    return t.groupBy("k").agg(F.min("s").alias("s")).select("k", "s.off", F.col("s.q").cast("bigint").alias("bytes"))
+
+
+@query(LINKS + " SELECT k, off, coalesce(lag(k) OVER w, -1) AS previous_same, coalesce(lead(k) OVER w, -1) AS next_same, lag(k) OVER w IS NOT NULL AS duplicate FROM t WINDOW w AS (PARTITION BY off ORDER BY k)")
+def duplicate_links(spark, sf_dir):
+    return index.duplicate_links(links_table(spark, sf_dir), [], "off", "k").select("k", "off", "previous_same", "next_same", "duplicate")
+
+
+@query(LINKS + ", o AS (SELECT off, max(bytes) AS n FROM t GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS data_bytes, count(*) AS stored_tiles FROM o")
+def dedup_data_size(spark, sf_dir):
+    return index.data_size(links_table(spark, sf_dir), [], "off", "bytes")
+
+
+@query("SELECT o_custkey AS path, o_orderkey AS off, coalesce(lead(o_orderkey) OVER w, 0) AS next_offset, lead(o_orderkey) OVER w IS NULL AS last_in_chain FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def next_ifd_chain(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("off"))
+    return index.chain(o, ["path"], "off", "off").select("path", "off", "next_offset", "last_in_chain")
+
+
+SIZED = "(SELECT o_custkey AS path, o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) % 5000 AS byte_count FROM orders)"
+
+
+def sized(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("k"), (F.floor("o_totalprice").cast("bigint") % 5000).alias("byte_count"))
+
+
+@query("SELECT path, k, byte_count, CAST(8 + coalesce(sum(byte_count + byte_count % 2) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS file_offset FROM " + SIZED)
+def offset_allocation(spark, sf_dir):
+    return index.allocate(sized(spark, sf_dir), ["path"], 8)
+
+
+@query("SELECT path, k, coalesce(k * 10000 - lag(k * 10000 + byte_count) OVER (PARTITION BY path ORDER BY k), 0) AS gap FROM " + SIZED)
+def alignment_gaps(spark, sf_dir):
+    t = sized(spark, sf_dir).withColumn("value_offset", F.col("k") * 10000)
+    return index.alignment_gaps(t, ["path"], "value_offset", "byte_count").select("path", "k", "gap")
+
+
+@query("SELECT path, CAST(sum(byte_count) + 8 AS BIGINT) AS used, max(path * 1000) AS length, greatest(max(path * 1000) - CAST(sum(byte_count) + 8 AS BIGINT), 0) AS lost, greatest(CAST(sum(byte_count) + 8 AS BIGINT) - max(path * 1000), 0) AS extra FROM " + SIZED + " GROUP BY 1")
+def file_accounting(spark, sf_dir):
+    return index.accounting(sized(spark, sf_dir).withColumn("length", F.col("path") * 1000), ["path"], "length", "byte_count")
+
+
+@query("SELECT p_brand, min(p_size) = max(p_size) AS equal, CASE WHEN min(p_size) = max(p_size) THEN min(p_size) ELSE -1 END AS common FROM part GROUP BY 1")
+def equal_bit_depth(spark, sf_dir):
+    return index.all_equal(table(spark, sf_dir, "part"), ["p_brand"], "p_size").withColumn("common", F.coalesce("common", F.lit(-1)))
+
+
+@query(PX + " SELECT x % 4 AS c, max(u) AS high FROM px GROUP BY 1")
+def max_sample(spark, sf_dir):
+    return raster.with_channel(pixels(spark, sf_dir), 4).groupBy("c").agg(F.max("u").alias("high"))
+
+
+@query(PX + ", m AS (SELECT (max(y) + 1) // 4 * 4 AS h FROM px) SELECT y // 4 AS y, x // 4 AS x, CAST(sum(u) AS BIGINT) AS total, count(*) AS samples FROM px, m WHERE y < h GROUP BY 1, 2")
+def pyramid_downscale_avg(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    height = table(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0] or 0
+    return raster.downscale(px, WIDTH, height, 4)
+
+
+DIMS = "(SELECT v AS k, 1000 + v * 37 AS w, 700 + v * 53 AS h, (1000 + v * 37) // (2 + v % 7) + v % 3 AS nw, (700 + v * 53) // (2 + v % 7) AS nh FROM range(500) r(v))"
+
+
+def dims(spark) -> DataFrame:
+    d = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 37 + 1000).alias("w"), (F.col("id") * 53 + 700).alias("h"))
+    return d.withColumns({"nw": F.expr("w div (2 + k % 7) + k % 3"), "nh": F.expr("h div (2 + k % 7)")})
+
+
+@query("SELECT k, coalesce(min(r), -1) AS ratio FROM " + DIMS + " d LEFT JOIN (SELECT CAST(v AS INTEGER) AS r FROM range(2, 33) t(v)) q ON (nw = w // r OR nw = w // r + 1) AND (nh = h // r OR nh = h // r + 1) GROUP BY 1")
+def find_ratio(spark, sf_dir):
+    return dims(spark).select("k", index.find_ratio(F.col("w"), F.col("h"), F.col("nw"), F.col("nh")).alias("ratio"))
+
+
+@query("WITH l AS (SELECT v // 6 AS slide, v % 6 AS layer, (4096 >> CAST(v % 6 AS INTEGER)) + CASE WHEN v % 11 = 10 THEN 5 ELSE 0 END AS w, (2048 >> CAST(v % 6 AS INTEGER)) AS h FROM range(300) r(v)), o AS (SELECT *, lag(w) OVER q AS pw, lag(h) OVER q AS ph FROM l WINDOW q AS (PARTITION BY slide ORDER BY layer)) SELECT slide, layer, bool_and(coalesce((w = pw // 2 OR w = pw // 2 + 1) AND (h = ph // 2 OR h = ph // 2 + 1), true)) OVER (PARTITION BY slide ORDER BY layer) AS in_pyramid FROM o")
+def layer_chain(spark, sf_dir):
+    r = spark.range(300).select(F.expr("id div 6").alias("slide"), (F.col("id") % 6).alias("layer"), F.expr("shiftright(4096, cast(id % 6 as int)) + if(id % 11 = 10, 5, 0)").alias("w"), F.expr("shiftright(2048, cast(id % 6 as int))").alias("h"))
+    return index.layer_chain(r, ["slide"]).select("slide", "layer", "in_pyramid")
+
+
+@query(PX + " SELECT y, x * 2 + s.v AS x, CASE WHEN s.v = 0 THEN u // 16 ELSE u % 16 END AS u FROM px, range(2) s(v)")
+def bit_unpack_4(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    return px.select("y", F.posexplode(F.array(F.expr("u div 16"), F.col("u") % 16)).alias("s", "u"), "x").select("y", (F.col("x") * 2 + F.col("s")).alias("x"), "u")
+
+
+@query(PX + " SELECT y, x, (u // 16) * 17 AS u FROM px")
+def rescale_depth(spark, sf_dir):
+    return pixels(spark, sf_dir).select("y", "x", raster.rescale(F.expr("u div 16"), 4, 8).alias("u"))
+
+
+@query(PX + " SELECT y, x, 255 - u AS u FROM px")
+def invert_brightness(spark, sf_dir):
+    return pixels(spark, sf_dir).select("y", "x", raster.invert(F.col("u"), 8).alias("u"))
+
+
+@query(PX + " SELECT y, x, CASE WHEN u >= 128 THEN 255 ELSE 0 END AS u FROM px")
+def bits_to_bytes(spark, sf_dir):
+    return pixels(spark, sf_dir).select("y", "x", F.when(F.col("u") >= 128, 255).otherwise(0).alias("u"))
+
+
+@query(PX + " SELECT y, x, CAST(greatest(0, least(255, floor(u * 1.5 - 20 + 0.5))) AS BIGINT) AS u FROM px")
+def contrast_linear(spark, sf_dir):
+    return pixels(spark, sf_dir).select("y", "x", raster.contrast(F.col("u"), 1.5, -20.0, 255).alias("u"))
+
+
+TRIPLE = PX + ", t AS (SELECT a.y AS y, a.x // 3 AS x, a.u AS a, b.u AS b, c.u AS c FROM px a JOIN px b ON a.y = b.y AND b.x = a.x + 1 JOIN px c ON a.y = c.y AND c.x = a.x + 2 WHERE a.x % 3 = 0 AND a.x < 63)"
+
+
+def triples(spark, sf_dir) -> DataFrame:
+    px = pixels(spark, sf_dir).where("x < 63").groupBy("y", F.expr("x div 3").alias("x"))
+    return px.agg(*[F.max(F.when(F.col("x") % 3 == i, F.col("u"))).alias(n) for i, n in enumerate("abc")])
+
+
+CLAMP = "CAST(greatest(0, least(255, floor({} + 0.5))) AS BIGINT)"
+
+
+@query(TRIPLE + " SELECT y, x, " + ", ".join(f"{CLAMP.format(e)} AS {n}" for n, e in (("r", "CAST(a AS DOUBLE) + CAST(1.402 AS DOUBLE) * (c - 128)"), ("g", "CAST(a AS DOUBLE) - CAST(0.34414 AS DOUBLE) * (b - 128) - CAST(0.71414 AS DOUBLE) * (c - 128)"), ("b", "CAST(a AS DOUBLE) + CAST(1.772 AS DOUBLE) * (b - 128)"))) + " FROM t")
+def ycbcr_to_rgb(spark, sf_dir):
+    t = triples(spark, sf_dir)
+    r, g, b = raster.ycbcr_to_rgb(F.col("a"), F.col("b"), F.col("c"))
+    return t.select("y", "x", r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+@query(TRIPLE + " SELECT y, x, CAST(CASE WHEN a = b AND b = c THEN a ELSE floor(CAST(0.299 AS DOUBLE) * a + CAST(0.587 AS DOUBLE) * b + CAST(0.114 AS DOUBLE) * c + 0.5) END AS BIGINT) AS u FROM t")
+def color_to_gray(spark, sf_dir):
+    return triples(spark, sf_dir).select("y", "x", raster.grey(F.col("a"), F.col("b"), F.col("c")).alias("u"))
+
+
+@query(PX + " SELECT y, (x % 4) * 16 + x // 4 AS x, u FROM px")
+def separate(spark, sf_dir):
+    return pixels(spark, sf_dir).select("y", raster.interleave_position(F.col("x"), 4, 16).alias("x"), "u")
+
+
+@query(PX + " SELECT y, (x % 16) * 4 + x // 16 AS x, u FROM px")
+def interleave(spark, sf_dir):
+    return pixels(spark, sf_dir).select("y", raster.interleave_position(F.col("x"), 16, 4).alias("x"), "u")
+
+
+@query(PX + " SELECT y, x // 6 AS x, x % 6 AS c, u FROM px WHERE x % 6 < 4")
+def drop_extra_channels(spark, sf_dir):
+    px = raster.with_channel(pixels(spark, sf_dir), 6)
+    return px.where("c < 4").select("y", F.expr("x div 6").alias("x"), "c", "u")
+
+
+@query(PX + " SELECT y, x // 4 AS x, string_agg(CAST(u AS VARCHAR), ',' ORDER BY x) AS channels FROM px GROUP BY 1, 2")
+def channels_to_matrix(spark, sf_dir):
+    px = pixels(spark, sf_dir).groupBy("y", F.expr("x div 4").alias("x"))
+    return px.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("x"), "u"))), lambda s: s["u"].cast("string")), ",").alias("channels"))
+
+
+@query(PX + ", m AS (SELECT *, CASE WHEN u // 64 = lag(u // 64) OVER w THEN 0 ELSE 1 END AS f FROM px WINDOW w AS (PARTITION BY y ORDER BY x)), g AS (SELECT *, sum(f) OVER (PARTITION BY y ORDER BY x) AS run FROM m) SELECT y, u // 64 AS u, min(x) AS start, count(*) AS length FROM g GROUP BY y, run, u // 64")
+def packbits_runs(spark, sf_dir):
+    return raster.runs(pixels(spark, sf_dir).withColumn("u", F.expr("u div 64")))
+
+
+@query(PX + " SELECT y, x, CASE WHEN x % 16 < 2 OR x % 16 >= 14 OR y % 16 < 2 OR y % 16 >= 14 THEN 200 ELSE u END AS u FROM px")
+def grid_overlay(spark, sf_dir):
+    return raster.overlay_grid(pixels(spark, sf_dir), 16, 16, 2, 200)
+
+
+@query(PX + " SELECT y, x, CASE WHEN y >= 20 AND y < 40 AND x >= 8 AND x < 72 THEN (y + x) % 256 ELSE u END AS u FROM px UNION ALL SELECT a.v, b.v, (a.v + b.v) % 256 FROM range(20, 40) a(v), range(64, 72) b(v)")
+def region_update(spark, sf_dir):
+    update = spark.range(20 * 64).select(F.expr("20 + id div 64").alias("y"), F.expr("8 + id % 64").alias("x"))
+    return raster.patch(pixels(spark, sf_dir), update.withColumn("u", (F.col("y") + F.col("x")) % 256))
+
+
+@query()
+def connected_components(spark, sf_dir):
+    return raster.connected_components(pixels(spark, sf_dir).where("u >= 32"), min_area=2)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def semi_in_chain(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def anti_out_of_bounds(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+
+
+@query("SELECT doc_id, len(p) AS pieces, p[1] AS first_piece FROM (SELECT doc_id, CASE WHEN s[-1] = '' THEN s[:len(s) - 1] ELSE s END AS p FROM (SELECT doc_id, string_split(replace(text, '. ', chr(0)), chr(0)) AS s FROM documents))")
+def ascii_split(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", text.ascii_pieces(F.replace(F.col("text"), F.lit(". "), F.lit("\0"))).alias("p"))
+    return d.select("doc_id", F.size("p").cast("bigint").alias("pieces"), F.get("p", F.lit(0)).alias("first_piece"))
+
+
+@query("SELECT doc_id, length(replace(replace(replace(text, '. ', chr(13) || chr(10)), ',', chr(13)), chr(13) || chr(10), chr(10))) AS n, md5(replace(replace(replace(replace(text, '. ', chr(13) || chr(10)), ',', chr(13)), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents")
+def newline_normalise(spark, sf_dir):
+    raw = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit("\r\n")), F.lit(","), F.lit("\r"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.newlines(raw).alias("t"))
+    return d.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
+
+
+def slides(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", text.svs_text(F.col("p_name"), [("AppMag", F.col("p_size")), ("MPP", F.col("p_partkey") * 25), ("Brand", F.col("p_brand")), ("AppMag", F.col("p_size") + 1)]).alias("description"))
+
+
+@query("SELECT p_partkey, 'Aperio Image' || chr(10) || p_name || '|AppMag = ' || p_size || '|MPP = ' || p_partkey * 25 || '|Brand = ' || p_brand || '|AppMag = ' || (p_size + 1) AS description FROM part")
+def svs_build(spark, sf_dir):
+    return slides(spark, sf_dir)
+
+
+@query("SELECT p_partkey, trim(p_name) AS summary, 'MPP=' || p_partkey * 25 || ';Brand=' || p_brand || ';AppMag=' || (p_size + 1) AS attributes FROM part")
+def svs_attributes(spark, sf_dir):
+    s = slides(spark, sf_dir)
+    pairs = F.transform(text.svs_attributes(F.col("description")), lambda p: F.concat(p["key"], F.lit("="), p["value"]))
+    return s.select("p_partkey", text.svs_summary(F.col("description")).alias("summary"), F.array_join(pairs, ";").alias("attributes"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey * 25 AS DOUBLE) AS mpp, CAST(p_size + 1 AS DOUBLE) AS magnification, CAST(NULL AS DOUBLE) AS left_mm FROM part")
+def svs_pixel_size(spark, sf_dir):
+    s, d = slides(spark, sf_dir), F.col("description")
+    return s.select("p_partkey", text.svs_number(d, "MPP").alias("mpp"), text.svs_number(d, "AppMag").alias("magnification"), text.svs_number(d, "Left").alias("left_mm"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN left(p_name, 12) || '...' ELSE p_name END AS shown FROM part")
+def truncated_display(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.shorten(F.col("p_name"), 12).alias("shown"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({c}, '{n}')" for n, c in sorted(tags.TAGS.items(), key=lambda t: t[1])) + ") t(code, name)")
+def tag_dim_lookup(spark, sf_dir):
+    return tags.tag_table(spark)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({c}, '{n}', {str(r).lower()}, {str(w).lower()})" for n, (c, r, w) in tags.COMPRESSIONS.items()) + ") t(code, name, readable, writable)")
+def compression_support(spark, sf_dir):
+    return tags.compression_table(spark)
+
+
+@query("SELECT l_orderkey, '{' || string_agg('\"' || l_linenumber || '\":' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_linenumber, CAST(l_quantity AS BIGINT)) || '}' AS json FROM lineitem GROUP BY 1")
+def ifd_json(spark, sf_dir):
+    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("bigint").alias("v")))).alias("e"))
+    return e.select("l_orderkey", F.concat(F.lit("{"), F.array_join(F.transform("e", lambda s: F.concat(F.lit('"'), s["l_linenumber"].cast("string"), F.lit('":'), s["v"].cast("string"))), ","), F.lit("}")).alias("json"))
+
+
+@query("SELECT o_orderkey, CAST(floor(o_totalprice) AS DOUBLE) / nullif(o_custkey % 5, 0) AS value FROM orders")
+def rational_value(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.floor("o_totalprice").cast("double") / F.nullif(F.col("o_custkey") % 5, F.lit(0))).alias("value"))
