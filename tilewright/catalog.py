@@ -361,3 +361,50 @@ def ifd_json(spark, sf_dir):
 @query("SELECT o_orderkey, CAST(floor(o_totalprice) AS DOUBLE) / nullif(o_custkey % 5, 0) AS value FROM orders")
 def rational_value(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.floor("o_totalprice").cast("double") / F.nullif(F.col("o_custkey") % 5, F.lit(0))).alias("value"))
+
+
+# Files: rasters written as TIFF and read again must be the rasters.
+
+
+def _through_file(spark: SparkSession, sf_dir: str, label: str, **options) -> DataFrame:
+    """The raster after a TIFF file: y, x, u."""
+    import os
+    import tempfile
+
+    from .plans.lineage import shared_folder
+    from .sources import tiff, tiff_sink
+
+    channels = options.pop("channels", 1)
+    folder = tempfile.mkdtemp(prefix=f"{label}-", dir=shared_folder(spark))
+    px = pixels(spark, sf_dir).select(F.lit(os.path.join(folder, "raster.tif")).alias("path"), F.lit(0).alias("image"), (F.col("x") % channels).cast("int").alias("c"), "y", F.expr(f"x div {channels}").alias("x"), F.col("u").alias("v"))
+    tiff_sink.write(px, tiff_sink.Options(**options)).collect()
+    back = tiff.pixels(tiff.scan(spark, folder, "tiles"))
+    return back.select("y", (F.col("x") * channels + F.col("c")).alias("x"), F.col("v").cast("bigint").alias("u"))
+
+
+ROUND_TRIPS = {
+    "codec_none_roundtrip": dict(compression=1, tile_w=16),
+    "codec_packbits_roundtrip": dict(compression=32773, tile_w=16),
+    "codec_lzw_roundtrip": dict(compression=5, tile_w=16, predictor=2),
+    "codec_deflate_roundtrip": dict(compression=8, tile_w=16, predictor=2),
+    "codec_lzma_roundtrip": dict(compression=34925, tile_w=16),
+    "codec_zstd_roundtrip": dict(compression=50000, tile_w=16),
+    "tiff_roundtrip_tiled": dict(tile_w=32, tile_h=32, dtype="u2", channels=4),
+    "tiff_roundtrip_stripped": dict(tile_h=7, dtype="i4", compression=8, predictor=2),
+    "tiff_roundtrip_planar": dict(tile_w=16, planar=True, channels=4, compression=5),
+    "tiff_roundtrip_big_endian": dict(tile_w=16, little=False, dtype="u4", compression=8, predictor=2),
+    "tiff_roundtrip_bigtiff": dict(tile_w=16, big=True, dtype="f4", compression=50000),
+}
+
+
+def _round_trip(name: str, options: dict) -> None:
+    def run(spark, sf_dir):
+        return _through_file(spark, sf_dir, name, **options)
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = PX + " SELECT y, x, u FROM px"
+
+
+for _name, _options in ROUND_TRIPS.items():
+    _round_trip(_name, _options)

@@ -13,3 +13,17 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-checkpoint-"))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """A folder that executors and driver share, as a plain path; None: the default for temporary files (local runs)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return None
+    if not base.startswith(("file:", "/")):
+        raise ValueError(f"files need a mounted folder; spark.checkpoint.dir is {base}")
+    import os
+
+    path = "/" + base.removeprefix("file:").lstrip("/")
+    os.makedirs(path, exist_ok=True)
+    return path
