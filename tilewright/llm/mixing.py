@@ -188,5 +188,5 @@ def repeat(docs: DataFrame, **options) -> DataFrame:
     """
     id_col = options.get("id_col", "doc_id")
     taken = mix(docs, **options).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_mix_copies")).where(F.col("_mix_copies") > 0)
-    joined = docs.join(taken, docs[id_col].eqNullSafe(F.col("_mix_id")))
+    joined = docs.join(taken.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_mix_id")))
     return joined.withColumn("_mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
