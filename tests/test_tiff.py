@@ -196,3 +196,22 @@ def test_source_and_sink(spark, tmp_path):
     assert binary.count() == direct.count() > 0
     (w,) = {r.value.i[0] for r in binary.where("tag = 256").collect()}
     assert w == 7
+
+
+def test_ycbcr_tiles():
+    from tilewright.functions import kernels
+
+    grey = bytes([10, 20, 30, 40, 128, 128, 50, 60, 70, 80, 128, 128])
+    out = kernels.ycbcr_tile(grey, 4, 2, 2, 2)
+    assert out[..., 0].tolist() == [[10, 20, 50, 60], [30, 40, 70, 80]] and (out[..., 0] == out[..., 2]).all()
+    assert kernels.ycbcr_size(5, 3, 2, 2) == 3 * 2 * 6
+    red = kernels.ycbcr_tile(bytes([76, 85, 255]), 1, 1, 1, 1)[0, 0]
+    assert abs(int(red[0]) - 254) <= 2 and red[1] <= 2 and red[2] <= 2
+
+
+def test_log_luminance_tile():
+    data = bytes([128 + 0, 64, 128 + 0, 0])  # two pixels of code 0x4000: one
+    names = [c.split()[0] for c in tiff.TILES.split(", ")]
+    t = dict.fromkeys(names, 0) | dict(compression=34676, photometric=32844, w=2, h=1, width=2, height=1, tile_w=2, tile_h=1, planar=False, bits=[16], byte_order="II")
+    ((_, _, _, s),) = list(tiff.decode_rows(t, data))
+    assert np.allclose(s, 1.0, rtol=0.005)

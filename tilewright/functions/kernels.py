@@ -129,3 +129,24 @@ def encode_tile(tile: np.ndarray, *, compression: int, predictor: int, bits: lis
         raise codecs.UnsupportedCompression(f"predictor {predictor}")
     data = codecs.encode(compression, flat.tobytes(), codecs.Info(row_bytes(width, bits), flat.size, level, width, height))
     return REVERSED[np.frombuffer(data, np.uint8)].tobytes() if fill_order == 2 else data
+
+
+def ycbcr_size(width: int, height: int, cw: int, ch: int) -> int:
+    """Bytes of a tile whose chroma has one sample for cw x ch pixels."""
+    return -(-width // cw) * -(-height // ch) * (cw * ch + 2)
+
+
+def ycbcr_tile(data: bytes, width: int, height: int, cw: int, ch: int, luma=(0.299, 0.587, 0.114), reference=(0, 255, 128, 255, 128, 255)) -> np.ndarray:
+    """RGB samples of units of cw * ch luma values followed by Cb and Cr."""
+    across, down = -(-width // cw), -(-height // ch)
+    raw = np.frombuffer(data.ljust(across * down * (cw * ch + 2), b"\0"), np.uint8, across * down * (cw * ch + 2)).reshape(down, across, cw * ch + 2).astype(float)
+    y = raw[..., : cw * ch].reshape(down, across, ch, cw).transpose(0, 2, 1, 3).reshape(down * ch, across * cw)[:height, :width]
+    spread = lambda v: np.repeat(np.repeat(v, ch, 0), cw, 1)[:height, :width]
+    cb, cr = spread(raw[..., -2]), spread(raw[..., -1])
+    y = (y - reference[0]) * 255 / (reference[1] - reference[0])
+    cb = (cb - reference[2]) * 127 / (reference[3] - reference[2])
+    cr = (cr - reference[4]) * 127 / (reference[5] - reference[4])
+    r = cr * (2 - 2 * luma[0]) + y
+    b = cb * (2 - 2 * luma[2]) + y
+    g = (y - luma[2] * b - luma[0] * r) / luma[1]
+    return np.clip(np.floor(np.stack([r, g, b], -1) + 0.5), 0, 255).astype(np.uint8)

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import kernels
+from ..functions import codecs, kernels, logluv
 from . import tiff_format as fmt
 
 FILES = "path string, length bigint, is_tiff boolean, is_valid boolean, is_big boolean, byte_order string, first_ifd_offset bigint, images int, loop_offset bigint, error string"
-GEOMETRY = "width bigint, height bigint, channels int, bits array<int>, sample_format int, tile_w bigint, tile_h bigint, tiled boolean, planar boolean, compression int, predictor int, photometric int, fill_order int"
+GEOMETRY = "width bigint, height bigint, channels int, bits array<int>, sample_format int, tile_w bigint, tile_h bigint, tiled boolean, planar boolean, compression int, predictor int, photometric int, fill_order int, chroma_w int, chroma_h int"
 IFDS = "path string, global_index int, main_index int, kind string, offset bigint, next_offset bigint, entries int, in_order boolean, " + GEOMETRY + ", description string, error string"
 ENTRIES = "path string, global_index int, position int, tag int, type int, count bigint, value_offset bigint, embedded boolean, value struct<i:array<bigint>,d:array<double>,s:array<string>,b:binary,r:array<struct<num:bigint,den:bigint>>>"
 TILES = "path string, global_index int, byte_order string, k bigint, plane int, ty int, tx int, offset bigint, byte_count bigint, w int, h int, " + GEOMETRY
@@ -42,7 +42,7 @@ SCHEMAS = {"files": FILES, "ifds": IFDS, "entries": ENTRIES, "tiles": TILES}
 
 
 def _geometry_row(g: fmt.Geometry) -> tuple:
-    return (g.width, g.height, g.channels, g.bits, g.kind, g.tile_w, g.tile_h, g.tiled, g.planar, g.compression, g.predictor, g.photometric, g.fill_order)
+    return (g.width, g.height, g.channels, g.bits, g.kind, g.tile_w, g.tile_h, g.tiled, g.planar, g.compression, g.predictor, g.photometric, g.fill_order, *g.subsampling)
 
 
 def _tagged(kind: int, value) -> tuple:
@@ -94,7 +94,7 @@ def rows(table: str, path: str, data, *, permissive: bool = False, linked: tuple
         if table == "ifds":
             text = d.get("ImageDescription")
             text = "\n".join(text) if isinstance(text, list) else text
-            shape = _geometry_row(g) if g else (None,) * 13
+            shape = _geometry_row(g) if g else (None,) * 15
             yield (path, d.global_index, d.main_index, d.kind, d.offset, d.next_offset, len(d.entries), d.sorted, *shape, text, error)
         elif g is not None:
             try:
@@ -193,6 +193,14 @@ def decode_rows(t: dict, data: bytes | None, *, rescale: bool = False, invert: b
     order = "<" if t["byte_order"] == "II" else ">"
     if not data:
         tile = np.full((t["h"], t["w"], len(bits)), filler)
+    elif t["compression"] == 34676:
+        size = 4 if t["photometric"] == 32845 else 2
+        codes = logluv.unpack_planes(data, t["w"], t["h"], size)
+        tile = logluv.luv32_to_xyz(codes) if size == 4 else logluv.log16_to_y(codes)[..., None]
+    elif t["photometric"] == 6 and t["compression"] not in (6, 7, 34892) and not t["planar"]:
+        size = kernels.ycbcr_size(t["w"], t["h"], t["chroma_w"], t["chroma_h"])
+        raw = codecs.decode(t["compression"], data, codecs.Info(0, size, width=t["w"], height=t["h"]))
+        tile = kernels.ycbcr_tile(raw, t["w"], t["h"], t["chroma_w"], t["chroma_h"])
     else:
         inverted = invert and t["photometric"] in (0, 5) and t["compression"] in (1, 5, 8, 32773, 32809, 32946, 34925, 50000)
         scaled = rescale and t["photometric"] not in (3, 4)

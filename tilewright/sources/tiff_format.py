@@ -196,6 +196,7 @@ class Geometry:
     predictor: int
     photometric: int
     fill_order: int
+    subsampling: tuple[int, int] = (1, 1)
 
     @property
     def planes(self) -> int:
@@ -229,7 +230,10 @@ def geometry(d: Directory) -> Geometry:
     if tile_w <= 0 or tile_h <= 0:
         raise Damaged("empty tiles")
     photometric = d.get("PhotometricInterpretation", 1 if channels < 3 else 2)
-    return Geometry(width, height, channels, bits, formats[0], tile_w, tile_h, tiled, d.get("PlanarConfiguration", 1) == 2 and channels > 1, d.get("Compression", 1), d.get("Predictor", 1), photometric, d.get("FillOrder", 1))
+    sub = tuple(d.numbers("YCbCrSubSampling", [2, 2])) if photometric == 6 else (1, 1)
+    if len(sub) != 2 or not all(v in (1, 2, 4) for v in sub):
+        raise Damaged(f"subsampling {sub}")
+    return Geometry(width, height, channels, bits, formats[0], tile_w, tile_h, tiled, d.get("PlanarConfiguration", 1) == 2 and channels > 1, d.get("Compression", 1), d.get("Predictor", 1), photometric, d.get("FillOrder", 1), sub)
 
 
 @dataclass
