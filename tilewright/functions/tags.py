@@ -25,9 +25,9 @@ TYPES = {"BYTE": (1, 1), "ASCII": (2, 1), "SHORT": (3, 2), "LONG": (4, 4), "RATI
 #: Name: code, whether this engine reads it, whether it writes it.
 COMPRESSIONS = {
     "NONE": (1, True, True), "CCITT_RLE": (2, False, False), "CCITT_T4": (3, False, False), "CCITT_T6": (4, False, False), "LZW": (5, True, True),
-    "OLD_JPEG": (6, False, False), "JPEG": (7, False, False), "DEFLATE": (8, True, True), "NEXT": (32766, False, False), "PACK_BITS": (32773, True, True),
+    "OLD_JPEG": (6, False, False), "JPEG": (7, True, False), "DEFLATE": (8, True, True), "NEXT": (32766, False, False), "PACK_BITS": (32773, True, True),
     "THUNDER_SCAN": (32809, True, False), "PIXAR_LOG": (32909, False, False), "OLD_DEFLATE": (32946, True, True), "JPEG_2000_APERIO": (33005, False, False), "JBIG": (34661, False, False),
-    "SGI_LOG": (34676, True, False), "SGI_LOG_24": (34677, False, False), "JPEG_2000": (34712, False, False), "LOSSY_JPEG": (34892, False, False), "LZMA": (34925, True, True),
+    "SGI_LOG": (34676, True, False), "SGI_LOG_24": (34677, False, False), "JPEG_2000": (34712, False, False), "LOSSY_JPEG": (34892, True, False), "LZMA": (34925, True, True),
     "ZSTD": (50000, True, True), "WEBP": (50001, False, False),
 }
 PHOTOMETRIC = {"WHITE_IS_ZERO": 0, "BLACK_IS_ZERO": 1, "RGB": 2, "RGB_PALETTE": 3, "TRANSPARENCY_MASK": 4, "CMYK": 5, "Y_CB_CR": 6, "CIE_LAB": 8, "ICC_LAB": 9, "ITU_LAB": 10, "CFA_ARRAY": 32803, "LOG_L": 32844, "LOG_LUV": 32845}

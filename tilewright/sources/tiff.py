@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import codecs, kernels, logluv
+from ..functions import codecs, jpeg, kernels, logluv
 from . import tiff_format as fmt
 
 FILES = "path string, length bigint, is_tiff boolean, is_valid boolean, is_big boolean, byte_order string, first_ifd_offset bigint, images int, loop_offset bigint, error string"
 GEOMETRY = "width bigint, height bigint, channels int, bits array<int>, sample_format int, tile_w bigint, tile_h bigint, tiled boolean, planar boolean, compression int, predictor int, photometric int, fill_order int, chroma_w int, chroma_h int"
 IFDS = "path string, global_index int, main_index int, kind string, offset bigint, next_offset bigint, entries int, in_order boolean, " + GEOMETRY + ", description string, error string"
 ENTRIES = "path string, global_index int, position int, tag int, type int, count bigint, value_offset bigint, embedded boolean, value struct<i:array<bigint>,d:array<double>,s:array<string>,b:binary,r:array<struct<num:bigint,den:bigint>>>"
-TILES = "path string, global_index int, byte_order string, k bigint, plane int, ty int, tx int, offset bigint, byte_count bigint, w int, h int, " + GEOMETRY
+TILES = "path string, global_index int, byte_order string, k bigint, plane int, ty int, tx int, offset bigint, byte_count bigint, w int, h int, " + GEOMETRY + ", jpeg_tables binary"
 SCHEMAS = {"files": FILES, "ifds": IFDS, "entries": ENTRIES, "tiles": TILES}
 
 
@@ -99,7 +99,7 @@ def rows(table: str, path: str, data, *, permissive: bool = False, linked: tuple
         elif g is not None:
             try:
                 for p in fmt.places(d, g, length, sparse):
-                    yield (path, d.global_index, "II" if h.order == "<" else "MM", p.k, p.plane, p.ty, p.tx, p.offset, p.size, p.w, p.h, *_geometry_row(g))
+                    yield (path, d.global_index, "II" if h.order == "<" else "MM", p.k, p.plane, p.ty, p.tx, p.offset, p.size, p.w, p.h, *_geometry_row(g), d.get("JPEGTables"))
             except ValueError:
                 if not permissive:
                     raise
@@ -197,6 +197,12 @@ def decode_rows(t: dict, data: bytes | None, *, rescale: bool = False, invert: b
         size = 4 if t["photometric"] == 32845 else 2
         codes = logluv.unpack_planes(data, t["w"], t["h"], size)
         tile = logluv.luv32_to_xyz(codes) if size == 4 else logluv.log16_to_y(codes)[..., None]
+    elif t["compression"] in (7, 34892):
+        tile = jpeg.decode(data, t["jpeg_tables"])
+        if t["photometric"] == 6 and tile.shape[2] == 3:
+            tile = jpeg.to_rgb(tile)
+        elif invert and t["photometric"] == 0 and tile.shape[2] == 1:
+            tile = ~tile
     elif t["photometric"] == 6 and t["compression"] not in (6, 7, 34892) and not t["planar"]:
         size = kernels.ycbcr_size(t["w"], t["h"], t["chroma_w"], t["chroma_h"])
         raw = codecs.decode(t["compression"], data, codecs.Info(0, size, width=t["w"], height=t["h"]))
