@@ -104,6 +104,16 @@ def test_distance_and_candidates(spark, k):
     assert {(min(p), max(p)) for p in near} <= found
 
 
+def test_candidates_of_long_lines(spark):
+    """More than 128 letters of a group, so that the packed counts use every bit."""
+    rnd = random.Random(8)
+    lines = ["".join(rnd.choice("etnaiorshulbcd") for _ in range(rnd.choice([300, 900, 3000]))) for _ in range(40)] + ["b" * 200, "w" * 130 + "e" * 200]
+    lines += [s[:-1] for s in lines] + [s[:7] + "e" + s[7:] for s in lines]
+    n = len(lines) // 3
+    found = {(r.a, r.b) for r in line_dedup.candidate_pairs(spark.createDataFrame(list(enumerate(lines)), "t long, line string"), 2, 24).collect()}
+    assert {(i, j) for k in range(n) for i, j in ((k, k + n), (k, k + 2 * n), (k + n, k + 2 * n))} <= found
+
+
 def brute_lines(rows, k=line_dedup.EDITS, least=line_dedup.MIN_NEAR):
     at = {}
     for i, t, _ in sorted(rows, key=lambda r: r[0]):

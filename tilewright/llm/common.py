@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 _shipped: dict[str, str] = {}
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,19 +42,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for scratch tables: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder for scratch tables: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tilewright-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base) if _settable(spark) else None
-    return base
-
-
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
-    except Exception:  # a conf without this test: leave the setting alone
-        return False
+    if base:
+        return base
+    if "own" not in _local:
+        _local["own"] = tempfile.mkdtemp(prefix="tilewright-scratch-")
+        atexit.register(shutil.rmtree, _local["own"], ignore_errors=True)
+    return _local["own"]
 
 
 class Scratch:
