@@ -336,6 +336,25 @@ def test_html():
     assert x("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_html_table_parts():
+    x = html_text.extract
+    assert x("<table><thead><th>Name<th>Age</thead><tbody><tr><td>Al<td>7</table>") == "Name  Age\nAl    7"
+    assert x("<table><td>a<td>b<tr><td>c</table>") == "a  b\nc"
+    assert x("<table><tbody><td>x</table>") == "x" and x("<table><tr><td>1<td>2<tfoot><td>sum</table>") == "1  2\nsum"
+    assert x("<table><tbody>loose<form><tr><td>in form</form> <a>link</a></table>").split() == ["loose", "in", "form", "link"]
+    rnd = random.Random(12)
+    tags = ["<tr>", "</tr>", "<td>", "<th>", "</td>", "<tbody>", "</tbody>", "<thead>", "<tfoot>", "<form>", "</form>", "<div>", "<p>", "<a>", "<table>", "</table>", "<caption>", "<colgroup>", "<col>"]
+    for _ in range(400):
+        n, page = 0, "<table>"
+        for _ in range(rnd.randint(1, 14)):
+            page += rnd.choice(tags)
+            if rnd.random() < 0.6:
+                page += f" w{n}. "
+                n += 1
+        assert sorted(x(page).split()) == sorted(f"w{i}." for i in range(n)), page
+    assert x("<table><tbody hidden><td>no<tr><td>no</tbody><td>yes</table>") == "yes"
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<p>x", "t"), (2, "u", None, "t")], "page_id long, url string, html string, text string")
     assert {r.page_id: r.text for r in html_text.visible_text(df).collect()} == {1: "x", 2: ""}

@@ -48,6 +48,13 @@ IMPLIED = {
     "optgroup": (("option", "optgroup"), ("select", "datalist")),
     "body": (("head",), ("html",)),
 }
+#: What a start tag opens before itself where its parent is one of these.
+OPENS = {
+    "td": (("table", "tbody"), ("tbody", "tr"), ("thead", "tr"), ("tfoot", "tr")),
+    "th": (("table", "tbody"), ("tbody", "tr"), ("thead", "tr"), ("tfoot", "tr")),
+    "tr": (("table", "tbody"),),
+}
+SECTIONS = frozenset("tbody thead tfoot".split())
 #: End tags do not close what is open outside these.
 WALL = frozenset("table td th caption body html".split())
 MAX_DEPTH = 400
@@ -123,6 +130,12 @@ def build(page: str) -> Node:
                     lowest = d
             if lowest:
                 close_to(lowest)
+        for parent, implied in OPENS.get(name, ()):
+            if stack[-1].name == parent and len(stack) < MAX_DEPTH:
+                part = Node(implied)
+                if not hidden:
+                    stack[-1].children.append(part)
+                stack.append(part)
         attrs = m["attrs"] or ""
         node = Node(name, attrs)
         shows = not hidden and name not in INVISIBLE and not (attrs and HIDING.search(attrs))
@@ -184,28 +197,33 @@ class Page:
         return "\n".join(self.lines)
 
 
-def rows_of(table: Node) -> list[Node]:
-    out = []
+def parts_of(table: Node) -> tuple[list[Node], list[Node | str]]:
+    """The rows of a table and its sections, and all else that lies beside them, in order."""
+    rows, others = [], []
     for c in table.children:
-        if isinstance(c, Node):
-            if c.name == "tr":
-                out.append(c)
-            elif c.name in ("tbody", "thead", "tfoot"):
-                out += rows_of(c)
-    return out
+        if isinstance(c, Node) and c.name == "tr":
+            rows.append(c)
+        elif isinstance(c, Node) and c.name in SECTIONS:
+            inner = parts_of(c)
+            rows += inner[0]
+            others += inner[1]
+        else:
+            others.append(c)
+    return rows, others
 
 
 def render_table(table: Node, page: Page, depth: int) -> None:
-    """Cells of a column begin at the same place; cells of several lines keep them."""
-    for c in table.children:
-        if isinstance(c, Node) and c.name not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col"):
+    """Cells of a column begin at the same place; cells of several lines keep them. What is in no row stands before them."""
+    rows, others = parts_of(table)
+    for c in others:
+        if isinstance(c, Node):
             page.end_line()
             render(c, page, depth + 1)
             page.end_line()
-        elif isinstance(c, str) and c.strip():
+        elif c.strip():
             page.write(c)
     grid: list[list[list[str]]] = []
-    for row in rows_of(table):
+    for row in rows:
         cells = []
         for c in row.children:
             if isinstance(c, Node):
