@@ -355,6 +355,17 @@ def test_html_table_parts():
     assert x("<table><tbody hidden><td>no<tr><td>no</tbody><td>yes</table>") == "yes"
 
 
+def test_html_attributes():
+    x = html_text.extract
+    for attrs in ('class="nav hidden md:block"', 'title="the hidden valley"', "aria-hidden=true", "data-style='display:none'", 'style="x: y" title="display:none"', "data-hidden", 'title="a style=\'display:none\'"', "type=hidden"):
+        assert x(f"<div {attrs}>seen</div>") == "seen", attrs
+    for attrs in ("hidden", "HIDDEN=''", 'class="a"hidden', "style=display:none", "style='color: red; Display : none !important'", 'style="visibility:hidden;"', 'class="x" hidden id=y', "style='display&#58;none'"):
+        assert x(f"<div {attrs}>no<p>no</div>yes") == "yes", attrs
+    assert x("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>") == "x=2"
+    assert x("a<svg><title>no</title><desc>no</desc><path d='M0'/><text>b</text></svg>c").split() == ["a", "b", "c"]
+    assert x("<title>no</title><desc>yes</desc>") == "yes"
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<p>x", "t"), (2, "u", None, "t")], "page_id long, url string, html string, text string")
     assert {r.page_id: r.text for r in html_text.visible_text(df).collect()} == {1: "x", 2: ""}

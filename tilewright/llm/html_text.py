@@ -29,7 +29,9 @@ from .common import ship, slices
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INVISIBLE = frozenset("head script style template noscript iframe object embed audio video canvas svg math datalist noembed noframes title meta link".split())
+INVISIBLE = frozenset("head script style template noscript iframe object embed audio video canvas datalist noembed noframes title meta link".split())
+#: Not displayed within svg and math.
+FOREIGN_INVISIBLE = {"svg": frozenset("desc metadata".split()), "math": frozenset("annotation annotation-xml".split())}
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption optgroup option search".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure article section".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot li caption option optgroup dd dt legend summary".split())
@@ -60,12 +62,24 @@ WALL = frozenset("table td th caption body html".split())
 MAX_DEPTH = 400
 
 TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
-HIDING = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|type\s*=\s*[\"']?hidden|style\s*=\s*(?:\"[^\"]*?(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*?(?:display\s*:\s*none|visibility\s*:\s*hidden)))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'][^\s=/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*)))?")
+HIDING = re.compile(r"hidden|style|type", re.I)
+NOT_DISPLAYED = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 ALT = re.compile(r"\salt\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 START = re.compile(r"\sstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
 SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
+def hides(name: str, attrs: str) -> bool:
+    """Whether an element does not show by its attributes hidden, style and type; of a repeated name the first counts."""
+    if not HIDING.search(attrs):
+        return False
+    values: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        values.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return "hidden" in values or name == "input" and values.get("type", "").strip().lower() == "hidden" or bool(NOT_DISPLAYED.search(values.get("style", "")))
+
+
 class Node:
     """An element: its children are nodes and strings."""
 
@@ -138,7 +152,9 @@ def build(page: str) -> Node:
                 stack.append(part)
         attrs = m["attrs"] or ""
         node = Node(name, attrs)
-        shows = not hidden and name not in INVISIBLE and not (attrs and HIDING.search(attrs))
+        shows = not hidden and name not in INVISIBLE and not (attrs and hides(name, attrs))
+        if shows and any(name in inner and any(e.name == outer for e in stack) for outer, inner in FOREIGN_INVISIBLE.items()):
+            shows = False
         if shows:
             stack[-1].children.append(node)
         if name in VOID or attrs.endswith("/") and name not in BLOCK and name not in RAW:
@@ -267,7 +283,7 @@ def render(node: Node, page: Page, depth: int = 0, pre: bool = False) -> None:
         render_table(node, page, depth)
         page.end_line(2)
         return
-    block = name in BLOCK
+    block = name in BLOCK or name == "text"  # a text of svg stands alone
     gap = 2 if name in SPACED else 1
     if name in ("ul", "ol") and page.indent:
         gap = 1
