@@ -366,6 +366,16 @@ def test_html_attributes():
     assert x("<title>no</title><desc>yes</desc>") == "yes"
 
 
+def test_html_beyond_the_depth():
+    x = html_text.extract
+    for n in (10, 399, 400, 401, 700):
+        deep = "<div>" * n
+        assert x(deep + "a<p hidden>no<b>no</b></p><div style='display:none'>no<div>no</div>no</div>b") == "ab", n
+        assert x("<div hidden>" + deep + "no" + "</div>" * n + "no</div>yes") == "yes", n
+        assert x(deep + "<div hidden>" + deep + "no" + "</div>" * n + "no</div>yes" + "</div>" * n + "end").split() == ["yes", "end"], n
+    assert x("<div>" * 100000 + "deep" + "</div>" * 100000) == "deep"
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<p>x", "t"), (2, "u", None, "t")], "page_id long, url string, html string, text string")
     assert {r.page_id: r.text for r in html_text.visible_text(df).collect()} == {1: "x", 2: ""}

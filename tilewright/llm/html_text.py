@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,6 +60,7 @@ OPENS = {
 SECTIONS = frozenset("tbody thead tfoot".split())
 #: End tags do not close what is open outside these.
 WALL = frozenset("table td th caption body html".split())
+#: Elements nested deeper are counted and hide as others do, but what they hold is laid out in the element at this depth.
 MAX_DEPTH = 400
 
 TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -93,6 +95,7 @@ def build(page: str) -> Node:
     """The tree of a page's visible elements."""
     root = Node("html")
     stack = [root]
+    names: Counter[str] = Counter()  # of the open elements
     at, n = 0, len(page)
     hidden = 0  # depth of the outermost element that does not show, 0: none
 
@@ -102,10 +105,18 @@ def build(page: str) -> Node:
 
     def close_to(depth: int) -> None:
         nonlocal hidden
+        names.subtract(e.name for e in stack[depth:])
         del stack[depth:]
         if hidden >= len(stack) + 1 or hidden and len(stack) <= hidden - 1:
             hidden = 0
 
+    def push(node: Node) -> None:
+        if len(stack) >= MAX_DEPTH:
+            node = Node(node.name, node.attrs)
+            node.children = stack[-1].children
+        stack.append(node)
+        names[node.name] += 1
+
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
@@ -120,7 +131,7 @@ def build(page: str) -> Node:
         if m["close"]:
             if name == "br":
                 stack[-1].children.append(Node("br")) if not hidden else None
-            for d in range(len(stack) - 1, 0, -1):
+            for d in range(len(stack) - 1, 0, -1) if names[name] else ():
                 if stack[d].name == name:
                     close_to(d)
                     break
@@ -128,7 +139,7 @@ def build(page: str) -> Node:
                     break
             continue
         if name in CLOSES_P:
-            for d in range(len(stack) - 1, 0, -1):
+            for d in range(len(stack) - 1, 0, -1) if names["p"] else ():
                 if stack[d].name == "p":
                     close_to(d)
                     break
@@ -137,7 +148,7 @@ def build(page: str) -> Node:
         if name in IMPLIED:
             ends, stops = IMPLIED[name]
             lowest = 0
-            for d in range(len(stack) - 1, 0, -1):
+            for d in range(len(stack) - 1, 0, -1) if any(names[e] for e in ends) else ():
                 if stack[d].name in stops:
                     break
                 if stack[d].name in ends:
@@ -145,15 +156,15 @@ def build(page: str) -> Node:
             if lowest:
                 close_to(lowest)
         for parent, implied in OPENS.get(name, ()):
-            if stack[-1].name == parent and len(stack) < MAX_DEPTH:
+            if stack[-1].name == parent:
                 part = Node(implied)
                 if not hidden:
                     stack[-1].children.append(part)
-                stack.append(part)
+                push(part)
         attrs = m["attrs"] or ""
         node = Node(name, attrs)
         shows = not hidden and name not in INVISIBLE and not (attrs and hides(name, attrs))
-        if shows and any(name in inner and any(e.name == outer for e in stack) for outer, inner in FOREIGN_INVISIBLE.items()):
+        if shows and any(name in inner and names[outer] for outer, inner in FOREIGN_INVISIBLE.items()):
             shows = False
         if shows:
             stack[-1].children.append(node)
@@ -166,10 +177,9 @@ def build(page: str) -> Node:
                 node.children.append(html.unescape(inner))
             at = end.end() if end else n
             continue
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
-            if not shows and not hidden:
-                hidden = len(stack)
+        push(node)
+        if not shows and not hidden:
+            hidden = len(stack)
     return root
 
 
