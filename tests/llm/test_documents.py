@@ -162,6 +162,27 @@ def test_lines(spark):
     assert line_dedup.report(d.limit(0)).count() == 0
 
 
+def test_lines_within_a_share_of_their_length(spark):
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("etnaiorshul") for _ in range(rnd.randint(2, 9)))
+    rows, near, far = [], set(), set()
+    for i in range(150):
+        w = [word() for _ in range(rnd.choice([12, 25, 60, 200]))]
+        kind, v = i % 3, list(w)
+        if kind == 0:
+            v[rnd.randrange(len(v))] = "replaced"[: rnd.randint(4, 8)]
+        elif kind == 1:
+            for at in rnd.sample(range(len(v)), max(3, len(v) // 12)):
+                v[at] += ","
+        else:
+            v[1::3] = ["unlike"] * len(v[1::3])
+        x, y = " ".join(w), " ".join(v)
+        rows += [(2 * i, x, "a"), (2 * i + 1, y, "a")]
+        (near if edits(x, y) <= max(2, max(len(x), len(y)) // 20) else far).add(2 * i + 1)
+    gone = {r.doc_id for r in line_dedup.report(docs(spark, rows)).where("n_removed > 0").collect()}
+    assert len(near) > 60 and len(far) > 40 and not gone & far and len(gone & near) >= 0.98 * len(near) and gone <= near
+
+
 # n-gram join
 
 
