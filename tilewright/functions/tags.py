@@ -20,6 +20,16 @@ TAGS = {
     "JPEGRestartInterval": 515, "JPEGLosslessPredictors": 517, "JPEGPointTransforms": 518, "JPEGQTables": 519, "JPEGDCTables": 520,
     "JPEGACTables": 521, "YCbCrCoefficients": 529, "YCbCrSubSampling": 530, "YCbCrPositioning": 531, "ReferenceBlackWhite": 532,
     "XMP": 700, "Copyright": 33432, "ExifIFD": 34665, "ICCProfile": 34675, "GPSIFD": 34853, "InteroperabilityIFD": 40965,
+    "ExposureTime": 33434, "FNumber": 33437, "ExposureProgram": 34850, "SpectralSensitivity": 34852, "ISOSpeedRatings": 34855, "OECF": 34856,
+    "ExifVersion": 36864, "DateTimeOriginal": 36867, "DateTimeDigitized": 36868, "ComponentsConfiguration": 37121, "CompressedBitsPerPixel": 37122, "ShutterSpeedValue": 37377,
+    "ApertureValue": 37378, "BrightnessValue": 37379, "ExposureBiasValue": 37380, "MaxApertureValue": 37381, "SubjectDistance": 37382, "MeteringMode": 37383,
+    "LightSource": 37384, "Flash": 37385, "FocalLength": 37386, "MakerNote": 37500, "UserComment": 37510, "SubSecTime": 37520,
+    "SubSecTimeOriginal": 37521, "SubSecTimeDigitized": 37522, "FlashPixVersion": 40960, "ColorSpace": 40961, "PixelXDimension": 40962, "PixelYDimension": 40963,
+    "RelatedSoundFile": 40964, "FlashEnergy": 41483, "SpatialFrequencyResponse": 41484, "FocalPlaneXResolution": 41486, "FocalPlaneYResolution": 41487, "FocalPlaneResolutionUnit": 41488,
+    "SubjectLocation": 41492, "ExposureIndex": 41493, "SensingMethod": 41495, "FileSource": 41728, "SceneType": 41729, "CFAPattern": 41730,
+    "CustomRendered": 41985, "ExposureMode": 41986, "WhiteBalance": 41987, "DigitalZoomRatio": 41988, "FocalLengthIn35mmFilm": 41989, "SceneCaptureType": 41990,
+    "GainControl": 41991, "Contrast": 41992, "Saturation": 41993, "Sharpness": 41994, "SubjectDistanceRange": 41996, "Matteing": 32995,
+    "DataType": 32996, "ImageDepth": 32997, "TileDepth": 32998, "StoNits": 37439,
 }
 TYPES = {"BYTE": (1, 1), "ASCII": (2, 1), "SHORT": (3, 2), "LONG": (4, 4), "RATIONAL": (5, 8), "SBYTE": (6, 1), "UNDEFINED": (7, 1), "SSHORT": (8, 2), "SLONG": (9, 4), "SRATIONAL": (10, 8), "FLOAT": (11, 4), "DOUBLE": (12, 8), "IFD": (13, 4), "LONG8": (16, 8), "SLONG8": (17, 8), "IFD8": (18, 8)}
 #: Name: code, whether this engine reads it, whether it writes it.
@@ -29,6 +39,13 @@ COMPRESSIONS = {
     "THUNDER_SCAN": (32809, True, False), "PIXAR_LOG": (32909, False, False), "OLD_DEFLATE": (32946, True, True), "JPEG_2000_APERIO": (33005, False, False), "JBIG": (34661, False, False),
     "SGI_LOG": (34676, True, False), "SGI_LOG_24": (34677, False, False), "JPEG_2000": (34712, False, False), "LOSSY_JPEG": (34892, True, False), "LZMA": (34925, True, True),
     "ZSTD": (50000, True, True), "WEBP": (50001, False, False),
+    "JBIG_BW": (9, False, False), "JBIG_COLOR": (10, False, False), "JPEG_99": (99, False, False), "IMPACJ": (103, False, False), "KODAK_262": (262, False, False), "JPEGXR_NDPI": (22610, False, False),
+    "SONY_ARW": (32767, False, False), "PACKED_RAW": (32769, False, False), "SAMSUNG_SRW": (32770, False, False), "CCITT_RLEW": (32771, False, False), "SAMSUNG_SRW2": (32772, False, False), "MBI_RLE": (32775, False, False),
+    "IT8_CT_PAD": (32895, False, False), "IT8_LW": (32896, False, False), "IT8_MP": (32897, False, False), "IT8_BL": (32898, False, False), "PIXAR_FILM": (32908, False, False), "KODAK_DCS": (32947, False, False),
+    "JPEG_2000_APERIO_33003": (33003, False, False), "JPEG_2000_APERIO_33004": (33004, False, False), "ALT_JPEG": (33007, False, False), "LURA_DOC": (34692, False, False), "NIKON_NEF": (34713, False, False), "JBIG2": (34715, False, False),
+    "MDI_BINARY": (34718, False, False), "MDI_PROGRESSIVE": (34719, False, False), "MDI_VECTOR": (34720, False, False), "LERC": (34887, False, False), "ZSTD_DEPRECATED": (34926, False, False), "WEBP_DEPRECATED": (34927, False, False),
+    "PNG": (34933, False, False), "JPEG_XR": (34934, False, False), "JETRAW": (48124, False, False), "JPEG_XL": (50002, False, False), "PIXTIFF": (50013, False, False), "JPEG_XL_DNG": (52546, False, False),
+    "EER_V0": (65000, False, False), "EER_V1": (65001, False, False), "EER_V2": (65002, False, False),
 }
 PHOTOMETRIC = {"WHITE_IS_ZERO": 0, "BLACK_IS_ZERO": 1, "RGB": 2, "RGB_PALETTE": 3, "TRANSPARENCY_MASK": 4, "CMYK": 5, "Y_CB_CR": 6, "CIE_LAB": 8, "ICC_LAB": 9, "ITU_LAB": 10, "CFA_ARRAY": 32803, "LOG_L": 32844, "LOG_LUV": 32845}
 PREDICTORS = {"NONE": 1, "HORIZONTAL": 2, "FLOATING_POINT": 3}
