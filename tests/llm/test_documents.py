@@ -88,34 +88,46 @@ def changed(rnd, s, n):
     return "".join(s)
 
 
-@pytest.mark.parametrize("k", [1, 2, 3])
-def test_distance_and_candidates(spark, k):
-    rnd = random.Random(k)
+@pytest.mark.parametrize("plain", [line_dedup.PLAIN, 0])
+def test_distance(spark, monkeypatch, plain):
+    """By the built-in function and by the bit-parallel one."""
+    monkeypatch.setattr(line_dedup, "PLAIN", plain)
+    rnd = random.Random(1)
     pairs = []
     for i in range(250):
-        s = "".join(rnd.choice("abé😀") for _ in range(rnd.randint(0, 40)))
+        s = "".join(rnd.choice("abé😀") for _ in range(rnd.randint(0, 60)))
         pairs.append((i, i, s, changed(rnd, s, rnd.randint(0, 6))))
-    got = {r.a: r.distance for r in line_dedup.verify(spark.createDataFrame(pairs, "a long, b long, x string, y string"), k).collect()}
-    true = {a: edits(x, y) for a, _, x, y in pairs}
-    assert got == {a: d for a, d in true.items() if d <= k}
-    base = ["".join(rnd.choice("etnaiorshul") for _ in range(rnd.randint(24, 40))) for _ in range(30)]
-    lines = list(dict.fromkeys(base + [changed(rnd, rnd.choice(base), rnd.randint(1, 3)) for _ in range(150)]))
-    found = {(r.a, r.b) for r in line_dedup.candidate_pairs(spark.createDataFrame(list(enumerate(lines)), "t long, line string"), k, 10).collect()}
-    near = {(i, j) for i in range(len(lines)) for j in range(i) if edits(lines[i], lines[j]) <= k}
-    assert {(min(p), max(p)) for p in near} <= found
-
-
-def test_candidates_of_long_lines(spark):
-    """More than 128 letters of a group, so that the packed counts use every bit."""
-    rnd = random.Random(8)
-    lines = ["".join(rnd.choice("etnaiorshulbcd") for _ in range(rnd.choice([300, 900, 3000]))) for _ in range(40)] + ["b" * 200, "w" * 130 + "e" * 200]
-    lines += [s[:-1] for s in lines] + [s[:7] + "e" + s[7:] for s in lines]
-    n = len(lines) // 3
-    found = {(r.a, r.b) for r in line_dedup.candidate_pairs(spark.createDataFrame(list(enumerate(lines)), "t long, line string"), 2, 24).collect()}
-    assert {(i, j) for k in range(n) for i, j in ((k, k + n), (k, k + 2 * n), (k + n, k + 2 * n))} <= found
-
-
-def brute_lines(rows, k=line_dedup.EDITS, least=line_dedup.MIN_NEAR):
+    got = {r.a: r.distance for r in line_dedup.verify(spark.createDataFrame(pairs, "a long, b long, x string, y string"), 10).collect()}
+    true = {a: (edits(x, y), max(len(x), len(y)) // 10) for a, _, x, y in pairs}
+    assert got == {a: d for a, (d, k) in true.items() if d <= k}
+
+
+def shared_keys(spark, lines, **options):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame(list(enumerate(lines)), "i int, line string").withColumn("l", F.length("line"))
+    keys = [set(r.k) - {None} for r in d.orderBy("i").select(F.array(*line_dedup.segment_keys(F.col("line"), F.col("l"), **options)).alias("k")).collect()]
+    return lambda a, b: bool(keys[a] & keys[b])
+
+
+@pytest.mark.parametrize(("share", "segments"), [(20, 4), (10, 4), (6, 3), (10, 7), (4, 2), (4, 6)])
+def test_near_lines_share_a_key(spark, share, segments):
+    """All pairs within segments - 1 edits and the limit of their length, over lengths from 1 on."""
+    rnd = random.Random(share)
+    base = ["".join(rnd.choice("etnaiorshul") for _ in range(n)) for n in range(1, 140, 2)]
+    lines = list(dict.fromkeys(base + [changed(rnd, s, rnd.randint(1, 4)) for s in base for _ in range(5)]))
+    share_key = shared_keys(spark, lines, share=share, segments=segments)
+    found = 0
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            k = min(max(len(x), len(y)) // share, segments - 1)
+            if k and abs(len(x) - len(y)) <= k and edits(x, y) <= k:
+                assert share_key(i, j), (x, y)
+                found += 1
+    assert found > 30
+
+
+def brute_lines(rows, share=line_dedup.SHARE):
     at = {}
     for i, t, _ in sorted(rows, key=lambda r: r[0]):
         for p, line in enumerate((t or "").split("\n") if t is not None else []):
@@ -131,7 +143,8 @@ def brute_lines(rows, k=line_dedup.EDITS, least=line_dedup.MIN_NEAR):
 
     for n, a in enumerate(lines):
         for b in lines[:n]:
-            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= k and edits(a, b) <= k:
+            k = max(len(a), len(b)) // share
+            if abs(len(a) - len(b)) <= k and edits(a, b) <= k:
                 root[find(a)] = find(b)
     groups = {}
     for x in lines:
@@ -145,8 +158,9 @@ def brute_lines(rows, k=line_dedup.EDITS, least=line_dedup.MIN_NEAR):
 
 def test_lines(spark):
     rnd = random.Random(9)
-    base = ["".join(rnd.choice("etnaiors ") for _ in range(rnd.randint(26, 50))) for _ in range(12)] + ["short", "tiny line", "  "]
+    base = ["".join(rnd.choice("etnaiors ") for _ in range(rnd.randint(3, 79))) for _ in range(24)] + ["short", "tiny line", "  "]
     rows = [(i, "\n".join(changed(rnd, rnd.choice(base), rnd.choice([0, 0, 1, 2, 4])) for _ in range(rnd.randint(1, 6))), "a") for i in range(60)]
+    rows = [(i, t[:79] if "\n" not in t else t, s) for i, t, s in rows]
     rows += [(100, None, "a"), (101, "", "a"), (102, "\n\n", "a"), (103, rows[0][1], "a")]
     d = docs(spark, rows)
     expect = brute_lines(rows)
@@ -162,6 +176,37 @@ def test_lines(spark):
     assert line_dedup.report(d.limit(0)).count() == 0
 
 
+def test_lines_of_a_large_cluster(spark, monkeypatch):
+    """Chains of near lines and a hub with variants, in buckets of many blocks, against brute force."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    rnd = random.Random(12)
+    lines = []
+    for stem in ("the river runs along the old stone wall toward the mill ", "a quiet market opens at dawn beside the harbour gates "):
+        text = stem + "and nobody knows"
+        lines += [text] + [changed(rnd, text, rnd.randint(1, 3)) for _ in range(60)]
+        for _ in range(25):  # a chain that leaves the hub behind
+            text = changed(rnd, text, 2)
+            lines.append(text[:79])
+    rows = [(i, x, "a") for i, x in enumerate(lines)] + [(1000 + i, lines[0], "a") for i in range(3)]
+    got = {r.doc_id for r in line_dedup.report(docs(spark, rows)).where("n_removed > 0").collect()}
+    assert got == set(brute_lines(rows))
+
+
+def test_lines_of_odd_rows(spark):
+    """Ids shared by rows, rows without an id, one line of a megabyte, and columns with the names the operator uses."""
+    from pyspark.sql import functions as F
+
+    line = "one line that is long enough to have segments"
+    long = "x" * 500_000 + "y" * 500_000
+    rows = [(1, line + "\nfirst", "a"), (1, line + "\nother", "a"), (None, line, "a"), (None, line, "a"), (2, line, "a"), (3, long, "a"), (4, long[:-3], "a"), (5, "--------\n-------\n--------", "a")]
+    d = docs(spark, rows).withColumns({n: F.lit(7) for n in ("id", "gone", "pos", "line", "h1", "h2", "key", "at", "_line_id")})
+    got = [(r.doc_id, r.removed) for r in line_dedup.report(d).orderBy("doc_id").collect()]
+    assert len(long) == 1_000_000
+    assert got == [(None, []), (None, []), (1, []), (1, []), (2, [0]), (3, []), (4, [0]), (5, [2])]
+    out = line_dedup.dedup(d)
+    assert out.columns == d.columns and sorted(r.text for r in out.collect()) == sorted([line + "\nfirst", line + "\nother", line, line, "", long, "", "--------\n-------"])
+
+
 def test_lines_within_a_share_of_their_length(spark):
     rnd = random.Random(31)
     word = lambda: "".join(rnd.choice("etnaiorshul") for _ in range(rnd.randint(2, 9)))
@@ -178,7 +223,12 @@ def test_lines_within_a_share_of_their_length(spark):
             v[1::3] = ["unlike"] * len(v[1::3])
         x, y = " ".join(w), " ".join(v)
         rows += [(2 * i, x, "a"), (2 * i + 1, y, "a")]
-        (near if edits(x, y) <= max(2, max(len(x), len(y)) // 20) else far).add(2 * i + 1)
+        (near if edits(x, y) <= min(max(len(x), len(y)) // 20, line_dedup.MOST) else far).add(2 * i + 1)
+    for n, where in ((30, near), (31, far)):  # longer than PLAIN
+        x = [word() for _ in range(2000)]
+        at = rnd.sample(range(len(x)), n)
+        rows += [(1000 + 2 * n, " ".join(x), "a"), (1001 + 2 * n, " ".join(w + "Z" * (i in at) for i, w in enumerate(x)), "a")]
+        where.add(1001 + 2 * n)
     gone = {r.doc_id for r in line_dedup.report(docs(spark, rows)).where("n_removed > 0").collect()}
     assert len(near) > 60 and len(far) > 40 and not gone & far and len(gone & near) >= 0.98 * len(near) and gone <= near
 

@@ -63,7 +63,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write `df` and return the written table."""
@@ -77,17 +77,23 @@ class Scratch:
         finally:
             self.spark.conf.set(freed, before) if before is not None else self.spark.conf.unset(freed)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        path = self.paths.pop(id(df), None)
+        _, path = self.paths.pop(id(df), (None, None))
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+    def sweep(self, *kept: DataFrame) -> None:
+        """Delete all tables but these; later plans read no others."""
+        live = {id(df) for df in kept}
+        for key, (df, _) in list(self.paths.items()):
+            if key not in live:
+                self.drop(df)
+
 
 def slices(batches, rows: int = 512):
     """Arrow batches cut into pieces of few rows, so that long texts are decoded a few at a time."""
