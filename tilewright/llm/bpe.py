@@ -25,6 +25,8 @@ names cannot clash.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import hashlib
 import re
 import struct
@@ -39,12 +41,19 @@ from pyspark.sql import functions as F
 from .common import ship, slices
 
 #: Deterministic states, and remembered pieces, kept by one worker before it starts anew.
-MAX_STATES = 200_000
+MAX_STATES = 300_000
 MAX_PIECES = 300_000
 #: Pieces longer than this are seldom seen again and go through the transducer every time.
 LONG_PIECE = 64
 
 
+#: Keys of a state besides bytes: what is growing, and the token that ends at a byte (plus the byte).
+GROWING, ONLY_END = -1, 256
+#: Bits of a trie node's number within a hypothesis, and of a token's within a pair.
+NODE_BITS = 24
+NODE = (1 << NODE_BITS) - 1
+#: Fixed value: patterns that begin so take letters, with a space before them or not, as one pre-token, and what is neither letter, digit nor space as another.
+LETTERS_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"
 #: The characters with Unicode's White_Space property.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -78,27 +87,41 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.sizes = {r: len(t) for t, r in ranks.items()}
         self.lookahead = max(self.sizes.values(), default=1)
         self._halves: dict[int, tuple[int, int]] = {}
         self._whole: dict[int, bool] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
+        # the vocabulary as a trie: node << 8 | byte -> node, and of each node its depth, token (or -1) and whether it goes on
+        self.child: dict[int, int] = {}
+        self.depth, self.token, self.inner = [0], [-1], [False]
+        for data, rank in ranks.items():
+            node = 0
+            for byte in data:
+                self.inner[node] = True
+                at = node << 8 | byte
+                node = self.child.get(at) or self._node(at)
+            self.token[node] = rank
         self._reset()
 
+    def _node(self, at: int) -> int:
+        node = self.child[at] = len(self.depth)
+        self.depth.append(self.depth[at >> 8] + 1)
+        self.token.append(-1)
+        self.inner.append(False)
+        return node
+
     def _reset(self) -> None:
-        self.states: list[tuple] = []
-        self.index: dict[tuple, int] = {}
-        self.moves: list[dict[int, tuple[int, int]]] = []
-        self._state(((-1, b""),))
-
-    def _state(self, growing: tuple) -> int:
-        i = self.index.get(growing)
-        if i is None:
-            i = self.index[growing] = len(self.states)
-            self.states.append(growing)
-            self.moves.append({})
-        return i
+        # a state is a dict: byte -> (next state, token that ends there), ONLY_END + byte -> that token alone
+        self.index: dict[tuple, dict] = {}
+        self.start = self._state((0,))
+
+    def _state(self, growing: tuple) -> dict:
+        """The state of hypotheses "a token grows": (token before it + 1) << NODE_BITS | its node so far."""
+        state = self.index.get(growing)
+        if state is None:
+            state = self.index[growing] = {GROWING: growing}
+        return state
 
     def _split(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes `token`; a single byte is its own halves."""
@@ -127,7 +150,7 @@ class Transducer:
         touch at the seam would have merged, if their joint rank is lower than
         that of the merge just undone.
         """
-        ok = self._apart.get((before, token))
+        ok = self._apart.get(before << NODE_BITS | token)
         if ok is not None:
             return ok
         left, right, limit, ok = before, token, 1 << 60, True
@@ -146,30 +169,36 @@ class Transducer:
                 limit, right = right + 1, r_half
         if len(self._apart) > 4 * MAX_STATES:
             self._apart.clear()
-        self._apart[before, token] = ok
+        self._apart[before << NODE_BITS | token] = ok
         return ok
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        growing, ended, last = [], -1, bytes((byte,))
-        ranks, prefixes = self.ranks, self.prefixes
-        for before, begun in self.states[state]:
-            grown = begun + last
-            if grown in prefixes:
-                growing.append((before, grown))
-            if ended < 0:
-                token = ranks.get(grown)
-                if token is not None and self._is_whole(token) and (before < 0 or self._stays(before, token)):
-                    ended = token
-        if ended < 0:
-            raise ValueError("the vocabulary lacks single bytes that the text holds")
-        growing.append((ended, b""))
-        step = self.moves[state][byte] = (self._state(tuple(growing)), ended)
+    def _ended(self, state: dict, byte: int) -> int:
+        """The token that ends at `byte` if the text is cut there."""
+        child, tokens = self.child, self.token
+        for h in state[GROWING]:
+            node = child.get((h & NODE) << 8 | byte)
+            if node is not None:
+                token = tokens[node]
+                if token >= 0 and self._is_whole(token) and (h <= NODE or self._stays((h >> NODE_BITS) - 1, token)):
+                    state[ONLY_END + byte] = token
+                    return token
+        raise ValueError("the vocabulary lacks single bytes that the text holds")
+
+    def _move(self, state: dict, byte: int) -> tuple[dict, int]:
+        child, inner, growing = self.child, self.inner, []
+        for h in state[GROWING]:
+            node = child.get((h & NODE) << 8 | byte)
+            if node is not None and inner[node]:
+                growing.append(h & ~NODE | node)
+        ended = self._ended(state, byte)
+        growing.append(ended + 1 << NODE_BITS)
+        step = state[byte] = (self._state(tuple(growing)), ended)
         return step
 
-    def _settled(self, ends: list[int], state: int, base: int) -> int:
+    def _settled(self, ends: list[int], state: dict, base: int) -> int:
         """The last position up to which every growing token agrees on the boundaries."""
         n = base + len(ends)
-        starts = {n - len(begun) for _, begun in self.states[state]}
+        starts = {n - self.depth[h & NODE] for h in state[GROWING]}
         while len(starts) > 1:
             latest = max(starts)
             starts.remove(latest)
@@ -179,23 +208,22 @@ class Transducer:
         return starts.pop()
 
     def _walk(self, ends: list[int], upto: int) -> list[int]:
-        out, at = [], upto
+        out, at, sizes = [], upto, self.sizes
         while at > 0:
             token = ends[at - 1]
             out.append(token)
-            at -= self.sizes[token]
+            at -= sizes[token]
         out.reverse()
         return out
 
     def stream(self, data: bytes):
         """Lists of ids of one pre-token, each as soon as no later byte can change it."""
-        moves, ends, at, base, due = self.moves, [], 0, 0, 64 * self.lookahead
+        state, ends, base, due = self.start, [], 0, 64 * self.lookahead
         for byte in data:
-            step = moves[at].get(byte) or self._move(at, byte)
-            at = step[0]
-            ends.append(step[1])
+            state, end = state.get(byte) or self._move(state, byte)
+            ends.append(end)
             if len(ends) >= due:
-                settled = self._settled(ends, at, base) - base
+                settled = self._settled(ends, state, base) - base
                 if settled:
                     yield self._walk(ends, settled)
                     del ends[:settled]
@@ -207,23 +235,48 @@ class Transducer:
         known = self.ranks.get(piece)
         if known is not None:
             return [known]
-        if len(self.states) > MAX_STATES:
+        if len(self.index) > MAX_STATES:
             self._reset()
-        return [i for part in self.stream(piece) for i in part]
+            gc.collect()  # states refer to each other
+        if len(piece) >= 64 * self.lookahead:
+            return [i for part in self.stream(piece) for i in part]
+        state, ends = self.start, []
+        for byte in piece[:-1]:
+            step = state.get(byte)
+            if step is None:
+                step = self._move(state, byte)
+            state, end = step
+            ends.append(end)
+        last = piece[-1]
+        end = state.get(ONLY_END + last)  # the state after the last byte is not needed
+        ends.append(self._ended(state, last) if end is None else end)
+        return self._walk(ends, len(ends))
 
 
 class Memory(dict):
-    """Packed ids (little-endian 32-bit) by chunk of text, made by `make` when first met."""
+    """Packed ids (little-endian 32-bit) by chunk of text, made by `make` when first met.
+
+    At MAX_PIECES entries it begins anew, but keeps the old ones aside until
+    then again, so that chunks in use are only moved.
+    """
 
     def __init__(self, make):
         self.make = make
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        packed = self.make(chunk)
+        packed = self.old.get(chunk)
+        if packed is None:
+            packed = self.make(chunk)
         if len(chunk) <= LONG_PIECE:
             self[chunk] = packed
         return packed
 
+    def trim(self) -> None:
+        if len(self) > MAX_PIECES:
+            self.old = dict(self)
+            self.clear()
+
 
 class Utf8Machine:
     """Incremental UTF-8 decoding: the state is the unfinished character's bytes."""
@@ -280,27 +333,37 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
+        self.letters = pattern.startswith(LETTERS_FIRST)
         # cutting at a space before a word is safe if pre-tokens may begin, but not go on, with it
         self.chunks = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall if self.split("a b") == ["a", " b"] else self.split
         self.transducer = Transducer(ranks)
         self.pieces = Memory(self._piece)
         self.words = Memory(self._chunk)
-        self.bytes_of = self.transducer.bytes_of
+        # the bytes of all tokens one after another, and where each one's are
+        tokens = [self.transducer.bytes_of.get(i, b"") for i in range(max(ranks.values()) + 1)]
+        self.table = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.array(list(map(len, tokens)))
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def _piece(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode("utf-8"))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
+        if self.letters:
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if word.isalpha():  # the empty word is not
+                return self._piece(chunk)
+            if word[-1:] and word[-1] in ".,;:!?" and word[:-1].isalpha():  # one such mark is never part of what precedes it
+                return self.words[chunk[:-1]] + self.words[chunk[-1]]
         return b"".join(map(self.pieces.__getitem__, self.split(chunk)))
 
     def encode_packed(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        for memory in (self.pieces, self.words):
-            if len(memory) > MAX_PIECES:
-                memory.clear()
+        self.pieces.trim()
+        self.words.trim()
         return b"".join(map(self.words.__getitem__, self.chunks(text)))
 
     def encode(self, text: str | None) -> list[int]:
@@ -309,15 +372,30 @@ class Codec:
 
     def decode_stream(self, ids, chunk: int = 4096):
         """The text of `ids`, in pieces; each piece ends at a character's end."""
-        machine = Utf8Machine()
+        machine, ids = Utf8Machine(), np.asarray(ids, np.int64)
         for i in range(0, len(ids), chunk):
-            yield machine.feed(b"".join(map(self.bytes_of.__getitem__, ids[i : i + chunk])))
+            part = ids[i : i + chunk]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            yield machine.feed(self.table[np.repeat(self.starts[part] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
         yield machine.close()
 
     def decode(self, ids) -> str:
         return "".join(self.decode_stream(ids))
 
 
+@contextlib.contextmanager
+def uncollected():
+    """No search for garbage cycles meanwhile: it would walk through all states again and again."""
+    before = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if before:
+            gc.enable()
+
+
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker process."""
@@ -363,17 +441,18 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str =
         c = codec(vocabulary, pattern)
         for b in slices(batches):
             n, ids_sha, text_sha, kept = [], [], [], []
-            for t in b.column(1).to_pylist():
-                packed = c.encode_packed(t)
-                ids = struct.unpack(f"<{len(packed) // 4}I", packed)
-                n.append(len(ids))
-                if with_ids:
-                    kept.append(packed)
-                ids_sha.append(hashlib.sha256(packed).hexdigest())
-                digest = hashlib.sha256()
-                for part in c.decode_stream(ids):
-                    digest.update(part.encode("utf-8"))
-                text_sha.append(digest.hexdigest())
+            with uncollected():
+                for t in b.column(1).to_pylist():
+                    packed = c.encode_packed(t)
+                    ids = np.frombuffer(packed, "<u4")
+                    n.append(len(ids))
+                    if with_ids:
+                        kept.append(packed)
+                    ids_sha.append(hashlib.sha256(packed).hexdigest())
+                    digest = hashlib.sha256()
+                    for part in c.decode_stream(ids):
+                        digest.update(part.encode("utf-8"))
+                    text_sha.append(digest.hexdigest())
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
