@@ -11,15 +11,17 @@ distance is an upper bound on the inner product:
 
     q.x <= w * sum(mean_q * mean_x + dev_q * dev_x).
 
-Within a pair of blocks (see blocks.py) each query first takes the exact
-products of the k candidates that promise most; the k-th of these is a
-threshold. Candidates whose bound falls below it are dropped, from coarse to
-fine, and the exact product is computed for the survivors. Nothing is
-estimated: the result is that of a full scan.
+A query's threshold is its k-th best exact product so far, over all pieces of
+candidates that a task has read (see blocks.py); in each piece the exact
+products of the k candidates that promise most may raise it first. Candidates
+whose bound falls below it are dropped, from coarse to fine, and the exact
+product is computed for the survivors. Nothing is estimated: the result is that
+of a full scan.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part; ties go to the smaller id; repeated rows are candidates each for
-itself, except those with the query's own id; an empty table gives no rows.
+take no part, nor do those without an id; ties go to the smaller id; rows that
+share an id are queries and candidates each for itself, and a query leaves out
+only its own row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
+from .common import Scratch
 
 #: Segments of the resolutions, coarse to fine.
 LEVELS = (4, 8, 16)
@@ -44,22 +47,21 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.sqrt(d // segments) * np.concatenate([parts.mean(2), parts.std(2)], 1)
 
 
-def top_block(qids, q, ids, x, k: int):
-    """The k largest exact inner products of each query with the block's rows."""
+def top_block(q, x, own, least, k: int):
+    """The k largest exact inner products of each query with the piece's rows, of those that reach `least`."""
     d = x.shape[1]
     if d % LEVELS[-1]:
         q, x = (np.pad(m, ((0, 0), (0, -d % LEVELS[-1]))) for m in (q, x))
     big = max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * d >= 2**52
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
     levels = [(statistics(q, s), statistics(x, s)) for s in LEVELS]
     out_q, out_v, out_s = [], [], []
-    for a in range(0, len(qids), AT_ONCE):
+    for a in range(0, len(q), AT_ONCE):
         mine = slice(a, a + AT_ONCE)
-        live = np.arange(len(ids))
-        own = qids[mine][:, None] == ids[None, :]
-        alive = ~own
-        threshold = np.full(len(qids[mine]), -np.inf)
+        live = np.arange(len(x))
+        alive = ~own[mine]
+        threshold = least[mine].copy()
+        if big:
+            threshold -= 1e-6 * np.abs(np.where(np.isfinite(threshold), threshold, 0))
         for sq, sx in levels:
             bound = sq[mine] @ sx[live].T
             slack = 1e-9 * (1 + np.abs(bound)) if not big else 1e-6 * (1 + np.abs(bound))
@@ -83,18 +85,18 @@ def top_block(qids, q, ids, x, k: int):
             if big:
                 own_q = [int(v) for v in q[a + i]]
                 s = [min(max(sum(u * int(v) for u, v in zip(own_q, y, strict=True)), LONG_MIN), LONG_MAX) for y in x[at]]
-                first = sorted(range(len(at)), key=lambda j: (-s[j], int(ids[at[j]])))[:k]
+                first = sorted(range(len(at)), key=lambda j: (-s[j], j))[:k]
                 s = [s[j] for j in first]
             else:
                 p = products[i]
-                least = np.partition(p, -k)[-k] if len(p) > k else -np.inf
-                near = np.flatnonzero((p >= least) & row)
+                kth = np.partition(p, -k)[-k] if len(p) > k else -np.inf
+                near = np.flatnonzero((p >= kth) & row)
                 first = near[np.argsort(-p[near], kind="stable")[:k]]  # rows are in order of ids: ties go to the smaller
                 s, at = p[first].astype(np.int64).tolist(), live
-            out_q += [int(qids[a + i])] * len(s)
-            out_v += ids[at[first]].tolist()
+            out_q += [a + i] * len(s)
+            out_v += at[first].tolist()
             out_s += s
-    return out_q, out_v, out_s
+    return np.array(out_q, np.int64), np.array(out_v, np.int64), np.array(out_s, np.int64)
 
 
 def exact_top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -104,9 +106,8 @@ def exact_top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int =
     int, vec_id long, score long (beyond its range: the nearest long).
     """
     v = blocks.usable(vectors, id_col, vec_col).select("id", F.transform("vec", lambda x: _floor(x * scale)).alias("vec"))
-    queries = v.where(F.col("id") % every == 0)
-    found = blocks.search(queries, v, queries.count(), lambda qi, q, i, x: top_block(qi, q, i, x, k), "bigint")
-    return blocks.best(found, k, [F.desc("score")]).select("query_id", "rank", "vec_id", "score")
+    v = blocks.numbered(v, Scratch(vectors.sparkSession, "topk"))
+    return blocks.search(v.where(F.col("id") % every == 0), v, k, True, lambda q, x, own, least: top_block(q, x, own, least, k), "bigint")
 
 
 def _floor(x):
