@@ -92,6 +92,7 @@ def changed(rnd, s, n):
 def test_distance(spark, monkeypatch, plain):
     """By the built-in function and by the bit-parallel one."""
     monkeypatch.setattr(line_dedup, "PLAIN", plain)
+    monkeypatch.setattr(line_dedup, "WHOLE", plain // 100)
     rnd = random.Random(1)
     pairs = []
     for i in range(250):
@@ -114,7 +115,7 @@ def shared_keys(spark, lines, **options):
 def test_near_lines_share_a_key(spark, share, segments):
     """All pairs within segments - 1 edits and the limit of their length, over lengths from 1 on."""
     rnd = random.Random(share)
-    base = ["".join(rnd.choice("etnaiorshul") for _ in range(n)) for n in range(1, 140, 2)]
+    base = ["".join(rnd.choice("etnaiorshul") for _ in range(n)) for n in range(1, 140, 5)]
     lines = list(dict.fromkeys(base + [changed(rnd, s, rnd.randint(1, 4)) for s in base for _ in range(5)]))
     share_key = shared_keys(spark, lines, share=share, segments=segments)
     found = 0
@@ -158,9 +159,8 @@ def brute_lines(rows, share=line_dedup.SHARE):
 
 def test_lines(spark):
     rnd = random.Random(9)
-    base = ["".join(rnd.choice("etnaiors ") for _ in range(rnd.randint(3, 79))) for _ in range(24)] + ["short", "tiny line", "  "]
+    base = ["".join(rnd.choice("etnaiors ") for _ in range(rnd.randint(3, 55))) for _ in range(24)] + ["short", "tiny line", "  "]
     rows = [(i, "\n".join(changed(rnd, rnd.choice(base), rnd.choice([0, 0, 1, 2, 4])) for _ in range(rnd.randint(1, 6))), "a") for i in range(60)]
-    rows = [(i, t[:79] if "\n" not in t else t, s) for i, t, s in rows]
     rows += [(100, None, "a"), (101, "", "a"), (102, "\n\n", "a"), (103, rows[0][1], "a")]
     d = docs(spark, rows)
     expect = brute_lines(rows)
@@ -181,12 +181,12 @@ def test_lines_of_a_large_cluster(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 4)
     rnd = random.Random(12)
     lines = []
-    for stem in ("the river runs along the old stone wall toward the mill ", "a quiet market opens at dawn beside the harbour gates "):
-        text = stem + "and nobody knows"
-        lines += [text] + [changed(rnd, text, rnd.randint(1, 3)) for _ in range(60)]
+    for stem in ("the river runs along the old stone wall ", "a quiet market opens at dawn beside it "):
+        text = stem + "and nobody"
+        lines += [text] + [changed(rnd, text, rnd.randint(1, 3))[:56] for _ in range(60)]
         for _ in range(25):  # a chain that leaves the hub behind
             text = changed(rnd, text, 2)
-            lines.append(text[:79])
+            lines.append(text[:56])
     rows = [(i, x, "a") for i, x in enumerate(lines)] + [(1000 + i, lines[0], "a") for i in range(3)]
     got = {r.doc_id for r in line_dedup.report(docs(spark, rows)).where("n_removed > 0").collect()}
     assert got == set(brute_lines(rows))
