@@ -447,6 +447,74 @@ def test_html_beyond_the_depth():
     assert x("<div>" * 100000 + "deep" + "</div>" * 100000) == "deep"
 
 
+def test_html_spans():
+    x = html_text.extract
+    assert x("<table><tr><td colspan=2>Wide<td>C<tr><td>a<td>b<td>c</table>") == "Wide  C\na  b  c"
+    assert x("<table><tr><td rowspan=2>R<td>b<tr><td>c</table>") == "R  b\n   c"
+    assert x("<table><tr><td rowspan='2' colspan='2'>R<td>b<tr><td>c<tr><td>1<td>2<td>3</table>") == "R     b\n      c\n1  2  3"
+    assert x("<table><tr><td colspan=2>a long heading<td>z<tr><td>1<td>2<td>3</table>") == "a long heading  z\n1  2            3"
+    assert x("<table><tr><td colspan=999999999>a<td colspan=0>b<tr><td rowspan=999999999>c<td>d<tr><td>e</table>").split() == list("abcde")
+
+
+def test_html_tokens_agree_with_a_pattern():
+    """The reader of tags against a backtracking pattern, on short broken markup."""
+    pattern = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+    rnd = random.Random(2)
+    for _ in range(20000):
+        page = "".join(rnd.choice(["<", ">", "a", "/", '"', "'", " ", "<a ", "</a", "!", "--", "="]) for _ in range(rnd.randint(1, 14)))
+        tokens, at, got = html_text.Tokens(page), 0, []
+        while at < len(page) and (t := tokens.next(at)):
+            got.append((t[0], t[1], t[3]))
+            at = t[1]
+        assert got == [(m.start(), m.end(), (m["name"] or "").lower()) for m in pattern.finditer(page)], page
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<aaaa", '<a "', "<a '\"", "<", "</", "<!", "<!--", "<p>", "<p><object><i>", "<h1></h1>", "<b>x</b>", "<td>", "<table>", "<li>", "<ul><li>", "&", "<script>", "</script ", "<textarea></textarea ", "<i a='>", "<div hidden>", '<a b="c" ', "<td colspan=1000>x", "<tr><td rowspan=9999>x<td>y", "<button><p>"])
+def test_html_of_a_megabyte(piece):
+    import time
+
+    for page in (piece * (1_000_000 // len(piece)), "<p><object>" + "<i>" * 100_000 + piece * (600_000 // len(piece)), piece * (300_000 // len(piece)) + '">' + "'>"):
+        began = time.process_time()
+        html_text.extract(page)
+        assert time.process_time() - began < 20
+
+
+def test_html_pages_keep_their_visible_text():
+    """An independent walk over every given page: all visible words are there in order, no hidden ones."""
+    import html.parser
+
+    import pyarrow.parquet as pq
+
+    class Walk(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.skip, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            gone = tag in ("script", "style", "head", "template", "noscript", "title", "iframe") or "hidden" in a or "display:none" in (a.get("style") or "").replace(" ", "")
+            if tag not in html_text.VOID and (self.skip or gone):
+                self.skip.append(tag)
+            if tag == "img" and not self.skip:
+                self.words += (a.get("alt") or "").split()
+
+        def handle_endtag(self, tag):
+            if tag in self.skip:
+                while self.skip.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.words += data.split()
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist():
+        w = Walk()
+        w.feed(page or "")
+        w.close()
+        flat = lambda s: re.sub(r"[\s\-]+|(?<!\S)\d+\.(?!\S)", "", s)  # noqa: E731  without spaces and marks of lists
+        assert flat(html_text.extract(page)) == flat(" ".join(w.words))
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<p>x", "t"), (2, "u", None, "t")], "page_id long, url string, html string, text string")
     assert {r.page_id: r.text for r in html_text.visible_text(df).collect()} == {1: "x", 2: ""}

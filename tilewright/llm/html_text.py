@@ -8,7 +8,11 @@ and end tags close everything open within. Elements that do not show
 all they contain. The renderer then writes every visible text: blocks on lines
 of their own, with blank lines around paragraphs and headings, list items with
 bullets or numbers and indented by depth, preformatted text as it is, and
-tables with the cells of a column aligned.
+tables with the cells of a column aligned; colspan and rowspan move cells to
+the columns that browsers give them.
+
+Reading takes time in proportion to the page whatever it holds: quotes from
+which no tag's end follows are remembered, and open elements are found by name.
 
 Defined results: null and empty pages give an empty text; broken markup never
 fails; repeated rows get equal results; texts are whole; only the named columns
@@ -19,7 +23,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,14 +65,21 @@ OPENS = {
 SECTIONS = frozenset("tbody thead tfoot".split())
 #: End tags do not close what is open outside these.
 WALL = frozenset("table td th caption body html".split())
+#: Start tags of blocks do not close a paragraph outside these.
+P_WALL = WALL | frozenset("button object".split())
 #: Elements nested deeper are counted and hide as others do, but what they hold is laid out in the element at this depth.
 MAX_DEPTH = 400
+#: Fixed value of the HTML standard: columns that a cell spans at most.
+MAX_ACROSS = 1000
 
-TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+LETTER = re.compile(r"[A-Za-z]")
+NAME_END = re.compile(r"[\s/>]")
+MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'][^\s=/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*)))?")
 HIDING = re.compile(r"hidden|style|type", re.I)
 NOT_DISPLAYED = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 ALT = re.compile(r"\salt\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+SPAN = re.compile(r"\s(col|row)span\s*=\s*[\"']?\s*(\d{1,9})", re.I)
 START = re.compile(r"\sstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
 SPACE = re.compile(r"[ \t\r\n\f]+")
 
@@ -91,95 +103,179 @@ class Node:
         self.name, self.attrs, self.children = name, attrs, []
 
 
+class Tokens:
+    """Reads tags off a page, in time proportional to its length whatever it holds."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.failed: set[int] = set()  # quotes that open where no tag's end follows
+        self.without: dict[str, int] = {}  # from where on marks do not occur
+        self.stretch = (0, -1)  # a stretch without marks, and the mark after it
+        self.name_end = 0
+
+    def find(self, mark: str, at: int) -> int:
+        if at >= self.without.get(mark, at + 1):
+            return -1
+        found = self.page.find(mark, at)
+        if found < 0:
+            self.without[mark] = at
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the > of a tag stands that is open at `at`, outside of quotes; below zero if there is none."""
+        opened: list[int] = []
+        first = True
+        while self.find(">", at) >= 0:
+            if not (first and self.stretch[0] <= at <= self.stretch[1]):
+                found = MARK.search(self.page, at).start()
+                if first:
+                    self.stretch = at, found
+            else:
+                found = self.stretch[1]
+            first = False
+            mark = self.page[found]
+            if mark == ">":
+                return found
+            close = -1 if found in self.failed else self.find(mark, found + 1)
+            opened.append(found)
+            if close < 0:
+                break
+            at = close + 1
+        self.failed.update(opened)
+        return -1
+
+    def next(self, at: int):
+        """(start, end, kind, name, attributes) of the next markup from `at` on; kind is "tag", "end" or "other"."""
+        page = self.page
+        while (start := self.find("<", at)) >= 0:
+            ahead = page[start + 1 : start + 2]
+            if ahead == "!" and page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "other", "", ""
+            close = ahead == "/"
+            begin = start + 1 + close
+            if self.find(">", begin) >= 0 and LETTER.match(page, begin):
+                if begin >= self.name_end:  # else within a name that was read before
+                    m = NAME_END.search(page, begin)
+                    self.name_end = m.start()
+                end = self.tag_end(self.name_end)
+                if end >= 0:
+                    return start, end + 1, "end" if close else "tag", page[begin : self.name_end].lower(), page[self.name_end : end]
+            if ahead and ahead in "!?/":
+                end = self.find(">", start)
+                return start, len(page) if end < 0 else end + 1, "other", "", ""
+            at = start + 1
+        return None
+
+    def raw_end(self, name: str, at: int) -> tuple[int, int]:
+        """Where the content of a raw element ends, and where the page goes on."""
+        for m in re.compile(f"</{name}(?=[\\s/>])", re.I).finditer(self.page, at):
+            end = self.find(">", m.end())
+            return (m.start(), end + 1) if end >= 0 else (len(self.page), len(self.page))
+        return len(self.page), len(self.page)
+
+
+class Stack:
+    """The open elements, and the depths at which each name is open."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.name, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close_to(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().name].pop()
+
+    def open(self, name: str) -> bool:
+        return bool(self.depths.get(name))
+
+    def deepest(self, names) -> int:
+        """The depth of the innermost open element of these names; 0: none."""
+        return max((d[-1] for n in names if (d := self.depths.get(n))), default=0)
+
+    def first_within(self, names, depth: int) -> int:
+        """The depth of the outermost open element of these names that is deeper than `depth`; 0: none."""
+        found = [d[k] for n in names if (d := self.depths.get(n)) and (k := bisect_right(d, depth)) < len(d)]
+        return min(found, default=0)
+
+
 def build(page: str) -> Node:
     """The tree of a page's visible elements."""
     root = Node("html")
-    stack = [root]
-    names: Counter[str] = Counter()  # of the open elements
+    stack, tokens = Stack(root), Tokens(page)
+    nodes = stack.nodes
     at, n = 0, len(page)
     hidden = 0  # depth of the outermost element that does not show, 0: none
 
     def text(s: str) -> None:
         if s and not hidden:
-            stack[-1].children.append(html.unescape(s) if "&" in s else s)
+            nodes[-1].children.append(html.unescape(s) if "&" in s else s)
 
     def close_to(depth: int) -> None:
         nonlocal hidden
-        names.subtract(e.name for e in stack[depth:])
-        del stack[depth:]
-        if hidden >= len(stack) + 1 or hidden and len(stack) <= hidden - 1:
+        stack.close_to(depth)
+        if hidden > len(nodes):
             hidden = 0
 
     def push(node: Node) -> None:
-        if len(stack) >= MAX_DEPTH:
+        if len(nodes) >= MAX_DEPTH:
             node = Node(node.name, node.attrs)
-            node.children = stack[-1].children
-        stack.append(node)
-        names[node.name] += 1
+            node.children = nodes[-1].children
+        stack.push(node)
 
     while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
+        token = tokens.next(at)
+        if not token:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if not name:
+        text(page[at : token[0]])
+        _, at, kind, name, attrs = token
+        if kind == "other":
             continue
-        name = name.lower()
-        if m["close"]:
-            if name == "br":
-                stack[-1].children.append(Node("br")) if not hidden else None
-            for d in range(len(stack) - 1, 0, -1) if names[name] else ():
-                if stack[d].name == name:
-                    close_to(d)
-                    break
-                if stack[d].name in WALL and name not in WALL and name not in ("tr", "tbody", "thead", "tfoot"):
-                    break
+        if kind == "end":
+            if name == "br" and not hidden:
+                nodes[-1].children.append(Node("br"))
+            d = stack.deepest((name,))
+            walled = name not in WALL and name not in SECTIONS and name != "tr"
+            if d and not (walled and stack.deepest(WALL) > d):
+                close_to(d)
             continue
-        if name in CLOSES_P:
-            for d in range(len(stack) - 1, 0, -1) if names["p"] else ():
-                if stack[d].name == "p":
-                    close_to(d)
-                    break
-                if stack[d].name in WALL or stack[d].name in ("button", "object"):
-                    break
+        if name in CLOSES_P and stack.open("p"):
+            d = stack.deepest(("p",))
+            if d > stack.deepest(P_WALL):
+                close_to(d)
         if name in IMPLIED:
             ends, stops = IMPLIED[name]
-            lowest = 0
-            for d in range(len(stack) - 1, 0, -1) if any(names[e] for e in ends) else ():
-                if stack[d].name in stops:
-                    break
-                if stack[d].name in ends:
-                    lowest = d
+            lowest = stack.first_within(ends, stack.deepest(stops))
             if lowest:
                 close_to(lowest)
         for parent, implied in OPENS.get(name, ()):
-            if stack[-1].name == parent:
+            if nodes[-1].name == parent:
                 part = Node(implied)
                 if not hidden:
-                    stack[-1].children.append(part)
+                    nodes[-1].children.append(part)
                 push(part)
-        attrs = m["attrs"] or ""
         node = Node(name, attrs)
         shows = not hidden and name not in INVISIBLE and not (attrs and hides(name, attrs))
-        if shows and any(name in inner and names[outer] for outer, inner in FOREIGN_INVISIBLE.items()):
+        if shows and any(name in inner and stack.open(outer) for outer, inner in FOREIGN_INVISIBLE.items()):
             shows = False
         if shows:
-            stack[-1].children.append(node)
+            nodes[-1].children.append(node)
         if name in VOID or attrs.endswith("/") and name not in BLOCK and name not in RAW:
             continue
         if name in RAW:
-            end = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-            inner = page[at : end.start()] if end else page[at:]
+            end, on = tokens.raw_end(name, at)
             if shows:
-                node.children.append(html.unescape(inner))
-            at = end.end() if end else n
+                node.children.append(html.unescape(page[at:end]))
+            at = on
             continue
         push(node)
         if not shows and not hidden:
-            hidden = len(stack)
+            hidden = len(nodes)
     return root
 
 
@@ -188,32 +284,39 @@ class Page:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []  # of the line that is being written
         self.gap = 0
         self.prefix = ""
         self.indent = ""
 
+    @property
+    def line(self) -> bool:
+        """Whether a line is being written."""
+        return bool(self.parts)
+
     def end_line(self, gap: int = 1) -> None:
-        if self.line.strip(" "):
-            self.lines.append(self.line.rstrip(" "))
-        if self.line:
-            self.line = ""
+        if self.parts:
+            line = "".join(self.parts).rstrip(" ")
+            self.parts = []
+            if line:
+                self.lines.append(line)
         if self.lines:
             self.gap = max(self.gap, gap)
 
     def write(self, s: str, pre: bool = False) -> None:
         if not pre:
             s = SPACE.sub(" ", s)
-            if not self.line or self.line.endswith(" "):
+            if not self.parts or self.parts[-1].endswith(" "):
                 s = s.lstrip(" ")
         if not s:
             return
-        if not self.line:
+        if not self.parts:
             self.lines += [""] * (self.gap - 1)
             self.gap = 0
-            self.line = self.indent + self.prefix
+            if self.indent or self.prefix:
+                self.parts.append(self.indent + self.prefix)
             self.prefix = ""
-        self.line += s
+        self.parts.append(s)
 
     def mark(self, s: str) -> None:
         self.prefix = s
@@ -248,29 +351,56 @@ def render_table(table: Node, page: Page, depth: int) -> None:
             page.end_line()
         elif c.strip():
             page.write(c)
-    grid: list[list[list[str]]] = []
+    grid: list[list[tuple[int, int, list[str]]]] = []  # of each row: column, columns, lines
+    taken: dict[int, int] = {}  # column -> rows that a cell above still covers
     for row in rows:
-        cells = []
+        cells, column, covered = [], 0, {}
         for c in row.children:
             if isinstance(c, Node):
                 inner = Page()
                 render(c, inner, depth + 1)
-                cells.append(inner.text().split("\n"))
+                lines = inner.text().split("\n")
+                spans = {m[1].lower(): int(m[2]) for m in SPAN.finditer(c.attrs)} if "span" in c.attrs.lower() else {}
+                across, down = min(max(spans.get("col", 1), 1), MAX_ACROSS), max(spans.get("row", 1), 1)
             elif c.strip():
-                cells.append([SPACE.sub(" ", c).strip()])
+                lines, across, down = [SPACE.sub(" ", c).strip()], 1, 1
+            else:
+                continue
+            while column in taken:
+                column += 1
+            cells.append((column, across, lines))
+            if down > 1:
+                covered.update((column + k, down) for k in range(across))
+            column += across
+        taken = {k: v - 1 for k, v in {**taken, **covered}.items() if v > 1}
         if cells:
             grid.append(cells)
-    widths: list[int] = []
+    # places for the columns that cells begin in
+    used = sorted({c for cells in grid for c, _, _ in cells})
+    place = {c: k for k, c in enumerate(used)}
+    widths = [0] * len(used)
+    wide = []
     for cells in grid:
-        for i, c in enumerate(cells[:-1]):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], *map(len, c))
+        for column, across, lines in cells[:-1]:
+            k, width = place[column], max(map(len, lines))
+            end = bisect_left(used, column + across) if across > 1 else k + 1
+            if end - k == 1:
+                widths[k] = max(widths[k], width)
+            else:
+                wide.append((k, end, width))
+    for k, end, width in wide:
+        widths[end - 1] += max(0, width - sum(widths[k:end]) - 2 * (end - k - 1))
+    starts = [0, *accumulate(w + 2 for w in widths)]
     page.end_line()
     for cells in grid:
-        for k in range(max(map(len, cells))):
-            parts = [(c[k] if k < len(c) else "").ljust(widths[i] if i < len(cells) - 1 else 0) for i, c in enumerate(cells)]
-            page.write("  ".join(parts).rstrip(" ") or " ", pre=True)
+        for k in range(max(len(lines) for _, _, lines in cells)):
+            parts, length = [], 0
+            for column, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    gap = starts[place[column]] - length
+                    parts += [" " * gap, lines[k]]
+                    length += max(gap, 0) + len(lines[k])
+            page.write("".join(parts).rstrip(" ") or " ", pre=True)
             page.end_line()
 
 
@@ -348,8 +478,6 @@ def render_item(item: Node, page: Page, depth: int, width: int) -> None:
             page.indent = outer + " " * width
     if page.prefix:  # an empty item shows its mark
         page.write(" ", pre=True)
-        page.line = page.line.rstrip(" ")
-        page.prefix = ""
     page.end_line()
 
 
