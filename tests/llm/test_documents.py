@@ -92,7 +92,7 @@ def changed(rnd, s, n):
 def test_distance(spark, monkeypatch, plain):
     """By the built-in function and by the bit-parallel one."""
     monkeypatch.setattr(line_dedup, "PLAIN", plain)
-    monkeypatch.setattr(line_dedup, "WHOLE", plain // 100)
+    monkeypatch.setattr(line_dedup, "WHOLE", plain // 150)
     rnd = random.Random(1)
     pairs = []
     for i in range(250):
