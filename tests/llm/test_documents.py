@@ -339,6 +339,52 @@ def test_trees_separate_held_out_examples():
         wrong += len(found - set(truth))
         missed += len(wanted - found)
     assert good / (good + wrong) > 0.93 and good / (good + missed) > 0.85
+    assert len(set(pii.model()[2].values())) > 1  # thresholds follow the data
+
+
+def test_base_patterns_against_a_plain_matcher():
+    """The patterns as the contract words them, on random texts of their characters."""
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rnd = random.Random(17)
+    for _ in range(20000):
+        s = "".join(rnd.choice(["a", "b.", "@", ".", "1", "25", "300", " ", "-", "+", "é", "(", "4111111111111111", "_", "%"]) for _ in range(rnd.randint(1, 16)))
+        expect = [("email", m.start(), m.end()) for m in email.finditer(s)]
+        expect += [("ip", m.start(), m.end()) for m in ip.finditer(s) if all(int(p) <= 255 for p in m[0].split("."))]
+        at = 0
+        while at < len(s):  # cards: digits with single spaces or hyphens between them
+            end = at
+            if s[at].isascii() and s[at].isdigit():
+                end = at + 1
+                while end < len(s):
+                    step = 1 if s[end].isdigit() else 2 if s[end] in " -" and s[end + 1 : end + 2].isdigit() else 0
+                    if not step:
+                        break
+                    end += step
+                d = [int(c) for c in s[at:end] if c.isdigit()]
+                if end > at + 1 and 16 <= len(d) <= 19 and sum(sum(divmod(2 * v, 10)) if i % 2 else v for i, v in enumerate(d[::-1])) % 10 == 0:
+                    expect.append(("card", at, end))
+            at = max(end, at + 1)
+        got = [x for x in pii.base_spans(s) if x[0] != "phone"]
+        assert got == expect, s
+
+
+def test_overlaps_and_choice_against_all_pairs():
+    rnd = random.Random(18)
+    for _ in range(200):
+        spans = sorted({(rnd.choice("ab"), a, a + rnd.randint(1, 9)) for a in (rnd.randint(0, 30) for _ in range(rnd.randint(1, 12)))})
+        got = pii.overlaps(spans)
+        for s in spans:
+            others = [o for o in spans if o != s]
+            assert got[s] == (sum(o[1] < s[2] and s[1] < o[2] for o in others), sum(o[1] <= s[1] and s[2] <= o[2] for o in others))
+
+
+@pytest.mark.parametrize("piece", ["9", "a", "1.", "a@", "@a", "+1 ", "555-123-4567 ", "4111 1111 1111 1111 ", "x(at)y.com ", "a at b ", "token: abcdefghij ", "sk-", "9.9.9.9 ", "a@b.co "])
+def test_personal_data_in_long_texts(piece):
+    import time
+
+    began = time.process_time()
+    pii.find(piece * (300_000 // len(piece)) + " @", pii.model())
+    assert time.process_time() - began < 30
 
 
 def test_prefilter_loses_nothing(monkeypatch):
@@ -355,7 +401,10 @@ def test_prefilter_loses_nothing(monkeypatch):
 
 
 def test_pii_query(spark):
-    d = docs(spark, [(1, "mail a@b.co now", "s"), (2, None, "s"), (3, "", "s"), (4, "9" * 5000, "s")])
+    from pyspark.sql import functions as F
+
+    d = docs(spark, [(1, "mail a@b.co now", "s"), (2, None, "s"), (3, "", "s"), (4, "9" * 5000, "s"), (1, "mail a@b.co now", "s")]).withColumns({n: F.lit(1) for n in ("id", "spans", "n_email", "base")})
+    assert pii.digest(d).count() == 5 and pii.digest(d.limit(0)).count() == pii.redact(d.limit(0)).count() == 0
     out = {r.doc_id: r for r in pii.digest(d).collect()}
     assert out[1].spans == "email:5:11" and out[1].n_email == 1 and out[2].spans == out[3].spans == ""
     assert {r.doc_id: r.text for r in pii.redact(d).collect()}[1] == "mail [email] now"
