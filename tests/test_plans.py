@@ -2,8 +2,11 @@ import json
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tests.test_tiff import by_hand, image
 from tilewright.functions import logluv, tags
+from tilewright.operators import raster
 from tilewright.plans import pyramid, report
 from tilewright.sources import tiff, tiff_sink
 from tilewright.streaming import arrivals
@@ -32,14 +35,96 @@ def test_log_luminance():
     y = np.array([0.001, 1.0, 250.0])
     code = np.floor(256 * (np.log2(y) + 64)).astype(int)
     assert np.allclose(logluv.log16_to_y(code), y, rtol=0.003)
-    assert logluv.log16_to_y(np.array([0, code[1] | 0x8000])).tolist()[0] == 0 and logluv.log16_to_y(np.array([code[1] | 0x8000]))[0] < 0
+    assert np.allclose(logluv.log16_to_grey(code), np.sqrt(y), rtol=0.002)
+    assert logluv.log16_to_grey(np.array([0, 0xC000, code[1] | 0x8000])).tolist() == [0, 0, 0]
+    assert abs(logluv.log16_to_grey(np.array([0x4000]))[0] - 1.000677) < 1e-6  # exp(ln 2 / 256 / 2) under the root
     u, v = (int(n * logluv.UV_SCALE) for n in logluv.NEUTRAL)
     x = logluv.luv32_to_xyz(np.array([int(code[1]) << 16 | u << 8 | v]))[0]
     assert abs(x[0] - 1) < 0.02 and abs(x[2] - 1) < 0.02
+    rgb = logluv.luv32_to_rgb(np.array([0x4000 << 16 | 86 << 8 | 194, 0, 0xC000 << 16 | 86 << 8 | 194]))
+    lum = np.exp(np.log(2) / 512)
+    a, b = 86.5 / 410, 194.5 / 410
+    cx, cy = 9 * a / (6 * a - 16 * b + 12), 4 * b / (6 * a - 16 * b + 12)
+    xx, zz = cx / cy * lum, (1 - cx - cy) / cy * lum
+    assert np.allclose(rgb[0], np.sqrt([2.690 * xx - 1.276 * lum - 0.414 * zz, -1.022 * xx + 1.978 * lum + 0.044 * zz, 0.061 * xx - 0.224 * lum + 1.163 * zz]), atol=1e-5)
+    assert rgb[1:].tolist() == [[0, 0, 0], [0, 0, 0]]
     packed = bytes([128 + 1, 7, 2, 1, 2, 3, 9, 9, 9, 130, 5])
     assert logluv.unpack_planes(packed, 5, 1, 1).tolist() == [[7, 7, 7, 1, 2]]
 
 
+def test_components_against_a_flood(spark):
+    rng = np.random.default_rng(3)
+    for density in (0.35, 0.55):
+        grid = rng.random((24, 30)) < density
+        px = spark.createDataFrame([(int(y), int(x)) for y, x in zip(*np.nonzero(grid), strict=True)], "y bigint, x bigint")
+        label = {}
+        for y, x in sorted(zip(*(v.tolist() for v in np.nonzero(grid)), strict=True)):
+            if (y, x) in label:
+                continue
+            todo, mine = [(y, x)], set()
+            while todo:
+                p = todo.pop()
+                if p in mine:
+                    continue
+                mine.add(p)
+                todo += [(p[0] + i, p[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if 0 <= p[0] + i < 24 and 0 <= p[1] + j < 30 and grid[p[0] + i, p[1] + j]]
+            label |= {p: (*min(mine), len(mine)) for p in mine}
+        got = {(r.y, r.x): (r.root_y, r.root_x, r.area) for r in raster.connected_components(px, 2).collect()}
+        assert got == {p: v for p, v in label.items() if v[2] >= 2}
+
+
+def test_floor_division_of_large_numbers(spark):
+    big = (1 << 60) + 7
+    d = spark.createDataFrame([(big,), (-big,), (-1,), (0,), (15,)], "a bigint")
+    assert [r[0] for r in d.select(raster.div_floor(F.col("a"), 16)).collect()] == [big // 16, -big // 16, -1, 0, 0]
+
+
+def test_registered_codecs_reach_the_workers(spark, tmp_path):
+    from tilewright.functions import codecs
+
+    flip = lambda data, info: bytes(255 - v for v in data)
+    codecs.register(40157, flip, flip)
+    try:
+        a = np.arange(60, dtype=np.uint8).reshape(6, 10, 1)
+        path = tmp_path / "x.tif"
+        image(path, tiff_sink.Options(compression=40157), a)
+        rows = [(str(path), 0, 0, y, x, float(a[y, x, 0])) for y in range(6) for x in range(10)]
+        px = spark.createDataFrame(rows, "path string, image int, c int, y bigint, x bigint, v double").withColumn("path", F.lit(str(tmp_path / "y.tif")))
+        tiff_sink.write(px, tiff_sink.Options(compression=40157)).collect()
+        for p in (path, tmp_path / "y.tif"):
+            got = {(r.y, r.x): r.v for r in tiff.pixels(tiff.scan(spark, str(p), "tiles")).collect()}
+            assert got == {(r[3], r[4]): r[5] for r in rows}
+    finally:
+        codecs.register(40157, None, None)
+
+
+def test_levels_of_ycbcr_tags():
+    from tilewright.functions import kernels
+    from tilewright.sources import tiff_format as fmt
+
+    assert fmt.ratios([(299, 1000), (587, 1000), (114, 1000)]) == [0.299, 0.587, 0.114] and fmt.ratios([]) is None
+    assert fmt.whole_levels([(16, 1), (235, 1)]) == [16, 235, 128, 255, 128, 255] and fmt.whole_levels([]) is None
+    raw = bytes([235, 128, 128])
+    assert kernels.ycbcr_tile(raw, 1, 1, 1, 1, reference=(16, 235, 128, 240, 128, 240)).tolist() == [[[255, 255, 255]]]
+    assert kernels.ycbcr_tile(raw, 1, 1, 1, 1).tolist() == [[[235, 235, 235]]]
+    red = kernels.ycbcr_tile(bytes([54, 99, 255]), 1, 1, 1, 1, luma=(0.2126, 0.7152, 0.0722))[0, 0]
+    y, cb, cr = 54, 99 - 128, 127
+    r, b = y + cr * (2 - 2 * 0.2126), y + cb * (2 - 2 * 0.0722)
+    assert red.tolist() == [min(255, int(r + 0.5)), max(0, int((y - 0.0722 * b - 0.2126 * r) / 0.7152 + 0.5)), max(0, int(b + 0.5))]
+    assert kernels.ycbcr_tile(raw, 1, 1, 1, 1, reference=(7, 7, 128, 128, 128, 128)).tolist() == [[[228, 228, 228]]]
+
+
+def test_shorter_description_stays_in_place(tmp_path):
+    path = str(tmp_path / "d.tif")
+    image(path, tiff_sink.Options(), np.zeros((4, 5, 1), np.uint8))
+    assert tiff_sink.update_description(path, 0, "a description of some length") in ("CHANGED", "OVERWRITE_IN_PLACE")
+    size = (tmp_path / "d.tif").stat().st_size
+    assert tiff_sink.update_description(path, 0, "shorter text") == "OVERWRITE_IN_PLACE"
+    assert (tmp_path / "d.tif").stat().st_size == size
+    assert [r[-2] for r in tiff.rows("ifds", path, tiff.open_bytes(path))] == ["shorter text"]
+    assert tiff_sink.update_description(path, 0, "a text that is much longer than the one before it") == "CHANGED"
+
+
 def test_arriving_files(spark, tmp_path):
     inbox, target, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     inbox.mkdir()

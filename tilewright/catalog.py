@@ -223,7 +223,7 @@ def contrast_linear(spark, sf_dir):
     return pixels(spark, sf_dir).select("y", "x", raster.contrast(F.col("u"), 1.5, -20.0, 255).alias("u"))
 
 
-TRIPLE = PX + ", t AS (SELECT a.y AS y, a.x // 3 AS x, a.u AS a, b.u AS b, c.u AS c FROM px a JOIN px b ON a.y = b.y AND b.x = a.x + 1 JOIN px c ON a.y = c.y AND c.x = a.x + 2 WHERE a.x % 3 = 0 AND a.x < 63)"
+TRIPLE = PX + ", t AS (SELECT y, x // 3 AS x, max(CASE WHEN x % 3 = 0 THEN u END) AS a, max(CASE WHEN x % 3 = 1 THEN u END) AS b, max(CASE WHEN x % 3 = 2 THEN u END) AS c FROM px WHERE x < 63 GROUP BY 1, 2)"
 
 
 def triples(spark, sf_dir) -> DataFrame:

@@ -37,6 +37,16 @@ def register(code: int, encode: Coder | None, decode: Coder | None) -> None:
     _codecs[code] = (encode, decode)
 
 
+def added() -> dict[int, tuple[Coder | None, Coder | None]]:
+    """What was registered besides this module's own codecs: workers import the module afresh, so jobs carry it along."""
+    return {c: pair for c, pair in _codecs.items() if _own.get(c) != pair}
+
+
+def adopt(pairs: dict[int, tuple[Coder | None, Coder | None]]) -> None:
+    """Make known what added() gave in another process."""
+    _codecs.update(pairs)
+
+
 def name_of(code: int) -> str:
     return next((n for n, (c, _, _) in COMPRESSIONS.items() if c == code), f"unknown ({code})")
 
@@ -250,3 +260,6 @@ register(32773, pack_bits, unpack_bits)
 register(32809, None, thunder_decode)
 register(34925, lzma_encode, lambda d, i: lzma.decompress(d))
 register(50000, zstd_encode, zstd_decode)
+
+#: The codecs of this module.
+_own = dict(_codecs)

@@ -143,9 +143,10 @@ def ycbcr_tile(data: bytes, width: int, height: int, cw: int, ch: int, luma=(0.2
     y = raw[..., : cw * ch].reshape(down, across, ch, cw).transpose(0, 2, 1, 3).reshape(down * ch, across * cw)[:height, :width]
     spread = lambda v: np.repeat(np.repeat(v, ch, 0), cw, 1)[:height, :width]
     cb, cr = spread(raw[..., -2]), spread(raw[..., -1])
-    y = (y - reference[0]) * 255 / (reference[1] - reference[0])
-    cb = (cb - reference[2]) * 127 / (reference[3] - reference[2])
-    cr = (cr - reference[4]) * 127 / (reference[5] - reference[4])
+    spans = [(b - a) or None for a, b in (reference[:2], reference[2:4], reference[4:])]  # an empty span does not scale
+    y = (y - reference[0]) * (255 / spans[0] if spans[0] else 1)
+    cb = (cb - reference[2]) * (127 / spans[1] if spans[1] else 1)
+    cr = (cr - reference[4]) * (127 / spans[2] if spans[2] else 1)
     r = cr * (2 - 2 * luma[0]) + y
     b = cb * (2 - 2 * luma[2]) + y
     g = (y - luma[2] * b - luma[0] * r) / luma[1]

@@ -9,19 +9,25 @@ import numpy as np
 # Fixed values of the format: scales of the u and v fields, and the neutral chromaticity.
 UV_SCALE = 410.0
 NEUTRAL = (0.210526316, 0.473684211)
+#: XYZ to red, green, blue by CCIR-709 primaries.
+XYZ_TO_RGB = np.array([[2.690, -1.276, -0.414], [-1.022, 1.978, 0.044], [0.061, -0.224, 1.163]])
 
 
 def log16_to_y(p: np.ndarray) -> np.ndarray:
-    """Luminance of 16-bit log codes; the highest bit is the sign, code 0 is zero."""
-    code = p.astype(np.int64) & 0x7FFF
+    """Luminance of 16-bit log codes; code 0 and codes with the sign bit are zero."""
+    code = p.astype(np.int64)
     y = np.exp(math.log(2) / 256 * (code + 0.5) - math.log(2) * 64)
-    return np.where(code == 0, 0.0, np.where(p.astype(np.int64) & 0x8000, -y, y))
+    return np.where((code == 0) | (code & 0x8000 != 0), 0.0, y)
 
 
-def log10_to_y(p: np.ndarray) -> np.ndarray:
-    """Luminance of 10-bit log codes."""
-    code = p.astype(np.int64) & 0x3FF
-    return np.where(code == 0, 0.0, np.exp(math.log(2) / 64 * (code + 0.5) - math.log(2) * 12))
+def shown(linear: np.ndarray) -> np.ndarray:
+    """Samples for display: a gamma of two, nothing below zero."""
+    return np.sqrt(np.maximum(linear, 0.0)).astype("f4")
+
+
+def log16_to_grey(p: np.ndarray) -> np.ndarray:
+    """Samples of 16-bit log codes."""
+    return shown(log16_to_y(p))
 
 
 def xyz(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -29,7 +35,7 @@ def xyz(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     s = 1.0 / (6.0 * u - 16.0 * v + 12.0)
     cx, cy = 9.0 * u * s, 4.0 * v * s
     out = np.stack([cx / cy * y, y, (1.0 - cx - cy) / cy * y], -1)
-    return np.where((y <= 0)[..., None], 0.0, out).astype("f4")
+    return np.where((y <= 0)[..., None], 0.0, out)
 
 
 def luv32_to_xyz(p: np.ndarray) -> np.ndarray:
@@ -38,6 +44,11 @@ def luv32_to_xyz(p: np.ndarray) -> np.ndarray:
     return xyz(log16_to_y(p >> 16), ((p >> 8 & 0xFF) + 0.5) / UV_SCALE, ((p & 0xFF) + 0.5) / UV_SCALE)
 
 
+def luv32_to_rgb(p: np.ndarray) -> np.ndarray:
+    """Red, green, blue samples of 32-bit codes."""
+    return shown(luv32_to_xyz(p) @ XYZ_TO_RGB.T)
+
+
 def unpack_planes(data: bytes, width: int, height: int, size: int) -> np.ndarray:
     """Rows whose bytes are stored plane by plane, highest first, in runs: integers (height, width).
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 def div_floor(a: Column, b: int) -> Column:
     """Floor division, also of negative numbers."""
-    return F.floor(a / F.lit(b)).cast("bigint")
+    a = a.cast("bigint")
+    return F.call_function("div", a - F.pmod(a, F.lit(b).cast("bigint")), F.lit(b).cast("bigint"))
 
 
 def from_vectors(vectors: DataFrame, y: str = "vec_id", vec: str = "embedding") -> DataFrame:

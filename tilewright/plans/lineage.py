@@ -7,11 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A folder for a session on this machine alone; on a cluster the shared folder must be named."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=f"tilewright-{label}-")
+
+
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Checkpoint `df` in spark.checkpoint.dir, or in a folder of our own where that is unset."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilewright-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark, "checkpoint"))
     return df.checkpoint()
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import tiff, tiff_sink
 
 
@@ -21,6 +22,8 @@ def pixels(spark: SparkSession, path: str, target: str) -> DataFrame:
     """
     raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
 
+    ship(spark)
+
     def run(batches):
         for b in batches:
             for r in b.to_pylist():

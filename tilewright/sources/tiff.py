@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import codecs, jpeg, kernels, logluv
+from ..shipping import ship
 from . import tiff_format as fmt
 
 FILES = "path string, length bigint, is_tiff boolean, is_valid boolean, is_big boolean, byte_order string, first_ifd_offset bigint, images int, loop_offset bigint, error string"
 GEOMETRY = "width bigint, height bigint, channels int, bits array<int>, sample_format int, tile_w bigint, tile_h bigint, tiled boolean, planar boolean, compression int, predictor int, photometric int, fill_order int, chroma_w int, chroma_h int"
 IFDS = "path string, global_index int, main_index int, kind string, offset bigint, next_offset bigint, entries int, in_order boolean, " + GEOMETRY + ", description string, error string"
 ENTRIES = "path string, global_index int, position int, tag int, type int, count bigint, value_offset bigint, embedded boolean, value struct<i:array<bigint>,d:array<double>,s:array<string>,b:binary,r:array<struct<num:bigint,den:bigint>>>"
-TILES = "path string, global_index int, byte_order string, k bigint, plane int, ty int, tx int, offset bigint, byte_count bigint, w int, h int, " + GEOMETRY + ", jpeg_tables binary"
+TILES = "path string, global_index int, byte_order string, k bigint, plane int, ty int, tx int, offset bigint, byte_count bigint, w int, h int, " + GEOMETRY + ", jpeg_tables binary, luma array<double>, reference array<double>"
 SCHEMAS = {"files": FILES, "ifds": IFDS, "entries": ENTRIES, "tiles": TILES}
 
 
@@ -97,9 +98,10 @@ def rows(table: str, path: str, data, *, permissive: bool = False, linked: tuple
             shape = _geometry_row(g) if g else (None,) * 15
             yield (path, d.global_index, d.main_index, d.kind, d.offset, d.next_offset, len(d.entries), d.sorted, *shape, text, error)
         elif g is not None:
+            levels = fmt.ratios(d.numbers("YCbCrCoefficients")), fmt.whole_levels(d.numbers("ReferenceBlackWhite"))
             try:
                 for p in fmt.places(d, g, length, sparse):
-                    yield (path, d.global_index, "II" if h.order == "<" else "MM", p.k, p.plane, p.ty, p.tx, p.offset, p.size, p.w, p.h, *_geometry_row(g), d.get("JPEGTables"))
+                    yield (path, d.global_index, "II" if h.order == "<" else "MM", p.k, p.plane, p.ty, p.tx, p.offset, p.size, p.w, p.h, *_geometry_row(g), d.get("JPEGTables"), *levels)
             except ValueError:
                 if not permissive:
                     raise
@@ -152,6 +154,7 @@ class TiffSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(TiffSource)
 
 
@@ -169,6 +172,8 @@ def from_binary(files: DataFrame, table: str = "files", **options) -> DataFrame:
     schema = StructType.fromDDL(SCHEMAS[table])
     arrow = to_arrow_schema(schema)
 
+    ship(files.sparkSession)
+
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
@@ -196,7 +201,7 @@ def decode_rows(t: dict, data: bytes | None, *, rescale: bool = False, invert: b
     elif t["compression"] == 34676:
         size = 4 if t["photometric"] == 32845 else 2
         codes = logluv.unpack_planes(data, t["w"], t["h"], size)
-        tile = logluv.luv32_to_xyz(codes) if size == 4 else logluv.log16_to_y(codes)[..., None]
+        tile = logluv.luv32_to_rgb(codes) if size == 4 else logluv.log16_to_grey(codes)[..., None]
     elif t["compression"] in (7, 34892):
         tile = jpeg.decode(data, t["jpeg_tables"])
         if t["photometric"] == 6 and tile.shape[2] == 3:
@@ -206,7 +211,9 @@ def decode_rows(t: dict, data: bytes | None, *, rescale: bool = False, invert: b
     elif t["photometric"] == 6 and t["compression"] not in (6, 7, 34892) and not t["planar"]:
         size = kernels.ycbcr_size(t["w"], t["h"], t["chroma_w"], t["chroma_h"])
         raw = codecs.decode(t["compression"], data, codecs.Info(0, size, width=t["w"], height=t["h"]))
-        tile = kernels.ycbcr_tile(raw, t["w"], t["h"], t["chroma_w"], t["chroma_h"])
+        levels = {"luma": t["luma"][:3]} if len(t["luma"] or ()) >= 3 else {}
+        levels |= {"reference": t["reference"]} if t["reference"] else {}
+        tile = kernels.ycbcr_tile(raw, t["w"], t["h"], t["chroma_w"], t["chroma_h"], **levels)
     else:
         inverted = invert and t["photometric"] in (0, 5) and t["compression"] in (1, 5, 8, 32773, 32809, 32946, 34925, 50000)
         scaled = rescale and t["photometric"] not in (3, 4)
@@ -228,7 +235,11 @@ def samples(tiles: DataFrame, *, rescale: bool = False, invert: bool = True, fil
     bytes of the tiles that are left are read.
     """
 
+    ship(tiles.sparkSession)
+    registered = codecs.added()
+
     def run(batches):
+        codecs.adopt(registered)
         for b in batches:
             for t in b.to_pylist():
                 data = None

@@ -210,6 +210,28 @@ class Geometry:
         return self.bits[:1] if self.planar else self.bits
 
 
+def fits_outside(big: bool, size: int) -> bool:
+    """Whether a value of this size is stored outside its entry."""
+    return size > (8 if big else 4)
+
+
+def count_at(big: bool, offset: int, entry: int) -> int:
+    """Where the count of an entry stands."""
+    return offset + 8 + 20 * entry + 4 if big else offset + 2 + 12 * entry + 4
+
+
+def ratios(values: list) -> list[float] | None:
+    """Rationals as numbers; None: there are none."""
+    out = [(v[0] / v[1] if v[1] else 0.0) if isinstance(v, tuple) else float(v) for v in values if isinstance(v, (tuple, int, float))]
+    return out or None
+
+
+def whole_levels(values: list) -> list[float] | None:
+    """The six black and white levels, as whole numbers; those that are not given keep their usual values."""
+    given = [float(int(v)) for v in ratios(values) or ()][:6]
+    return given + [0.0, 255.0, 128.0, 255.0, 128.0, 255.0][len(given) :] if given else None
+
+
 def geometry(d: Directory) -> Geometry:
     width, height = d.get("ImageWidth"), d.get("ImageLength")
     if not isinstance(width, int) or not isinstance(height, int) or width <= 0 or height <= 0:

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import codecs, kernels
 from ..functions.tags import TAGS
+from ..shipping import ship
 from . import tiff_format as fmt
 
 #: Largest end of tile data, and largest directory offset, in a file with 32-bit offsets.
@@ -66,7 +67,11 @@ def encode_tiles(px: DataFrame, o: Options) -> DataFrame:
     k = (plane * gh + F.floor(F.col("y") / o.tile_h)) * gw + F.floor(F.col("x") / tile_w)
     t = t.select("path", "image", k.cast("bigint").alias("k"), "width", "height", "channels", "c", "y", "x", F.col("v").cast("double").alias("v"))
 
+    ship(px.sparkSession)
+    registered = codecs.added()
+
     def encode(key, table):
+        codecs.adopt(registered)
         path, image, number = (v.as_py() for v in key)
         width, height, channels = (table.column(n)[0].as_py() for n in ("width", "height", "channels"))
         w = o.tile_w or width
@@ -256,8 +261,20 @@ def update_ifd(path: str, main_index: int, changes: dict[int, tuple[int, object]
 
 
 def update_description(path: str, main_index: int, text: str) -> str:
-    """Change the description; in place if it has the same length."""
-    return update_ifd(path, main_index, {TAGS["ImageDescription"]: (2, text)})
+    """Change the description; in place if it is not longer, with the new length in its entry."""
+    data = _load(path)
+    h = fmt.header(data)
+    offset = fmt.chain(data, h)[0][main_index]
+    d = fmt.directory(data, h, offset)
+    tag = TAGS["ImageDescription"]
+    old = next(((i, e) for i, e in enumerate(d.entries) if e.tag == tag and e.type == 2), None)
+    if old and not old[1].embedded:
+        count, raw = fmt.pack_value(h.order, h.big, 2, text)
+        if fmt.fits_outside(h.big, len(raw)) and count < old[1].count:
+            _patch(path, old[1].value_offset, raw.ljust(old[1].count, b"\0"))
+            _patch(path, fmt.count_at(h.big, offset, old[0]), struct.pack(h.order + ("Q" if h.big else "I"), count))
+            return "OVERWRITE_IN_PLACE"
+    return update_ifd(path, main_index, {tag: (2, text)})
 
 
 def delete_ifd(path: str, main_index: int) -> None:
