@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import ship, slices
 
 #: Deterministic states, and remembered pieces, kept by one worker before it starts anew.
-MAX_STATES = 300_000
-MAX_PIECES = 300_000
+MAX_STATES = 150_000
+MAX_PIECES = 150_000
 #: Pieces longer than this are seldom seen again and go through the transducer every time.
 LONG_PIECE = 64
 

@@ -1,20 +1,19 @@
-"""What the corpus operators share: table access, scratch tables, code shipping."""
+"""What the corpus operators share: table access and scratch tables."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.lineage import own_folder
+from ..shipping import ship  # noqa: F401  for the operators
+
 #: Characters that separate words: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_shipped: dict[str, str] = {}
 _local: dict[str, str] = {}
 
 
@@ -23,31 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as --py-files would."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    fd, path = tempfile.mkstemp(prefix="tilewright-", suffix=".zip")
-    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
-    _shipped[sc.applicationId] = path
-    atexit.register(lambda: os.path.exists(path) and os.remove(path))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for scratch tables: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder for scratch tables: spark.checkpoint.dir, or one of our own where that is unset, in local runs only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     if "own" not in _local:
-        _local["own"] = tempfile.mkdtemp(prefix="tilewright-scratch-")
+        _local["own"] = own_folder(spark, "scratch")
         atexit.register(shutil.rmtree, _local["own"], ignore_errors=True)
     return _local["own"]
 

@@ -46,7 +46,7 @@ MAX_HASHES = 128
 #: Texts of a block; a task compares two blocks.
 BLOCK = 128
 #: Words whose hash a worker remembers.
-MAX_WORDS = 500_000
+MAX_WORDS = 250_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
