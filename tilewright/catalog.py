@@ -6,6 +6,7 @@ each row of the embeddings table.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -369,7 +370,6 @@ def rational_value(spark, sf_dir):
 def _through_file(spark: SparkSession, sf_dir: str, label: str, **options) -> DataFrame:
     """The raster after a TIFF file: y, x, u."""
     import os
-    import tempfile
 
     from .plans.lineage import shared_folder
     from .sources import tiff, tiff_sink
@@ -408,3 +408,124 @@ def _round_trip(name: str, options: dict) -> None:
 
 for _name, _options in ROUND_TRIPS.items():
     _round_trip(_name, _options)
+
+
+# Files that are edited: written with two images, changed, and read again.
+
+#: Image 1 is image 0 upside down in value.
+TWO = PX + ", two AS (SELECT 0 AS image, y, x, u FROM px UNION ALL SELECT 1, y, x, 255 - u FROM px)"
+
+
+def _edited(spark: SparkSession, sf_dir: str, label: str, change=None, **options) -> DataFrame:
+    """The images of a file after `change(path, folder)`, which returns the path to read: image, y, x, u."""
+    import os
+
+    from .plans.lineage import shared_folder
+    from .sources import tiff, tiff_sink
+
+    folder = tempfile.mkdtemp(prefix=f"{label}-", dir=shared_folder(spark))
+    path = os.path.join(folder, "raster.tif")
+    px = pixels(spark, sf_dir).select(F.lit(path).alias("path"), F.lit(0).alias("c"), "y", "x", F.explode(F.array(F.struct(F.lit(0).alias("image"), F.col("u").alias("v")), F.struct(F.lit(1).alias("image"), (255 - F.col("u")).alias("v")))).alias("i"))
+    tiff_sink.write(px.select("path", "i.image", "c", "y", "x", "i.v"), tiff_sink.Options(**{"tile_w": 16, "compression": 8, **options})).collect()
+    back = tiff.pixels(tiff.scan(spark, change(path, folder) if change else path, "tiles"))
+    return back.select(F.col("global_index").alias("image"), "y", "x", F.col("v").cast("bigint").alias("u"))
+
+
+@query(TWO + " SELECT image, y, x, u FROM two")
+def tiff_two_images(spark, sf_dir):
+    return _edited(spark, sf_dir, "two-images")
+
+
+@query(TWO + " SELECT image, y, x, u FROM two")
+def tiff_copy_range(spark, sf_dir):
+    def change(path, folder):
+        from .sources import tiff_sink
+
+        tiff_sink.copy_images(path, f"{folder}/copy.tif", [1])
+        tiff_sink.copy_images(path, f"{folder}/whole.tif", [0])
+        tiff_sink.copy_images(f"{folder}/copy.tif", f"{folder}/whole.tif", append=True)
+        return f"{folder}/whole.tif"
+
+    return _edited(spark, sf_dir, "copy-range", change)
+
+
+@query(TWO + " SELECT image, y - 5 AS y, x - 7 AS x, u FROM two WHERE y >= 5 AND y < 45 AND x >= 7 AND x < 57")
+def tiff_crop(spark, sf_dir):
+    def change(path, folder):
+        from .sources import tiff_sink
+
+        tiff_sink.copy_images(path, f"{folder}/crop.tif", crop=(7, 5, 50, 40))
+        return f"{folder}/crop.tif"
+
+    return _edited(spark, sf_dir, "crop", change)
+
+
+@query(TWO + " SELECT image, y, x, u FROM two")
+def tiff_repack(spark, sf_dir):
+    def change(path, folder):
+        from .sources import tiff_sink
+
+        tiff_sink.copy_images(path, f"{folder}/lzw.tif", compression=5)
+        return f"{folder}/lzw.tif"
+
+    return _edited(spark, sf_dir, "repack", change, predictor=2, dtype="u2", little=False)
+
+
+@query(TWO + " SELECT 0 AS image, y, x, u FROM two WHERE image = 1")
+def tiff_delete_image(spark, sf_dir):
+    def change(path, folder):
+        from .sources import tiff_sink
+
+        tiff_sink.delete_ifd(path, 0)
+        tiff_sink.compact(path)
+        return path
+
+    return _edited(spark, sf_dir, "delete", change)
+
+
+@query(PX + " SELECT i AS main_index, text AS description, (SELECT max(x) + 1 FROM px) AS width, (SELECT max(y) + 1 FROM px) AS height FROM (VALUES (0, 'first'), (1, 'a second description')) t(i, text)")
+def tiff_update_description(spark, sf_dir):
+    import os
+
+    from .plans.lineage import shared_folder
+    from .sources import tiff, tiff_sink
+
+    folder = tempfile.mkdtemp(prefix="describe-", dir=shared_folder(spark))
+    path = os.path.join(folder, "raster.tif")
+    px = pixels(spark, sf_dir).select(F.lit(path).alias("path"), F.explode(F.array(F.lit(0), F.lit(1))).alias("image"), F.lit(0).alias("c"), "y", "x", F.col("u").alias("v"))
+    tiff_sink.write(px, tiff_sink.Options(tile_h=32)).collect()
+    for i, texts in enumerate((("a longer text at first", "first"), ("short", "a second description"))):
+        for t in texts:
+            tiff_sink.update_description(path, i, t)
+    return tiff.scan(spark, path, "ifds").select("main_index", "description", "width", "height")
+
+
+@query(TWO + " SELECT image, y, x, CASE WHEN u >= 128 THEN 1 ELSE 0 END AS u FROM two")
+def tiff_one_bit(spark, sf_dir):
+    import os
+
+    from .plans.lineage import shared_folder
+    from .sources import tiff, tiff_sink
+
+    folder = tempfile.mkdtemp(prefix="one-bit-", dir=shared_folder(spark))
+    path = os.path.join(folder, "raster.tif")
+    values = F.array(F.struct(F.lit(0).alias("image"), (F.col("u") >= 128).cast("int").alias("v")), F.struct(F.lit(1).alias("image"), (255 - F.col("u") >= 128).cast("int").alias("v")))
+    px = pixels(spark, sf_dir).select(F.lit(path).alias("path"), F.lit(0).alias("c"), "y", "x", F.explode(values).alias("i"))
+    tiff_sink.write(px.select("path", "i.image", "c", "y", "x", "i.v"), tiff_sink.Options(one_bit=True, compression=32773)).collect()
+    return tiff.pixels(tiff.scan(spark, path, "tiles")).select(F.col("global_index").alias("image"), "y", "x", F.col("v").cast("bigint").alias("u"))
+
+
+@query(PX + " SELECT y, x, u FROM px WHERE y BETWEEN 16 AND 47 AND x BETWEEN 16 AND 31")
+def tiff_region(spark, sf_dir):
+    """Only tiles that meet the rectangle are read."""
+    import os
+
+    from .plans.lineage import shared_folder
+    from .sources import tiff, tiff_sink
+
+    folder = tempfile.mkdtemp(prefix="region-", dir=shared_folder(spark))
+    path = os.path.join(folder, "raster.tif")
+    px = pixels(spark, sf_dir).select(F.lit(path).alias("path"), F.lit(0).alias("image"), F.lit(0).alias("c"), "y", "x", F.col("u").alias("v"))
+    tiff_sink.write(px, tiff_sink.Options(tile_w=16, tile_h=16, compression=34925)).collect()
+    tiles = tiff.scan(spark, path, "tiles").where("ty between 1 and 2 and tx = 1")
+    return tiff.pixels(tiles).select("y", "x", F.col("v").cast("bigint").alias("u"))
