@@ -62,6 +62,23 @@ def test_mix_of_nothing_and_repeats(spark):
     assert Counter(r.doc_id for r in out.collect()) == Counter({i: n for i, n in copies.items() if n})
 
 
+def test_mix_of_repeated_ids(spark):
+    """Each of the rows that share an id is taken for itself; columns may have any names."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "one two three", "a")] * 3 + [(None, "four five", "a")] * 3 + [(2, None, None), (2, "six", "b"), (3, "seven eight nine ten", "b")]
+    d = docs(spark, rows).withColumns({n: F.lit("x") for n in ("_row", "row", "copies", "_mix_i", "size", "take")})
+    got, out = mixing.mix(d), mixing.repeat(d)
+    assert got.count() == len(rows) and out.columns == d.columns
+    taken = Counter()
+    for r in got.collect():
+        taken[r.doc_id, r.source, r.size] += r.copies
+    again = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in out.collect())
+    assert again == Counter({k: n for k, n in taken.items() if n})
+    words = sum(r.taken for r in got.collect() if r.source == "a")
+    assert words <= got.where("source = 'a'").first().target
+
+
 # line dedup
 
 

@@ -150,15 +150,17 @@ def round_groups(hist: DataFrame, state: DataFrame, scratch: Scratch, most: int
     return out
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, row_col: str | None = None) -> DataFrame:
     """How often the mix takes each document.
 
     Returns `id_col`, source, size long, source_size long, target double, rate
-    double, copies long, taken long.
+    double, copies long, taken long, and `row_col`, a number of the row, if it is
+    given; it decides between rows of equal ids.
     """
     scratch = Scratch(docs.sparkSession, "mix")
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    slim = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     slim = scratch.save(slim.withColumn("k", key))
     hist = scratch.save(slim.groupBy("k", "source", "size").agg(F.count("*").alias("n")))
     words, squares = F.sum(F.col("n") * F.col("size")), exact(F.col("n") * F.col("size") * F.col("size").cast("double"))
@@ -171,22 +173,22 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     dealt = groups.select("k", "size", "n", "rate", "copies", parts.alias("parts"), F.expr("copies div greatest(n, 1)").alias("each")).withColumn("extra", F.col("copies") - F.col("each") * F.col("n"))
     rows = slim.join(dealt, ["k", "size"]).withColumn("hash", F.xxhash64(F.lit(11), "id")).withColumn("part", F.pmod(F.xxhash64(F.lit(12), "id"), F.col("parts")))
     phase = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("k", "size", "part"), F.col("n"))).cast("long")
-    rank = F.row_number().over(Window.partitionBy("k", "size", "part").orderBy("hash", "id"))
+    rank = F.row_number().over(Window.partitionBy("k", "size", "part").orderBy("hash", "id", "row"))
     rows = rows.withColumn("phase", phase).withColumn("rank", rank.cast("long"))
     more = F.expr("(rank * extra + phase) div n - ((rank - 1) * extra + phase) div n")
     rows = rows.withColumn("take", F.col("each") + more)
     return rows.join(state.select("k", "source_size", "target"), "k").select(
-        F.col("id").alias(id_col), "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", F.col("take").alias("copies"), (F.col("take") * F.col("size")).alias("taken")
+        F.col("id").alias(id_col), "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", F.col("take").alias("copies"), (F.col("take") * F.col("size")).alias("taken"), *([F.col("row").alias(row_col)] if row_col else [])
     )
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of `docs`, all columns, as often as it is taken.
-
-    Ids are taken to name one row; rows that share an id are repeated each as
-    often as the id's first.
-    """
-    id_col = options.get("id_col", "doc_id")
-    taken = mix(docs, **options).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_mix_copies")).where(F.col("_mix_copies") > 0)
-    joined = docs.join(taken.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_mix_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: every row of `docs`, all columns, as often as it is taken; rows that share an id each for itself."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    rows = Scratch(docs.sparkSession, "repeat").save(docs.withColumn(name, F.monotonically_increasing_id()))
+    taken = mix(rows, **options, row_col=name).where("copies > 0").select(F.col(name).alias("row"), "copies")
+    joined = rows.alias("d").join(taken.alias("_mix").hint("shuffle_hash"), F.col(f"d.{name}") == F.col("_mix.row"))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies")))
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], again.alias(name)).drop(name)

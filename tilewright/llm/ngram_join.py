@@ -56,7 +56,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
         bands = math.ceil(math.log(1 - recall) / math.log(1 - p)) if p < 1 else 1
         if bands * rows <= most:
             return bands, rows
-    return most, 1
+    raise ValueError(f"{most} hashes do not reach a recall of {recall} at {threshold}")
 
 
 class WordHashes(dict):

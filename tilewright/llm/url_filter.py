@@ -16,10 +16,11 @@ corpus, and the filters that workers get are a few bits a listed key.
 There is one cascade for allowing rules and one for blocking rules. A url
 takes the verdict of its longest listed key; if there is none, the default.
 
-Rules are a list that a person or a feed maintains: at most `MAX_RULES`, which
-is checked, so filters and list stay small beside the corpus. False positives
-of the first level number about as many as the rules; if there are more than
-`MAX_RULES` of them, the first level is built again with more bits.
+Rules are a list that a person or a feed maintains: at most `MAX_RULES` keys of
+`MAX_BYTES` together, which is checked before they are broadcast. False positives
+of the first level are its rate times the keys of the universe; if there are more
+than `MAX_RULES` of them, it is built again with 1/64 of the rate, which scans the
+urls again.
 
 Defined results: a null url, or one without "://", has empty host and path and
 gets the default verdict; an empty list of rules gives every url the default;
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, slices
 
-MAX_RULES = 5_000_000
+MAX_RULES, MAX_BYTES = 5_000_000, 1 << 28
 #: Fixed value: the capital letters that hosts are folded from.
 FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -126,12 +127,15 @@ def build(urls: DataFrame, rules: list[tuple[str, str]], shape: Shape, salt: int
     listed = sorted({key_of(r) for r in rules})
     if len(listed) > MAX_RULES:
         raise ValueError(f"{len(listed)} rules; at most {MAX_RULES} are supported")
+    if sum(map(len, listed)) > MAX_BYTES:
+        raise ValueError(f"rules of more than {MAX_BYTES} bytes")
     rate = 0.01
     while True:
         first = Bloom(listed, rate, salt)
-        known = frozenset(listed)
+        sent = urls.sparkSession.sparkContext.broadcast((first, frozenset(listed)))
 
-        def passing(batches, first=first, known=known):
+        def passing(batches, sent=sent):
+            first, known = sent.value
             for b in slices(batches, 8192):
                 out, seen = set(), set()
                 for u in b.column(0).to_pylist():
@@ -161,9 +165,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, default: str =
     shape = Shape([(h, p) for _, h, p in rules])
     urls = pages.select(F.col(url_col).cast("string").alias("url"))
     verdicts = sorted({v for v, _, _ in rules})
-    cascades = [(v, build(urls, [(h, p) for w, h, p in rules if w == v], shape, 1000 * i)) for i, v in enumerate(verdicts)]
+    sent = pages.sparkSession.sparkContext.broadcast([(v, build(urls, [(h, p) for w, h, p in rules if w == v], shape, 1000 * i)) for i, v in enumerate(verdicts)])
 
     def run(batches):
+        cascades = sent.value
         for b in slices(batches, 4096):
             hosts, paths, fits, says = [], [], [], []
             for u in b.column(1).to_pylist():
