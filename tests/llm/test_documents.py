@@ -611,3 +611,55 @@ def test_quality(spark):
     flat = quality.train(d, y.where("quality = 1"))
     assert {r.score for r in quality.score(d, flat).collect()} == {0.5}
     assert quality.score(d.limit(0), model).count() == 0
+
+
+def test_pairwise_fit_minimises_the_loss():
+    """The fitted weights against the logistic loss on the same preference pairs, computed plainly."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    y = (rng.random(300) < 0.7).astype(int)
+    x = rng.normal(size=(300, quality.WIDTH)) + y[:, None] * rng.normal(size=quality.WIDTH) * 0.5
+    m = quality.fit(x, y, pairs=500, seed=3)
+    z = quality.expand(x, m["mean"], m["dev"])
+    pick = np.random.default_rng(3)
+    pairs = list(zip(pick.choice(np.flatnonzero(y == 1), 500).tolist(), pick.choice(np.flatnonzero(y == 0), 500).tolist(), strict=True))
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-float(np.dot(z[a] - z[b], w)))) for a, b in pairs) / len(pairs) + quality.RIDGE / 2 * float(np.dot(w, w))
+
+    least = loss(m["w"])
+    for i in range(len(m["w"])):
+        step = np.zeros(len(m["w"]))
+        step[i] = 1e-3
+        assert loss(m["w"] + step) >= least - 1e-9 and loss(m["w"] - step) >= least - 1e-9
+    s = z @ m["w"]
+    assert abs((s < m["threshold"]).mean() - (y == 0).mean()) < 0.01  # the threshold is the quantile of the rejected share
+
+
+def test_quality_of_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "good plain words of a text that goes on" if i % 2 else "BAD!!! 1 2 3 $$$", "a") for i in range(40)] + [(1, "good plain words", "a"), (1, None, "a"), (None, "no id", "b")] * 2
+    d = docs(spark, rows).withColumns({n: F.lit("x") for n in ("id", "score", "predicted", "y", "x")})
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(3, 1, 0), (5, None, 0), (None, 1, 0), (7, 9, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(d, labels)
+    assert quality.score(d, model).count() == len(rows)
+    kept = quality.keep(d, model)
+    assert kept.columns == d.columns and kept.where("text like 'BAD%'").count() == 0
+    assert quality.train(d.limit(0), labels)["threshold"] == 0.0
+
+
+def test_ngram_join_of_odd_rows(spark):
+    """A text of a megabyte, columns with the operator's names, rows that share an id."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(1, long, "a"), (2, long.replace("w77 ", "x "), "a"), (3, "alone here", "a"), (3, "alone here", "a"), (4, None, "a"), (None, long, "b")]
+    d = docs(spark, rows).withColumns({n: F.lit("x") for n in ("id", "root", "v", "block", "_gone", "n_links")})
+    got = sorted((r.doc_id or 0, r.class_id, r.n_links, r.n_copies) for r in ngram_join.near_duplicates(d).collect())
+    assert got == [(0, 1, 1, 2), (1, 1, 1, 2), (2, 1, 1, 1), (3, 3, 0, 2), (3, 3, 0, 2), (4, 4, 0, 1)]
+    kept = ngram_join.keep_one(d)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    other = docs(spark, [(1, "a text of six plain words", "a"), (1, "something else that stays too", "a"), (2, "a text of six plain words", "a")])
+    assert sorted(r.text[:4] for r in ngram_join.keep_one(other).collect()) == ["a te", "some"]

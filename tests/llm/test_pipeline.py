@@ -27,3 +27,21 @@ def test_stages(spark, tmp_path):
     codec = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for r in docs.collect():
         assert codec.decode(r.ids) == (texts[r.doc_id] or "") and len(r.ids) == r.n_tokens
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, an empty text, repeated rows, columns of the stages' own names; and no rows at all."""
+    from pyspark.sql import functions as F
+
+    given = spark.read.parquet(f"{DATA}/documents.parquet")
+    nothing = spark.createDataFrame([(None, None, None, None, None), (9001, "", "en", None, 0), (9002, None, "en", "web", None)], given.schema)
+    odd = given.union(given.limit(20)).union(nothing).withColumns({n: F.lit("x") for n in ("id", "_row", "copies", "h1", "key", "gone", "ids", "root")})
+    for label, docs in (("odd", odd), ("none", odd.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / label / name)
+            stage(spark, docs, DATA).write.parquet(path)
+            out = spark.read.parquet(path)
+            if name != "tokens":
+                assert out.columns == odd.columns
+            docs = out
+        assert (docs.count() > 0) == (label == "odd")

@@ -231,10 +231,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs`, all columns, that give their class its id: one of each group of near-duplicates.
+    """One row of each group of near-duplicates, all columns: that of the smallest id (null: last).
 
-    Ids are taken to name one row; of rows that share one, each stays.
+    Rows are told apart by a number of their own: of rows that share an id, each
+    is judged by its text, and of equal rows one stays.
     """
-    classes = near_duplicates(docs, id_col=id_col, **options)
-    gone = classes.where(~F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    rows = Scratch(docs.sparkSession, "rows").save(docs.withColumn(name, F.monotonically_increasing_id()))
+    classes = near_duplicates(rows, id_col=name, **options).select(F.col(name).alias("row"), "class_id")
+    ids = rows.select(F.col(name).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    best = classes.join(ids, "row").groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias(name))
+    return rows.join(best.select(name).hint("shuffle_hash"), name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

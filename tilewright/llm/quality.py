@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     # the labelled ids are few: a join against them keeps the texts where they are
-    got = texts.join(F.broadcast(chosen), "id").select(F.col("id").cast(kind), "y", "text").mapInArrow(run, f"id {kind}, y int, x array<double>").orderBy("id", "y").toPandas()
+    got = texts.join(F.broadcast(chosen), "id").select(F.col("id").cast(kind), "y", "text").mapInArrow(run, f"id {kind}, y int, x array<double>").orderBy("id", "y").limit(MAX_LABELLED).toPandas()  # rows that share an id could be more
     if not len(got):
         return fit(np.zeros((0, WIDTH)), np.zeros(0, int))
     return fit(np.array(got["x"].tolist(), float), got["y"].to_numpy())
