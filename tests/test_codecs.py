@@ -94,3 +94,27 @@ def test_depths_refused():
         kernels.sample_type([64], [1])
     with pytest.raises(codecs.UnsupportedCompression):
         kernels.decode_tile(bytes(4), compression=1, predictor=3, width=1, height=1, bits=[32], kind=3, order="<")
+
+
+def test_png_streams():
+    """Rows of all five filters, worked out by hand, a palette, and what is refused."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from tilewright.functions import png
+
+    rows = [(0, [10, 20, 30]), (1, [5, 1, 255]), (2, [1, 1, 1]), (3, [2, 4, 6]), (4, [1, 2, 3])]
+    body = b"".join(bytes([m, *v]) for m, v in rows)
+    data = png.SIGNATURE + png.chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 5, 8, 0, 0, 0, 0)) + png.chunk(b"tEXt", b"x") + png.chunk(b"IDAT", zlib.compress(body)) + png.chunk(b"IEND", b"")
+    # left: 5, 6, 5; up: 6, 7, 6; average: 2 + 3, 4 + 6, 6 + 8; nearest of left, up, corner: 1 + 5, 2 + 10, 3 + 14
+    assert png.decode(data)[..., 0].tolist() == [[10, 20, 30], [5, 6, 5], [6, 7, 6], [5, 10, 14], [6, 12, 17]]
+    coloured = png.SIGNATURE + png.chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 3, 0, 0, 0)) + png.chunk(b"PLTE", bytes(range(6))) + png.chunk(b"IDAT", zlib.compress(bytes([0, 1, 0]))) + png.chunk(b"IEND", b"")
+    assert png.decode(coloured).tolist() == [[[3, 4, 5], [0, 1, 2]]]
+    for n in (1, 2, 3, 4):
+        a = np.random.default_rng(n).integers(0, 256, (7, 5, n), dtype=np.uint8)
+        assert (png.decode(png.encode(a.tobytes(), 5, 7, n)) == a).all()
+    for bad in (b"", data[8:], data.replace(struct.pack(">IIBB", 3, 5, 8, 0), struct.pack(">IIBB", 3, 5, 16, 0))):
+        with pytest.raises(ValueError):
+            png.decode(bad)

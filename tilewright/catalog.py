@@ -389,6 +389,7 @@ ROUND_TRIPS = {
     "codec_deflate_roundtrip": dict(compression=8, tile_w=16, predictor=2),
     "codec_lzma_roundtrip": dict(compression=34925, tile_w=16),
     "codec_zstd_roundtrip": dict(compression=50000, tile_w=16),
+    "codec_png_roundtrip": dict(compression=34933, tile_w=16, channels=4),
     "tiff_roundtrip_tiled": dict(tile_w=32, tile_h=32, dtype="u2", channels=4),
     "tiff_roundtrip_stripped": dict(tile_h=7, dtype="i4", compression=8, predictor=2),
     "tiff_roundtrip_planar": dict(tile_w=16, planar=True, channels=4, compression=5),

@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from . import png
 from .tags import COMPRESSIONS
 
 
@@ -261,5 +262,11 @@ register(32809, None, thunder_decode)
 register(34925, lzma_encode, lambda d, i: lzma.decompress(d))
 register(50000, zstd_encode, zstd_decode)
 
+def _png_encode(data: bytes, info: Info) -> bytes:
+    return png.encode(data, info.width, len(data) // max(info.row, 1), info.row // max(info.width, 1), info.level)
+
+
+register(34933, _png_encode, lambda data, info: png.decode(data).tobytes())
+
 #: The codecs of this module.
 _own = dict(_codecs)

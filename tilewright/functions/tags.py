@@ -44,7 +44,7 @@ COMPRESSIONS = {
     "IT8_CT_PAD": (32895, False, False), "IT8_LW": (32896, False, False), "IT8_MP": (32897, False, False), "IT8_BL": (32898, False, False), "PIXAR_FILM": (32908, False, False), "KODAK_DCS": (32947, False, False),
     "JPEG_2000_APERIO_33003": (33003, False, False), "JPEG_2000_APERIO_33004": (33004, False, False), "ALT_JPEG": (33007, False, False), "LURA_DOC": (34692, False, False), "NIKON_NEF": (34713, False, False), "JBIG2": (34715, False, False),
     "MDI_BINARY": (34718, False, False), "MDI_PROGRESSIVE": (34719, False, False), "MDI_VECTOR": (34720, False, False), "LERC": (34887, False, False), "ZSTD_DEPRECATED": (34926, False, False), "WEBP_DEPRECATED": (34927, False, False),
-    "PNG": (34933, False, False), "JPEG_XR": (34934, False, False), "JETRAW": (48124, False, False), "JPEG_XL": (50002, False, False), "PIXTIFF": (50013, False, False), "JPEG_XL_DNG": (52546, False, False),
+    "PNG": (34933, True, True), "JPEG_XR": (34934, False, False), "JETRAW": (48124, False, False), "JPEG_XL": (50002, False, False), "PIXTIFF": (50013, False, False), "JPEG_XL_DNG": (52546, False, False),
     "EER_V0": (65000, False, False), "EER_V1": (65001, False, False), "EER_V2": (65002, False, False),
 }
 PHOTOMETRIC = {"WHITE_IS_ZERO": 0, "BLACK_IS_ZERO": 1, "RGB": 2, "RGB_PALETTE": 3, "TRANSPARENCY_MASK": 4, "CMYK": 5, "Y_CB_CR": 6, "CIE_LAB": 8, "ICC_LAB": 9, "ITU_LAB": 10, "CFA_ARRAY": 32803, "LOG_L": 32844, "LOG_LUV": 32845}
