@@ -43,7 +43,7 @@ from .common import Scratch
 SAMPLE = 8192
 #: Queries of the sample for the radius.
 SAMPLE_QUERIES = 256
-BITS, SUB_BITS = 64, 21
+BITS, SUB_BITS = 64, 32
 RADIUS_RECALL = 0.95
 ITERATIONS = 20
 #: Values of a substring that are enumerated at most; beyond, the occurring values are tested.
