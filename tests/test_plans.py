@@ -31,6 +31,20 @@ def test_pyramid_kinds(spark):
     assert got == {0: ("BASE", 0), 1: ("THUMBNAIL", None), 2: ("LAYER", 1), 3: ("LAYER", 2), 4: ("LABEL", None), 5: ("MACRO", None)}
 
 
+def test_pyramid_ends_at_the_first_break(spark):
+    sizes = [(8000, 6000), (4000, 3000), (2000, 1500), (500, 375), (250, 187)]
+    cases = {
+        "break": (sizes, True, ["BASE", "LAYER", "LAYER", "ORDINARY", "ORDINARY"]),
+        "too small": ([(8000, 6000), (200, 150), (100, 75)], True, ["BASE", "ORDINARY", "ORDINARY"]),
+        "whole": ([(8000, 6000), (2000, 1500), (500, 375), (125, 93)], True, ["BASE", "LAYER", "LAYER", "LAYER"]),
+        "strips": ([(8000, 6000), (4000, 3000), (2400, 2300)], False, ["BASE", "ORDINARY", "ORDINARY"]),
+    }
+    rows = [(name, i, w, h, tiled, 7, "") for name, (images, tiled, _) in cases.items() for i, (w, h) in enumerate(images)]
+    d = spark.createDataFrame(rows, "path string, main_index int, width long, height long, tiled boolean, compression int, description string")
+    got = {(r.path, r.main_index): r.image_kind for r in pyramid.classify(d).collect()}
+    assert got == {(name, i): k for name, (_, _, kinds) in cases.items() for i, k in enumerate(kinds)}
+
+
 def test_log_luminance():
     y = np.array([0.001, 1.0, 250.0])
     code = np.floor(256 * (np.log2(y) + 64)).astype(int)
