@@ -450,6 +450,9 @@ def test_verdicts(spark):
     assert got[4][2:] == ("www.example.com/en/", "allow") and got[5] == ("example.com", "", None, "allow")
     assert got[6][2:] == ("net/es/", "block") and got[7][2] is None and got[8][2] == "net/es/" and got[9][2] == "net/es/" and got[10] == ("a.com", "", None, "allow")
     assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"}
+    long = "http://" + "a." * 50_000 + "net/es/" + "x/" * 200_000
+    odd = spark.createDataFrame([(1, long, "x", "y"), (1, long, "x", "y"), (None, long, None, None)], "page_id long, url string, host string, rule string")
+    assert [(r.rule, r.verdict) for r in url_filter.judge(odd, rules).collect()] == [("net/es/", "block")] * 3
     assert url_filter.judge(df.limit(0), rules).count() == 0
 
 
@@ -584,6 +587,7 @@ def test_html_pages_keep_their_visible_text():
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<p>x", "t"), (2, "u", None, "t")], "page_id long, url string, html string, text string")
     assert {r.page_id: r.text for r in html_text.visible_text(df).collect()} == {1: "x", 2: ""}
+    assert html_text.visible_text(df.limit(0)).count() == 0 and html_text.visible_text(df.union(df)).count() == 4
 
 
 # quality
