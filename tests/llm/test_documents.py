@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -209,6 +210,24 @@ def test_lines_of_a_large_cluster(spark, monkeypatch):
     assert got == set(brute_lines(rows))
 
 
+def test_keys_of_neighbouring_classes(spark):
+    """Lines that one edit or up to three part, over all lengths at which classes and bands change."""
+    rnd = random.Random(45)
+    starts = [least for least, _, _ in line_dedup.length_classes(line_dedup.SHARE, line_dedup.SEGMENTS)]
+    starts += [math.ceil(starts[-1] * line_dedup.BAND**b) for b in (1, 2, 9)]
+    lines = []
+    for n in starts:
+        for l in range(n - 3, n + 3):
+            x = "".join(rnd.choice("etnaiorshul ") for _ in range(l))
+            at = sorted(rnd.sample(range(l), min(l // 20, 3)))
+            lines += [x, "".join(c for i, c in enumerate(x) if i not in at), "".join(c + "é" * (i in at) for i, c in enumerate(x))]
+    share_key = shared_keys(spark, lines)
+    for i in range(0, len(lines), 3):
+        for j in (i + 1, i + 2):
+            k = min(max(len(lines[i]), len(lines[j])) // line_dedup.SHARE, line_dedup.SEGMENTS - 1)
+            assert lines[i] == lines[j] or edits(lines[i], lines[j]) > k or share_key(i, j), (lines[i], lines[j])
+
+
 def test_lines_of_odd_rows(spark):
     """Ids shared by rows, rows without an id, one line of a megabyte, and columns with the names the operator uses."""
     from pyspark.sql import functions as F
