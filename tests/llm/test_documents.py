@@ -210,6 +210,41 @@ def test_lines_of_a_large_cluster(spark, monkeypatch):
     assert got == set(brute_lines(rows))
 
 
+def test_lines_beyond_three_edits_that_are_no_heads(spark):
+    """Lines that share the key of one bucket alone, far from its most frequent line, and are four to eight edits from each other."""
+    rnd = random.Random(44)
+    word = lambda: "".join(rnd.choice("etnaiorshul") for _ in range(rnd.randint(2, 9)))
+    begin = "the same beginning of all of these lines, that fills two segments, "
+    frequent = begin + " ".join(word() for _ in range(34))
+    rows, expect = [(i, frequent, "a") for i in range(5)], set(range(1, 5))
+    for i in range(20):
+        x = begin + " ".join(word() for _ in range(33))
+        y = list(x)
+        for at in sorted(rnd.sample(range(4, 40), 4 + i % 5), reverse=True):  # in the last characters, where the other keys are
+            y.insert(len(y) - at, "-")
+        y[-3:-3] = "-" * (i % 2)
+        y = "".join(y[:-2]) + "-" + y[-2] + y[-1]
+        assert 4 < edits(x, y) <= len(y) // 20
+        rows += [(100 + 2 * i, x, "a"), (101 + 2 * i, y, "a")]
+        expect.add(101 + 2 * i)
+    assert expect == set(brute_lines(rows))
+    assert {r.doc_id for r in line_dedup.report(docs(spark, rows)).where("n_removed > 0").collect()} == expect
+
+
+def test_tallies_differ_by_two_bits_an_edit(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(46)
+    pairs = []
+    for _ in range(300):
+        s = "".join(rnd.choice("et  aé.") for _ in range(rnd.randint(0, 300)))
+        pairs.append((s, changed(rnd, s, rnd.randint(0, 6))))
+    d = spark.createDataFrame(pairs, "x string, y string")
+    bits = sum(F.bit_count(a.bitwiseXOR(b)) for a, b in zip(line_dedup.tallies(F.col("x")), line_dedup.tallies(F.col("y")), strict=True))
+    got = d.select("x", "y", bits.alias("bits")).collect()
+    assert all(r.bits <= 2 * edits(r.x, r.y) for r in got) and any(r.bits for r in got)
+
+
 def test_keys_of_neighbouring_classes(spark):
     """Lines that one edit or up to three part, over all lengths at which classes and bands change."""
     rnd = random.Random(45)
