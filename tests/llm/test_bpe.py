@@ -74,3 +74,45 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH, P.PATTERN).collect()}
     assert texts == {1: "Hello there", 2: "", 3: ""}
     assert bpe.round_trip(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_equal_texts_are_encoded_once(spark, monkeypatch, reference):
+    """The mix puts copies of a text side by side: they cost one encoding, and each row has all columns."""
+    import hashlib
+    import struct
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Docs:
+        """Takes the function that the workers would run."""
+
+        sparkSession = spark
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            self.function = function
+            return self
+
+        def withColumnRenamed(self, old, new):
+            return self
+
+    texts = [t for t in ("one text", None, "", "another text") for _ in range(20)]
+    calls, plain = [], bpe.Codec.encode_packed
+    monkeypatch.setattr(bpe.Codec, "encode_packed", lambda self, text: calls.append(text) or plain(self, text))
+    for with_ids in (False, True):
+        calls.clear()
+        docs = Docs()
+        bpe.round_trip(docs, PATH, P.PATTERN, with_ids=with_ids)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+        rows = [r for b in docs.function([batch]) for r in b.to_pylist()]
+        assert len(calls) == 4
+        assert [r["id"] for r in rows] == list(range(len(texts)))
+        for r, t in zip(rows, texts, strict=True):
+            ids = reference.encode_ordinary(t or "")
+            assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+            assert not with_ids or r["ids"] == ids

@@ -441,18 +441,19 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str =
         c = codec(vocabulary, pattern)
         for b in slices(batches):
             n, ids_sha, text_sha, kept = [], [], [], []
+            done: dict[str | None, tuple] = {}  # of this slice: a mix repeats texts, and puts them side by side
             with uncollected():
                 for t in b.column(1).to_pylist():
-                    packed = c.encode_packed(t)
-                    ids = np.frombuffer(packed, "<u4")
-                    n.append(len(ids))
-                    if with_ids:
-                        kept.append(packed)
-                    ids_sha.append(hashlib.sha256(packed).hexdigest())
-                    digest = hashlib.sha256()
-                    for part in c.decode_stream(ids):
-                        digest.update(part.encode("utf-8"))
-                    text_sha.append(digest.hexdigest())
+                    row = done.get(t)
+                    if row is None:
+                        packed = c.encode_packed(t)
+                        ids = np.frombuffer(packed, "<u4")
+                        digest = hashlib.sha256()
+                        for part in c.decode_stream(ids):
+                            digest.update(part.encode("utf-8"))
+                        row = done[t] = len(ids), hashlib.sha256(packed).hexdigest(), digest.hexdigest(), packed if with_ids else b""
+                    for column, value in zip((n, ids_sha, text_sha, kept), row, strict=True):
+                        column.append(value)
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
