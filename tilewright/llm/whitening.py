@@ -17,7 +17,8 @@ decimal of 38 digits. Only the named columns are read.
 
 What reaches the driver is of the width of a vector: the sums, one triangular
 factor and one pair of moments. Partitions' factors (width ** 2 numbers each)
-are merged `FAN` at a time in tasks of their own.
+are merged in tasks of their own, `FAN` at a time, or as many as `BYTES` hold
+(two at least).
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ship, slices
 
-#: Factors merged by one task; rows taken at once.
-FAN, ROWS = 32, 2048
+#: Factors merged by one task, and their bytes; rows taken at once.
+FAN, BYTES, ROWS = 32, 1 << 27, 2048
 LIMIT = 1 << 62
 
 
@@ -63,7 +64,7 @@ def sums(v: DataFrame, scale: float, shift: int) -> tuple[int, list[int]]:
     """The number of vectors and the exact sum of each dimension of their whole numbers."""
 
     def run(batches):
-        n, total, at = 0, np.zeros(0, object), np.zeros(0, np.int64)
+        n, total = 0, np.zeros(0, object)
         for b in slices(batches, ROWS):
             x = whole(b.column(1), scale, shift, len(total))
             grown = np.zeros(x.shape[1], object)
@@ -102,8 +103,9 @@ def deviations(x: np.ndarray, n: int, total: list[int]) -> list[int | None]:
     return [s if s < 10**38 else None for s in (d * d).sum(1)]
 
 
-def tree(parts: DataFrame, merge: Callable, scratch: Scratch) -> object | None:
-    """What rows (part long, body binary) come to: groups of `FAN` merge until one row is left."""
+def tree(parts: DataFrame, merge: Callable, scratch: Scratch, width: int) -> object | None:
+    """What rows (part long, body binary) come to: groups of bodies of width ** 2 numbers merge until one row is left."""
+    fan = max(2, min(FAN, BYTES // (8 * width * width)))
 
     def run(key, table):
         body = merge(pickle.loads(b) for b in table.column("body").to_pylist())
@@ -111,7 +113,8 @@ def tree(parts: DataFrame, merge: Callable, scratch: Scratch) -> object | None:
 
     parts = scratch.save(parts)
     while parts.count() > 1:
-        parts = scratch.save(parts.groupBy(F.floor(F.col("part") / FAN).alias("part")).applyInArrow(run, "part bigint, body binary"))
+        group = F.floor(F.col("part") / fan).alias("group")
+        parts = scratch.save(parts.select(group, "body").groupBy("group").applyInArrow(run, "part bigint, body binary"))
     row = parts.first()
     return pickle.loads(bytes(row.body)) if row else None
 
@@ -176,7 +179,7 @@ def whiten(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     r = None
     if n:
         factors = reduced(v, lambda: np.zeros((0, width)), lambda r, x: triangle(r, centred(x, n, total)), scale, shift, width)
-        r = tree(factors, merge_triangles, scratch)
+        r = tree(factors, merge_triangles, scratch, width)
     if r is None:
         return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
     _, s, right = np.linalg.svd(r)
@@ -194,7 +197,7 @@ def whiten(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
                 out = merge_moments(out, m)
             return out
 
-        _, _, products = tree(parts, merge, scratch)
+        _, _, products = tree(parts, merge, scratch, kept)
         error = float(np.abs(products / n - np.eye(kept)).max())
     else:
         error = 0.0
