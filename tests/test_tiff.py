@@ -126,7 +126,7 @@ def load(path, index=0):
 @pytest.mark.parametrize("compression", [1, 5, 8, 32773])
 @pytest.mark.parametrize("planar", [False, True])
 @pytest.mark.parametrize("tile_w", [0, 16])
-def test_copy_crop_compact(tmp_path, compression, planar, tile_w):
+def test_copy_crop_compact(spark, tmp_path, compression, planar, tile_w):
     array = np.random.default_rng(3).integers(0, 255, (37, 41, 3), dtype=np.uint8)
     a, b = tmp_path / "a.tif", tmp_path / "b.tif"
     image(a, tiff_sink.Options(tile_w=tile_w, tile_h=16, planar=planar, compression=compression, big=tile_w > 0), array)

@@ -530,3 +530,32 @@ def tiff_region(spark, sf_dir):
     tiff_sink.write(px, tiff_sink.Options(tile_w=16, tile_h=16, compression=34925)).collect()
     tiles = tiff.scan(spark, path, "tiles").where("ty between 1 and 2 and tx = 1")
     return tiff.pixels(tiles).select("y", "x", F.col("v").cast("bigint").alias("u"))
+
+
+@query(PX + " SELECT y, x, CASE WHEN y BETWEEN 5 AND 44 AND x BETWEEN 7 AND 40 THEN 255 - u ELSE u END AS u FROM px")
+def tiff_region_update(spark, sf_dir):
+    """A rectangle changed inside a file: tiles that it covers are replaced, those that it crosses painted over."""
+    import os
+
+    from .plans.lineage import shared_folder
+    from .sources import tiff, tiff_sink, tiff_update
+
+    folder = tempfile.mkdtemp(prefix="update-", dir=shared_folder(spark))
+    path = os.path.join(folder, "raster.tif")
+    px = pixels(spark, sf_dir)
+    tiff_sink.write(px.select(F.lit(path).alias("path"), F.lit(0).alias("image"), F.lit(0).alias("c"), "y", "x", F.col("u").alias("v")), tiff_sink.Options(tile_w=16, compression=8, predictor=2))
+    changed = px.where("y between 5 and 44 and x between 7 and 40")
+    tiff_update.update(path, 0, changed.select(F.lit(0).alias("c"), "y", "x", (255 - F.col("u")).alias("v")))
+    return tiff.pixels(tiff.scan(spark, path, "tiles")).select("y", "x", F.col("v").cast("bigint").alias("u"))
+
+
+@query("""
+    WITH r AS (SELECT o_orderkey, o_custkey % 300 - 20 AS x0, o_orderkey % 200 - 10 AS y0, o_custkey % 41 AS w, o_orderkey % 37 AS h FROM orders)
+    SELECT o_orderkey, ty, tx, x0 <= tx * 16 AND x0 + w >= tx * 16 + 16 AND y0 <= ty * 8 AND y0 + h >= ty * 8 + 8 AS covered
+    FROM r, range(18) a(tx), range(25) b(ty)
+    WHERE w > 0 AND h > 0 AND x0 < tx * 16 + 16 AND x0 + w > tx * 16 AND y0 < ty * 8 + 8 AND y0 + h > ty * 8
+""")
+def rectangles_on_tiles(spark, sf_dir):
+    """Tiles that rectangles meet, and those that they cover."""
+    r = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 300 - 20).alias("x0"), (F.col("o_orderkey") % 200 - 10).alias("y0"), (F.col("o_custkey") % 41).alias("w"), (F.col("o_orderkey") % 37).alias("h"))
+    return raster.rectangles_on_grid(r, 16, 8, 18, 25).select("o_orderkey", "ty", "tx", "covered")

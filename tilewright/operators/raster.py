@@ -56,6 +56,24 @@ def tiles_of_region(x0: int, y0: int, w: int, h: int, tile_w: int, tile_h: int,
     return max(0, x0 // tile_w), min(gw - 1, (x0 + w - 1) // tile_w), max(0, y0 // tile_h), min(gh - 1, (y0 + h - 1) // tile_h)
 
 
+def rectangles_on_grid(rects: DataFrame, tile_w: int, tile_h: int, gw: int, gh: int) -> DataFrame:
+    """For rectangles (..., x0, y0, w, h) the tiles that each meets: ty, tx, and whether it covers the tile whole.
+
+    Each rectangle makes a row for each tile of its range on the grid, so the join with tiles is one of equal keys;
+    empty rectangles meet nothing. A tile's part beyond the rectangle counts even where it lies beyond the image.
+    """
+    edges = {a: (div_floor(F.col(f"{a}0"), s), div_floor(F.col(f"{a}0") + F.col(n) - 1, s), last) for a, n, s, last in (("x", "w", tile_w, gw - 1), ("y", "h", tile_h, gh - 1))}
+    out = rects.where((F.col("w") > 0) & (F.col("h") > 0))
+    for axis, (first, last, end) in edges.items():
+        low, high = F.greatest(first, F.lit(0).cast("bigint")), F.least(last, F.lit(end).cast("bigint"))
+        out = out.where(low <= high).withColumn(f"t{axis}", F.explode(F.sequence(low, F.greatest(low, high))))
+    covered = F.lit(True)
+    for axis, n, size in (("x", "w", tile_w), ("y", "h", tile_h)):
+        start = F.col(f"t{axis}") * size
+        covered = covered & (F.col(f"{axis}0") <= start) & (F.col(f"{axis}0") + F.col(n) >= start + size)
+    return out.withColumn("covered", covered)
+
+
 def region(px: DataFrame, x0: int, y0: int, w: int, h: int) -> DataFrame:
     """The samples of a rectangle, in its own coordinates."""
     inside = px.where((F.col("y") >= y0) & (F.col("y") < y0 + h) & (F.col("x") >= x0) & (F.col("x") < x0 + w))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[str] = []
+
 
 def own_folder(spark: SparkSession, label: str) -> str:
     """A folder for a session on this machine alone; on a cluster the shared folder must be named."""
@@ -14,23 +20,38 @@ def own_folder(spark: SparkSession, label: str) -> str:
     return tempfile.mkdtemp(prefix=f"tilewright-{label}-")
 
 
+def base_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or one folder of our own that goes when the process ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not _own:
+        _own.append(own_folder(spark, "work"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
+
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Checkpoint `df` in spark.checkpoint.dir, or in a folder of our own where that is unset."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark, "checkpoint"))
+        sc.setCheckpointDir(base_folder(spark))
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """A folder that executors and driver share, as a plain path; None: the default for temporary files (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return None
+def kept(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder: computed once, and read by the columns that are needed."""
+    spark = df.sparkSession
+    path = f"{base_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that executors and driver share, as a plain path."""
+    base = base_folder(spark)
     if not base.startswith(("file:", "/")):
         raise ValueError(f"files need a mounted folder; spark.checkpoint.dir is {base}")
-    import os
-
     path = "/" + base.removeprefix("file:").lstrip("/")
     os.makedirs(path, exist_ok=True)
     return path

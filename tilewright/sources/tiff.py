@@ -33,6 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import codecs, jpeg, kernels, logluv
 from ..shipping import ship
 from . import tiff_format as fmt
+from .positioned import COLUMNS, PIECES, PositionedWriter
 
 FILES = "path string, length bigint, is_tiff boolean, is_valid boolean, is_big boolean, byte_order string, first_ifd_offset bigint, images int, loop_offset bigint, error string"
 GEOMETRY = "width bigint, height bigint, channels int, bits array<int>, sample_format int, tile_w bigint, tile_h bigint, tiled boolean, planar boolean, compression int, predictor int, photometric int, fill_order int, chroma_w int, chroma_h int"
@@ -152,6 +153,11 @@ class TiffSource(DataSource):
     def reader(self, schema):
         return TiffReader(dict(self.options))
 
+    def writer(self, schema, overwrite):
+        if schema.names != COLUMNS:
+            raise ValueError(f"the format writes pieces ({PIECES}), as tiff_sink.layout gives them")
+        return PositionedWriter(self.options["path"], overwrite)
+
 
 def register(spark: SparkSession) -> None:
     ship(spark)

@@ -1,31 +1,25 @@
-"""Writing rasters as TIFF files, and editing files in place.
+"""Writing rasters as TIFF files, and editing directories in place.
 
-Writing: samples are grouped to tiles and encoded in parallel; then each file
-is one task that appends its tiles in order and ends with the directories. A
-file is written under a temporary name and renamed, so a repeated task leaves
-no half file. Memory: a tile at a time, and a file's tile index.
+Writing: samples are dealt to tiles, encoded in parallel, and written in
+parallel into the files at places known beforehand (tiff_layout.py). Editing a
+directory touches a few bytes of one file and needs no Spark.
 """
 
 from __future__ import annotations
 
 import mmap
 import os
-import shutil
 import struct
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codecs, kernels
 from ..functions.tags import TAGS
-from ..shipping import ship
 from . import tiff_format as fmt
-
-#: Largest end of tile data, and largest directory offset, in a file with 32-bit offsets.
-CLASSIC_DATA, CLASSIC_IFD = 0xFFFFFFF0, 4_000_000_000
+from .tiff_copy import compact, copy_images  # noqa: F401  editing of whole files, beside that of directories
+from .tiff_layout import CLASSIC_DATA, CLASSIC_IFD, Sheet, encoded, pieces, save
 
 
 @dataclass
@@ -46,6 +40,7 @@ class Options:
     one_bit: bool = False
     photometric: int | None = None
     filler: float = 0
+    append: bool = False
     tags: dict[int, tuple[int, object]] = field(default_factory=dict)
 
     @property
@@ -53,44 +48,72 @@ class Options:
         return "<" if self.little else ">"
 
 
-ENCODED = "path string, image int, k bigint, width bigint, height bigint, channels int, data binary"
-
-
-def encode_tiles(px: DataFrame, o: Options) -> DataFrame:
-    """Encoded tiles of samples (path, image, c, y, x, v); dimensions are the largest coordinates."""
-    dims = px.groupBy("path", "image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), (F.max("c") + 1).cast("int").alias("channels"))
+def sheet(o: Options, width: int, height: int, channels: int) -> Sheet:
+    """How an image of this size is stored under `o`."""
+    t = np.dtype(o.dtype)
+    return Sheet(width, height, channels, o.dtype, 1 if o.one_bit else t.itemsize * 8, o.tile_w or width, o.tile_h, bool(o.tile_w), o.planar, o.compression, o.predictor, o.order, o.fill_order, o.level, o.filler, o.sparse)
+
+
+def tags(o: Options, s: Sheet, offsets: list[int], sizes: list[int], big: bool) -> dict[int, tuple[int, object]]:
+    """The directory of an image whose tiles stand at these places."""
+    n, t = s.channels, np.dtype(o.dtype)
+    out: dict[int, tuple[int, object]] = {
+        256: (4, s.width), 257: (4, s.height), 258: (3, [s.bits] * n), 259: (3, o.compression), 262: (3, o.photometric if o.photometric is not None else 2 if n >= 3 else 1),
+        277: (3, n), 284: (3, 2 if o.planar else 1), 339: (3, [{"u": 1, "i": 2, "f": 3}[t.kind]] * n),
+    }
+    if n > 3 or n == 2:
+        out[338] = (3, [0] * (n - (3 if n > 3 else 1)))
+    if o.predictor != 1:
+        out[317] = (3, o.predictor)
+    if o.fill_order != 1:
+        out[266] = (3, o.fill_order)
+    kind = 16 if big else 4
+    if s.tiled:
+        out |= {322: (4, s.tile_w), 323: (4, s.tile_h), 324: (kind, offsets), 325: (kind, sizes)}
+    else:
+        out |= {278: (4, s.tile_h), 273: (kind, offsets), 279: (kind, sizes)}
+    return out | o.tags
+
+
+def with_tiles(px: DataFrame, o: Options) -> DataFrame:
+    """Samples (path, image, c, y, x, v) with the number k of their tile; dimensions are the largest coordinates."""
+    dims = px.groupBy("path", "image").agg((F.max("x") + 1).cast("bigint").alias("width"), (F.max("y") + 1).cast("bigint").alias("height"), (F.max("c") + 1).cast("int").alias("channels"))
     t = px.join(dims, ["path", "image"])
     tile_w = F.lit(o.tile_w) if o.tile_w else F.col("width")
     gw = F.ceil(F.col("width") / tile_w)
     gh = F.ceil(F.col("height") / o.tile_h)
     plane = F.col("c") if o.planar else F.lit(0)
     k = (plane * gh + F.floor(F.col("y") / o.tile_h)) * gw + F.floor(F.col("x") / tile_w)
-    t = t.select("path", "image", k.cast("bigint").alias("k"), "width", "height", "channels", "c", "y", "x", F.col("v").cast("double").alias("v"))
-
-    ship(px.sparkSession)
-    registered = codecs.added()
-
-    def encode(key, table):
-        codecs.adopt(registered)
-        path, image, number = (v.as_py() for v in key)
-        width, height, channels = (table.column(n)[0].as_py() for n in ("width", "height", "channels"))
-        w = o.tile_w or width
-        columns = -(-width // w)
-        row, tx = divmod(number % (columns * -(-height // o.tile_h)), columns)
-        h = o.tile_h if o.tile_w else min(o.tile_h, height - row * o.tile_h)
-        deep = 1 if o.planar else channels
-        out = np.full((h, w, deep), o.filler, np.dtype(o.dtype))
-        y, x, c = (table.column(n).to_numpy() for n in ("y", "x", "c"))
-        out[y - row * o.tile_h, x - tx * w, np.zeros_like(c) if o.planar else c] = table.column("v").to_numpy().astype(out.dtype)
-        bits = [1 if o.one_bit else out.dtype.itemsize * 8] * deep
-        data = kernels.encode_tile(out, compression=o.compression, predictor=o.predictor, bits=bits, order=o.order, fill_order=o.fill_order, level=o.level)
-        return pa.table({"path": [path], "image": pa.array([image], pa.int32()), "k": pa.array([number], pa.int64()), "width": pa.array([width], pa.int64()), "height": pa.array([height], pa.int64()), "channels": pa.array([channels], pa.int32()), "data": pa.array([data], pa.binary())})
-
-    return t.groupBy("path", "image", "k").applyInArrow(encode, ENCODED)
+    return t.select("path", F.col("image").cast("int").alias("image"), k.cast("bigint").alias("k"), "width", "height", "channels", F.col("c").cast("int").alias("c"), F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), "v")
+
+
+def layout(px: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
+    """The pieces (format "tiff" writes them) of the files of samples (path, image, c, y, x, v), and a report.
+
+    With o.append the images follow those of a file that is there.
+    """
+
+    def entries(image, width, height, channels, places, add, order, big):
+        s = sheet(o, width, height, channels)
+        return tags(o, s, *s.listed(places, add), big)
+
+    tiles = encoded(with_tiles(px, o), lambda image, width, height, channels: sheet(o, width, height, channels))
+    return pieces(tiles, entries, order=o.order, big=o.big, append=o.append)
+
+
+def write(px: DataFrame, o: Options) -> DataFrame:
+    """Write samples (path, image, c, y, x, v) as files; returns path, images, bytes for each file.
+
+    All tasks write into the same files, each the tiles that it encoded; a file appears, or an extended one
+    gets its new images, when all of them are done.
+    """
+    out, report = layout(px, o)
+    save(out)
+    return report
 
 
 class FileWriter:
-    """Appends tiles image by image; `finish` writes the directories."""
+    """One file written by one process, for files as small as a test's: tiles image by image; `finish` writes the directories."""
 
     def __init__(self, path: str, o: Options):
         self.path, self.temp, self.o = path, f"{path}.{os.getpid()}.tmp", o
@@ -115,40 +138,8 @@ class FileWriter:
         self.images[-1]["places"][k] = (self._append(data), len(data))
 
     def entries(self, im: dict) -> dict[int, tuple[int, object]]:
-        o = self.o
-        t = np.dtype(o.dtype)
-        w, h, n = im["width"], im["height"], im["channels"]
-        tile_w = o.tile_w or w
-        count = -(-w // tile_w) * -(-h // o.tile_h) * (n if o.planar else 1)
-        missing = [k for k in range(count) if k not in im["places"]]
-        if missing and not (o.sparse and o.tile_w):
-            by_height: dict[int, tuple[int, int]] = {}  # tiles never written share one filler
-            for k in missing:
-                rows = o.tile_h if o.tile_w else min(o.tile_h, h - (k // -(-w // tile_w)) % -(-h // o.tile_h) * o.tile_h)
-                if rows not in by_height:
-                    deep = 1 if o.planar else n
-                    data = kernels.encode_tile(np.full((rows, tile_w, deep), o.filler, t), compression=o.compression, predictor=o.predictor, bits=[1 if o.one_bit else t.itemsize * 8] * deep, order=o.order, fill_order=o.fill_order, level=o.level)
-                    by_height[rows] = (self._append(data), len(data))
-                im["places"][k] = by_height[rows]
-        places = [im["places"].get(k, (0, 0)) for k in range(count)]
-        offset_type = 16 if o.big else 4
-        bits = 1 if o.one_bit else t.itemsize * 8
-        out: dict[int, tuple[int, object]] = {
-            256: (4, w), 257: (4, h), 258: (3, [bits] * n), 259: (3, o.compression), 262: (3, o.photometric if o.photometric is not None else 2 if n >= 3 else 1),
-            277: (3, n), 284: (3, 2 if o.planar else 1), 339: (3, [{"u": 1, "i": 2, "f": 3}[t.kind]] * n),
-        }
-        if n > 3 or n == 2:
-            out[338] = (3, [0] * (n - (3 if n > 3 else 1)))
-        if o.predictor != 1:
-            out[317] = (3, o.predictor)
-        if o.fill_order != 1:
-            out[266] = (3, o.fill_order)
-        offsets, sizes = [a for a, _ in places], [b for _, b in places]
-        if o.tile_w:
-            out |= {322: (4, tile_w), 323: (4, o.tile_h), 324: (offset_type, offsets), 325: (offset_type, sizes)}
-        else:
-            out |= {278: (4, o.tile_h), 273: (offset_type, offsets), 279: (offset_type, sizes)}
-        return out | o.tags
+        form = sheet(self.o, im["width"], im["height"], im["channels"])
+        return tags(self.o, form, *form.listed(im["places"], self._append), self.o.big)
 
     def finish(self) -> tuple[int, int]:
         """Write directories and header; returns images and bytes."""
@@ -172,30 +163,6 @@ class FileWriter:
         return len(self.images), size
 
 
-def write(px: DataFrame, o: Options) -> DataFrame:
-    """Write samples (path, image, c, y, x, v) as files; returns path, images, bytes for each file.
-
-    Nothing is written until the result is used.
-    """
-
-    def run(batches):
-        writer, done = None, []
-        for b in batches:
-            for r in b.to_pylist():
-                if writer is None or writer.path != r["path"]:
-                    if writer:
-                        done.append((writer.path, *writer.finish()))
-                    writer = FileWriter(r["path"], o)
-                writer.tile(r["image"], r["k"], r["width"], r["height"], r["channels"], r["data"])
-        if writer:
-            done.append((writer.path, *writer.finish()))
-        p, n, s = zip(*done, strict=True) if done else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(n, pa.int32()), pa.array(s, pa.int64())], ["path", "images", "bytes"])
-
-    ordered = encode_tiles(px, o).repartition("path").sortWithinPartitions("path", "image", "k")
-    return ordered.mapInArrow(run, "path string, images int, bytes bigint")
-
-
 # Editing one file. These patch bytes under the file's path.
 
 
@@ -296,112 +263,3 @@ def repair_loop(path: str) -> bool:
         return False
     _patch(path, fmt.next_offset_at(data, h, offsets[-1]), struct.pack(h.order + ("Q" if h.big else "I"), 0))
     return True
-
-
-def copy_images(source: str, target: str, images: list[int] | None = None, *, crop: tuple[int, int, int, int] | None = None, compression: int | None = None, append: bool = False, filler: float = 0) -> int:
-    """Copy main images, whole or a rectangle (x, y, w, h), to `target`; returns how many.
-
-    Without crop or another compression the encoded bytes are copied; tiles that
-    share their bytes share them in the copy. Offsets of linked directories are
-    dropped. With append the images follow those that `target` has.
-    """
-    if os.path.abspath(source) == os.path.abspath(target):
-        raise ValueError("source and target are one file; use compact")
-    data = _load(source)
-    h = fmt.header(data)
-    mains = [fmt.directory(data, h, a) for a in fmt.chain(data, h)[0]]
-    mains = mains if images is None else [mains[i] for i in images]
-    old = None
-    if append and os.path.exists(target):
-        old = fmt.header(_load(target))
-        if (old.order, old.big) != (h.order, h.big):
-            raise ValueError("byte order and offset size of the files differ")
-    temp = f"{target}.{os.getpid()}.tmp"
-    if old:
-        shutil.copyfile(target, temp)
-    with open(temp, "r+b" if old else "wb") as f:
-        if old:
-            whole = _load(target)
-            last = fmt.chain(whole, old)[0][-1]
-            link = fmt.next_offset_at(whole, old, last)
-            f.seek(0, 2)
-        else:
-            f.write(fmt.file_header(h.order, h.big, 0))
-            link = fmt.first_offset_at(h.big)
-        for d in mains:
-            g = fmt.geometry(d)
-            entries = {t: v for t, v in _entries(d).items() if t not in fmt.LINKED.values()}
-            stored: dict[tuple, tuple[int, int]] = {}
-            offsets, sizes = [], []
-            if crop is None and compression is None:
-                chunks = [((p.offset, p.size), bytes(data[p.offset : p.offset + p.size])) for p in fmt.places(d, g, len(data), sparse=True)]
-            else:
-                chunks, changed = _repack(data, h, d, g, crop or (0, 0, g.width, g.height), compression or g.compression, filler)
-                entries |= changed
-            for key, raw in chunks:
-                if key not in stored:
-                    if f.tell() % 2:
-                        f.write(b"\0")
-                    stored[key] = (f.tell() if raw else 0, len(raw))
-                    f.write(raw)
-                offsets.append(stored[key][0])
-                sizes.append(stored[key][1])
-            kind = 16 if h.big else 4
-            for t in ("TileOffsets", "StripOffsets", "TileByteCounts", "StripByteCounts"):
-                entries.pop(TAGS[t], None)
-            entries |= {TAGS["TileOffsets" if g.tiled else "StripOffsets"]: (kind, offsets), TAGS["TileByteCounts" if g.tiled else "StripByteCounts"]: (kind, sizes)}
-            at = f.tell() + f.tell() % 2
-            f.seek(at)
-            f.write(fmt.pack_directory(h.order, h.big, at, entries))
-            end = f.tell()
-            f.seek(link)
-            f.write(struct.pack(h.order + ("Q" if h.big else "I"), at))
-            f.seek(end)
-            link = at + (8 + 20 * len(entries) if h.big else 2 + 12 * len(entries))
-    os.replace(temp, target)
-    return len(mains)
-
-
-def _repack(data, h: fmt.Header, d: fmt.Directory, g: fmt.Geometry, crop, compression: int, filler: float):
-    """Tiles of a rectangle of an image, decoded and encoded again, and the tags that change."""
-    x0, y0, w, h_ = crop
-    bits = g.plane_bits()
-    t = kernels.sample_type(g.bits, [g.kind])
-    image = np.full((h_, w, g.channels), filler, t)
-    for p in fmt.places(d, g, len(data), sparse=True):
-        y, x = p.ty * g.tile_h, p.tx * g.tile_w
-        a, b = max(y, y0), min(y + p.h, y0 + h_, g.height)
-        c, e = max(x, x0), min(x + p.w, x0 + w, g.width)
-        if a >= b or c >= e or not p.size:
-            continue
-        tile = kernels.decode_tile(bytes(data[p.offset : p.offset + p.size]), compression=g.compression, predictor=g.predictor, width=p.w, height=p.h, bits=bits, kind=g.kind, order=h.order, fill_order=g.fill_order)
-        part = tile[a - y : b - y, c - x : e - x]
-        if g.planar:
-            image[a - y0 : b - y0, c - x0 : e - x0, p.plane] = part[..., 0]
-        else:
-            image[a - y0 : b - y0, c - x0 : e - x0] = part
-    tile_w, tile_h = (g.tile_w, g.tile_h) if g.tiled else (w, min(g.tile_h, h_))
-    size = t.itemsize * 8
-    whole = [1] * g.channels if set(g.bits) == {1} else [size] * g.channels
-    chunks = []
-    for plane in range(g.planes):
-        for y in range(0, h_, tile_h):
-            for x in range(0, w, tile_w):
-                rows = tile_h if g.tiled else min(tile_h, h_ - y)
-                block = np.full((rows, tile_w, 1 if g.planar else g.channels), filler, t)
-                part = image[y : y + rows, x : x + tile_w, plane : plane + 1] if g.planar else image[y : y + rows, x : x + tile_w]
-                block[: part.shape[0], : part.shape[1]] = part
-                chunks.append(((plane, y, x), kernels.encode_tile(block, compression=compression, predictor=g.predictor, bits=whole[: block.shape[2]], order=h.order, fill_order=g.fill_order)))
-    changed = {256: (4, w), 257: (4, h_), 258: (3, whole), 259: (3, compression)}
-    if not g.tiled:
-        changed[278] = (4, tile_h)
-    return chunks, changed
-
-
-def compact(path: str) -> int:
-    """Drop the bytes that no directory uses; returns how many."""
-    before = os.path.getsize(path)
-    temp = f"{path}.compact"
-    copy_images(path, temp)
-    os.replace(temp, path)
-    return before - os.path.getsize(path)
