@@ -559,3 +559,43 @@ def rectangles_on_tiles(spark, sf_dir):
     """Tiles that rectangles meet, and those that they cover."""
     r = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 300 - 20).alias("x0"), (F.col("o_orderkey") % 200 - 10).alias("y0"), (F.col("o_custkey") % 41).alias("w"), (F.col("o_orderkey") % 37).alias("h"))
     return raster.rectangles_on_grid(r, 16, 8, 18, 25).select("o_orderkey", "ty", "tx", "covered")
+
+
+def _one_bit(name: str, options: dict) -> None:
+    def run(spark, sf_dir):
+        import os
+
+        from .plans.lineage import shared_folder
+        from .sources import tiff, tiff_sink
+
+        path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-", dir=shared_folder(spark)), "raster.tif")
+        px = pixels(spark, sf_dir).select(F.lit(path).alias("path"), F.lit(0).alias("image"), F.lit(0).alias("c"), "y", "x", (F.col("u") >= 128).cast("int").alias("v"))
+        tiff_sink.write(px, tiff_sink.Options(one_bit=True, **options))
+        return tiff.pixels(tiff.scan(spark, path, "tiles")).select("y", "x", F.col("v").cast("bigint").alias("u"))
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = PX + " SELECT y, x, CASE WHEN u >= 128 THEN 1 ELSE 0 END AS u FROM px"
+
+
+for _name, _options in {
+    "codec_ccitt_rle_roundtrip": dict(compression=2, tile_h=9),
+    "codec_ccitt_t4_roundtrip": dict(compression=3, fax=5, tile_w=32, tile_h=32),
+    "codec_ccitt_t6_roundtrip": dict(compression=4, tile_h=64, fill_order=2),
+}.items():
+    _one_bit(_name, _options)
+
+
+@query(PX + " SELECT y, count(*) AS samples, count(*) AS near FROM px GROUP BY y")
+def codec_jpeg_bounded(spark, sf_dir):
+    """JPEG tiles with all quantisers one: rounding of coefficients moves no sample by more than four."""
+    import os
+
+    from .plans.lineage import shared_folder
+    from .sources import tiff, tiff_sink
+
+    path = os.path.join(tempfile.mkdtemp(prefix="jpeg-", dir=shared_folder(spark)), "raster.tif")
+    px = pixels(spark, sf_dir)
+    tiff_sink.write(px.select(F.lit(path).alias("path"), F.lit(0).alias("image"), F.lit(0).alias("c"), "y", "x", F.col("u").alias("v")), tiff_sink.Options(tile_w=16, tile_h=16, compression=7, level=1.0))
+    back = tiff.pixels(tiff.scan(spark, path, "tiles")).join(px, ["y", "x"])
+    return back.groupBy("y").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.abs(F.col("v") - F.col("u")) <= 4).alias("near"))

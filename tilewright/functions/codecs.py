@@ -2,7 +2,7 @@
 
 encode(data, info) and decode(data, info) work on bytes; `info` has what a
 method may need: row (bytes of a pixel row), size (bytes expected), level in
-0..1, width and height. Further methods can be registered under their code.
+0..1, width and height, and options that the directory states for the method. Further methods can be registered under their code.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from . import png
+from . import ccitt, png
 from .tags import COMPRESSIONS
 
 
@@ -27,6 +27,7 @@ class Info:
     level: float = 0.5
     width: int = 0
     height: int = 0
+    options: int = 0
 
 
 Coder = Callable[[bytes, Info], bytes]
@@ -268,5 +269,23 @@ def _png_encode(data: bytes, info: Info) -> bytes:
 
 register(34933, _png_encode, lambda data, info: png.decode(data).tobytes())
 
+
+def _fax(code: int) -> tuple[Coder, Coder]:
+    """Writing and reading of a bi-level compression; info.options are those of tags 292 and 293."""
+
+    def checked(info: Info) -> Info:
+        if info.row != -(-info.width // 8):
+            raise UnsupportedCompression(f"{name_of(code)} holds one channel of single bits")
+        return info
+
+    return (
+        lambda data, info: ccitt.encode(data, code, checked(info).width, info.options),
+        lambda data, info: ccitt.decode(data, code, checked(info).width, info.height, info.options),
+    )
+
+
+for _code in (ccitt.RLE, ccitt.T4, ccitt.T6):
+    register(_code, *_fax(_code))
+
 #: The codecs of this module.
 _own = dict(_codecs)

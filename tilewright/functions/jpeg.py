@@ -1,4 +1,4 @@
-"""JPEG decoding: sequential Huffman images (8 and 12 bits) and lossless ones (2 to 16 bits).
+"""JPEG decoding: sequential and progressive Huffman images (8 and 12 bits) and lossless ones (2 to 16 bits).
 
 Blocks are entropy-decoded one by one; dequantisation, the inverse cosine
 transform and upsampling run on whole components. Chroma is repeated, not
@@ -40,6 +40,7 @@ class State:
     width: int = 0
     height: int = 0
     lossless: bool = False
+    progressive: bool = False
     components: list[Component] = field(default_factory=list)
 
 
@@ -85,15 +86,20 @@ class Bits:
         self.hold &= (1 << self.n) - 1
         return table[1][peek]
 
-    def value(self, size: int) -> int:
-        """A signed number of `size` bits."""
-        if not size:
-            return 0
+    def raw(self, size: int) -> int:
+        """The next `size` bits as a number."""
         if self.n < size:
             self.fill()
         self.n -= size
         v = self.hold >> self.n
         self.hold &= (1 << self.n) - 1
+        return v
+
+    def value(self, size: int) -> int:
+        """A signed number of `size` bits."""
+        if not size:
+            return 0
+        v = self.raw(size)
         return v if v >> size - 1 else v - (1 << size) + 1
 
 
@@ -128,11 +134,11 @@ def tables_of(data: bytes, s: State) -> None:
                 body = body[17 + n :]
         elif marker == 0xDD:
             s.restart = int.from_bytes(body[:2], "big")
-        elif marker in (0xC0, 0xC1, 0xC3):
-            s.lossless = marker == 0xC3
+        elif marker in (0xC0, 0xC1, 0xC2, 0xC3):
+            s.lossless, s.progressive = marker == 0xC3, marker == 0xC2
             s.precision, s.height, s.width = body[0], int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             s.components = [Component(c[0], c[1] >> 4, c[1] & 15, c[2]) for c in (body[6 + 3 * i : 9 + 3 * i] for i in range(body[5]))]
-        elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+        elif 0xC5 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise BadJpeg(f"JPEG process {marker - 0xC0} is not decoded")
         elif marker == 0xDA:
             chosen = []
@@ -171,7 +177,8 @@ def scan(s: State, chosen: list[Component], data: bytes, tail: bytes) -> None:
     hm, vm = max(c.h for c in s.components), max(c.v for c in s.components)
     across, down = -(-s.width // (8 * hm)), -(-s.height // (8 * vm))
     for c in chosen:
-        c.data = np.zeros((down * c.v, across * c.h, 64), np.int32)
+        if c.data is None or not s.progressive:
+            c.data = np.zeros((down * c.v, across * c.h, 64), np.int32)
     if len(chosen) == 1:  # a scan of one component goes block by block over its own size
         c = chosen[0]
         w, h = -(--(-s.width * c.h // hm) // 8), -(--(-s.height * c.v // vm) // 8)
@@ -179,6 +186,11 @@ def scan(s: State, chosen: list[Component], data: bytes, tail: bytes) -> None:
     else:
         units = [[(c, y * c.v + j, x * c.h + i) for c in chosen for j in range(c.v) for i in range(c.h)] for y in range(down) for x in range(across)]
     per = s.restart or len(units)
+    if s.progressive:
+        first, end, high, low = tail[0], tail[1], tail[2] >> 4, tail[2] & 15
+        for n, part in enumerate(intervals(data)):
+            refine(s, Bits(part), units[n * per : (n + 1) * per], first, end, high, low)
+        return
     for n, part in enumerate(intervals(data)):
         bits = Bits(part)
         last = {c.id: 0 for c in chosen}
@@ -202,6 +214,59 @@ def scan(s: State, chosen: list[Component], data: bytes, tail: bytes) -> None:
                         break
 
 
+def refine(s: State, bits: Bits, units: list, first: int, end: int, high: int, low: int) -> None:
+    """One scan of a progressive image: coefficients `first` to `end` down to bit `low`, new ones or their next bit."""
+    last: dict[int, int] = {}
+    one, skip = 1 << low, 0  # skip: blocks, this one included, that have nothing new in this band
+    for c, y, x in (u for unit in units for u in unit):
+        block = c.data[y, x]
+        if first == 0:
+            if high:
+                block[0] |= bits.raw(1) << low
+            else:
+                last[c.id] = last.get(c.id, 0) + bits.value(bits.symbol(s.huffman[0, c.dc]))
+                block[0] = last[c.id] << low
+            continue
+        k, table = first, s.huffman[1, c.ac]
+        while k <= end and not skip:
+            rs = bits.symbol(table)
+            zeros, size = rs >> 4, rs & 15
+            if not size and zeros < 15:
+                skip = (1 << zeros) + bits.raw(zeros)
+                break
+            if not high:
+                k += zeros
+                if k > 63:
+                    raise BadJpeg("a block holds too many values")
+                if size:
+                    block[ZIGZAG[k]] = bits.value(size) << low
+                k += 1
+                continue
+            new = (one if bits.raw(1) else -one) if size else 0
+            while k <= end:
+                at = ZIGZAG[k]
+                k += 1
+                if block[at]:
+                    next_bit(block, at, bits, one)
+                elif zeros:
+                    zeros -= 1
+                else:
+                    block[at] = new
+                    break
+        if skip:
+            if high:
+                for at in ZIGZAG[k : end + 1]:
+                    if block[at]:
+                        next_bit(block, at, bits, one)
+            skip -= 1
+
+
+def next_bit(block: np.ndarray, at: int, bits: Bits, one: int) -> None:
+    """Refine a coefficient that is already known not to be zero."""
+    if bits.raw(1) and not abs(int(block[at])) & one:
+        block[at] += one if block[at] > 0 else -one
+
+
 def lossless_scan(s: State, chosen: list[Component], data: bytes, predictor: int, point: int) -> None:
     if any(c.h != 1 or c.v != 1 for c in chosen):
         raise BadJpeg("lossless images with subsampling are not decoded")
@@ -260,6 +325,13 @@ def decode(data: bytes, tables: bytes | None = None) -> np.ndarray:
     return np.stack(planes, -1).astype(np.uint8 if s.precision <= 8 else np.uint16)
 
 
+def decode_old(data: bytes, head: bytes) -> np.ndarray:
+    """An old-style strip: whole streams as they are, others after the headers that the directory gave."""
+    if data[:2] == b"\xff\xd8":
+        return decode(data, None if b"\xff\xdb" in data else head)
+    return decode(head + data + b"\xff\xd9")
+
+
 def to_rgb(ycc: np.ndarray) -> np.ndarray:
     """Full-range YCbCr to RGB."""
     y, cb, cr = (ycc[..., i].astype(float) for i in range(3))

@@ -79,14 +79,14 @@ def row_bytes(width: int, bits: list[int]) -> int:
     return -(-width * sum(bits) // 8)
 
 
-def decode_tile(data: bytes, *, compression: int, predictor: int, width: int, height: int, bits: list[int], kind: int, order: str, fill_order: int = 1, invert: bool = False, rescale: bool = False) -> np.ndarray:
+def decode_tile(data: bytes, *, compression: int, predictor: int, width: int, height: int, bits: list[int], kind: int, order: str, fill_order: int = 1, invert: bool = False, rescale: bool = False, options: int = 0) -> np.ndarray:
     """Samples (height, width, channels) of an encoded tile."""
     samples = len(bits)
     row = row_bytes(width, bits)
     size = row * height
     if fill_order == 2:
         data = REVERSED[np.frombuffer(data, np.uint8)].tobytes()
-    raw = codecs.decode(compression, data, codecs.Info(row, size, width=width, height=height))[:size]
+    raw = codecs.decode(compression, data, codecs.Info(row, size, width=width, height=height, options=options))[:size]
     flat = np.frombuffer(raw.ljust(size, b"\0"), np.uint8)
     if predictor == 2:
         flat = predict_bytes(flat, height, samples, bits, order, True)
@@ -116,7 +116,7 @@ def predict_bytes(flat: np.ndarray, height: int, samples: int, bits: list[int],
     return predict(rows, samples, back).astype(t.newbyteorder(order)).view(np.uint8).reshape(-1)
 
 
-def encode_tile(tile: np.ndarray, *, compression: int, predictor: int, bits: list[int], order: str, fill_order: int = 1, level: float = 0.5) -> bytes:
+def encode_tile(tile: np.ndarray, *, compression: int, predictor: int, bits: list[int], order: str, fill_order: int = 1, level: float = 0.5, options: int = 0) -> bytes:
     """The stored bytes of samples (height, width, channels)."""
     height, width, samples = tile.shape
     if all(b == 1 for b in bits):
@@ -127,7 +127,7 @@ def encode_tile(tile: np.ndarray, *, compression: int, predictor: int, bits: lis
         flat = predict_bytes(flat, height, samples, bits, order, False)
     elif predictor not in (0, 1):
         raise codecs.UnsupportedCompression(f"predictor {predictor}")
-    data = codecs.encode(compression, flat.tobytes(), codecs.Info(row_bytes(width, bits), flat.size, level, width, height))
+    data = codecs.encode(compression, flat.tobytes(), codecs.Info(row_bytes(width, bits), flat.size, level, width, height, options))
     return REVERSED[np.frombuffer(data, np.uint8)].tobytes() if fill_order == 2 else data
 
 

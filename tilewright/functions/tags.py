@@ -34,8 +34,8 @@ TAGS = {
 TYPES = {"BYTE": (1, 1), "ASCII": (2, 1), "SHORT": (3, 2), "LONG": (4, 4), "RATIONAL": (5, 8), "SBYTE": (6, 1), "UNDEFINED": (7, 1), "SSHORT": (8, 2), "SLONG": (9, 4), "SRATIONAL": (10, 8), "FLOAT": (11, 4), "DOUBLE": (12, 8), "IFD": (13, 4), "LONG8": (16, 8), "SLONG8": (17, 8), "IFD8": (18, 8)}
 #: Name: code, whether this engine reads it, whether it writes it.
 COMPRESSIONS = {
-    "NONE": (1, True, True), "CCITT_RLE": (2, False, False), "CCITT_T4": (3, False, False), "CCITT_T6": (4, False, False), "LZW": (5, True, True),
-    "OLD_JPEG": (6, False, False), "JPEG": (7, True, False), "DEFLATE": (8, True, True), "NEXT": (32766, False, False), "PACK_BITS": (32773, True, True),
+    "NONE": (1, True, True), "CCITT_RLE": (2, True, True), "CCITT_T4": (3, True, True), "CCITT_T6": (4, True, True), "LZW": (5, True, True),
+    "OLD_JPEG": (6, True, False), "JPEG": (7, True, True), "DEFLATE": (8, True, True), "NEXT": (32766, False, False), "PACK_BITS": (32773, True, True),
     "THUNDER_SCAN": (32809, True, False), "PIXAR_LOG": (32909, False, False), "OLD_DEFLATE": (32946, True, True), "JPEG_2000_APERIO": (33005, False, False), "JBIG": (34661, False, False),
     "SGI_LOG": (34676, True, False), "SGI_LOG_24": (34677, False, False), "JPEG_2000": (34712, False, False), "LOSSY_JPEG": (34892, True, False), "LZMA": (34925, True, True),
     "ZSTD": (50000, True, True), "WEBP": (50001, False, False),

@@ -39,7 +39,7 @@ FILES = "path string, length bigint, is_tiff boolean, is_valid boolean, is_big b
 GEOMETRY = "width bigint, height bigint, channels int, bits array<int>, sample_format int, tile_w bigint, tile_h bigint, tiled boolean, planar boolean, compression int, predictor int, photometric int, fill_order int, chroma_w int, chroma_h int"
 IFDS = "path string, global_index int, main_index int, kind string, offset bigint, next_offset bigint, entries int, in_order boolean, " + GEOMETRY + ", description string, error string"
 ENTRIES = "path string, global_index int, position int, tag int, type int, count bigint, value_offset bigint, embedded boolean, value struct<i:array<bigint>,d:array<double>,s:array<string>,b:binary,r:array<struct<num:bigint,den:bigint>>>"
-TILES = "path string, global_index int, byte_order string, k bigint, plane int, ty int, tx int, offset bigint, byte_count bigint, w int, h int, " + GEOMETRY + ", jpeg_tables binary, luma array<double>, reference array<double>"
+TILES = "path string, global_index int, byte_order string, k bigint, plane int, ty int, tx int, offset bigint, byte_count bigint, w int, h int, " + GEOMETRY + ", jpeg_tables binary, luma array<double>, reference array<double>, options bigint"
 SCHEMAS = {"files": FILES, "ifds": IFDS, "entries": ENTRIES, "tiles": TILES}
 
 
@@ -101,8 +101,11 @@ def rows(table: str, path: str, data, *, permissive: bool = False, linked: tuple
         elif g is not None:
             levels = fmt.ratios(d.numbers("YCbCrCoefficients")), fmt.whole_levels(d.numbers("ReferenceBlackWhite"))
             try:
+                heads: dict[int, bytes] = {}
                 for p in fmt.places(d, g, length, sparse):
-                    yield (path, d.global_index, "II" if h.order == "<" else "MM", p.k, p.plane, p.ty, p.tx, p.offset, p.size, p.w, p.h, *_geometry_row(g), d.get("JPEGTables"), *levels)
+                    if g.compression == 6 and p.h not in heads:
+                        heads[p.h] = fmt.old_jpeg_head(data, d, g, p.h)
+                    yield (path, d.global_index, "II" if h.order == "<" else "MM", p.k, p.plane, p.ty, p.tx, p.offset, p.size, p.w, p.h, *_geometry_row(g), heads.get(p.h, d.get("JPEGTables")), *levels, g.options)
             except ValueError:
                 if not permissive:
                     raise
@@ -208,8 +211,8 @@ def decode_rows(t: dict, data: bytes | None, *, rescale: bool = False, invert: b
         size = 4 if t["photometric"] == 32845 else 2
         codes = logluv.unpack_planes(data, t["w"], t["h"], size)
         tile = logluv.luv32_to_rgb(codes) if size == 4 else logluv.log16_to_grey(codes)[..., None]
-    elif t["compression"] in (7, 34892):
-        tile = jpeg.decode(data, t["jpeg_tables"])
+    elif t["compression"] in (6, 7, 34892):
+        tile = jpeg.decode_old(data, t["jpeg_tables"]) if t["compression"] == 6 else jpeg.decode(data, t["jpeg_tables"])
         if t["photometric"] == 6 and tile.shape[2] == 3:
             tile = jpeg.to_rgb(tile)
         elif invert and t["photometric"] == 0 and tile.shape[2] == 1:
@@ -221,9 +224,9 @@ def decode_rows(t: dict, data: bytes | None, *, rescale: bool = False, invert: b
         levels |= {"reference": t["reference"]} if t["reference"] else {}
         tile = kernels.ycbcr_tile(raw, t["w"], t["h"], t["chroma_w"], t["chroma_h"], **levels)
     else:
-        inverted = invert and t["photometric"] in (0, 5) and t["compression"] in (1, 5, 8, 32773, 32809, 32946, 34925, 50000)
+        inverted = invert and t["photometric"] in (0, 5) and t["compression"] in (1, 2, 3, 4, 5, 8, 32773, 32809, 32946, 34925, 50000)
         scaled = rescale and t["photometric"] not in (3, 4)
-        tile = kernels.decode_tile(data, compression=t["compression"], predictor=t["predictor"], width=t["w"], height=t["h"], bits=bits, kind=t["sample_format"], order=order, fill_order=t["fill_order"], invert=inverted, rescale=scaled)
+        tile = kernels.decode_tile(data, compression=t["compression"], predictor=t["predictor"], width=t["w"], height=t["h"], bits=bits, kind=t["sample_format"], order=order, fill_order=t["fill_order"], invert=inverted, rescale=scaled, options=t["options"])
     y0, x0 = t["ty"] * t["tile_h"], t["tx"] * t["tile_w"]
     tile = tile[: t["height"] - y0, : t["width"] - x0]
     for c in range(tile.shape[2]):

@@ -24,7 +24,7 @@ from .tiff_layout import Sheet, encoded, paint_blocks, pieces, save, stored_bodi
 
 INDEX = ("TileOffsets", "StripOffsets", "TileByteCounts", "StripByteCounts")
 BLOCKS = "path string, image int, k bigint, width bigint, height bigint, channels int, y bigint, x bigint, h int, w int, raw binary"
-JPEG_CODES = (7, 34892)
+JPEG_CODES = (6, 7, 34892)
 
 
 def first_entries(d: fmt.Directory) -> dict[int, tuple[int, object]]:
@@ -51,9 +51,9 @@ def decoded(t: dict, data: bytes) -> np.ndarray:
     """A stored tile's samples as they are: no inversion, no rescaling; colours of JPEG data as RGB."""
     bits = t["bits"][:1] if t["planar"] else t["bits"]
     if t["compression"] in JPEG_CODES:
-        out = jpeg.decode(data, t["jpeg_tables"])
+        out = jpeg.decode_old(data, t["jpeg_tables"]) if t["compression"] == 6 else jpeg.decode(data, t["jpeg_tables"])
         return jpeg.to_rgb(out) if t["photometric"] == 6 and out.shape[2] == 3 else out
-    return kernels.decode_tile(data, compression=t["compression"], predictor=t["predictor"], width=t["w"], height=t["h"], bits=bits, kind=t["sample_format"], order="<" if t["byte_order"] == "II" else ">", fill_order=t["fill_order"])
+    return kernels.decode_tile(data, compression=t["compression"], predictor=t["predictor"], width=t["w"], height=t["h"], bits=bits, kind=t["sample_format"], order="<" if t["byte_order"] == "II" else ">", fill_order=t["fill_order"], options=t["options"])
 
 
 def new_sheet(g: fmt.Geometry, order: str, width: int, height: int, compression: int, filler: float) -> Sheet:
@@ -61,7 +61,7 @@ def new_sheet(g: fmt.Geometry, order: str, width: int, height: int, compression:
     t = kernels.sample_type(g.bits, [g.kind])
     bits = 1 if set(g.bits) == {1} else t.itemsize * 8
     tile_w, tile_h = (g.tile_w, g.tile_h) if g.tiled else (width, min(g.tile_h, height))
-    return Sheet(width, height, g.channels, t.str, bits, tile_w, tile_h, g.tiled, g.planar, compression, g.predictor, order, g.fill_order, 0.5, filler)
+    return Sheet(width, height, g.channels, t.str, bits, tile_w, tile_h, g.tiled, g.planar, compression, 1 if compression == 7 else g.predictor, order, g.fill_order, 0.75 if compression == 7 else 0.5, filler, options=g.options)
 
 
 def blocks(tiles: DataFrame, sheets: dict[int, Sheet], at: dict[int, tuple[int, int]], target: str) -> DataFrame:
@@ -150,9 +150,15 @@ def copy_images(source: str, target: str, images: list[int] | None = None, *, cr
             if not g.tiled:
                 changed[278] = (4, s.tile_h)
             if g.compression in JPEG_CODES:  # tables and subsampling belonged to the old streams
-                kept = {t: v for t, v in kept.items() if t not in (TAGS["JPEGTables"], TAGS["YCbCrSubSampling"], TAGS["YCbCrCoefficients"], TAGS["ReferenceBlackWhite"])}
+                kept = {t: v for t, v in kept.items() if t not in (TAGS["JPEGTables"], *range(512, 522), TAGS["YCbCrSubSampling"], TAGS["YCbCrCoefficients"], TAGS["ReferenceBlackWhite"])}
                 if g.photometric == 6:
                     changed[262] = (3, 2)
+            if s.compression == 7:
+                kept.pop(TAGS["Predictor"], None)
+                if s.channels == 3 and not s.planar:
+                    changed |= {262: (3, 6), 530: (3, [1, 1])}
+            if s.compression not in (3, 4):
+                kept = {t: v for t, v in kept.items() if t not in (292, 293)}
             return kept | changed | index_tags(g.tiled, big, *s.listed(places, add))
 
         # an image that no stored tile meets still has a directory

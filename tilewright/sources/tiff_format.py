@@ -197,6 +197,7 @@ class Geometry:
     photometric: int
     fill_order: int
     subsampling: tuple[int, int] = (1, 1)
+    options: int = 0
 
     @property
     def planes(self) -> int:
@@ -232,6 +233,48 @@ def whole_levels(values: list) -> list[float] | None:
     return given + [0.0, 255.0, 128.0, 255.0, 128.0, 255.0][len(given) :] if given else None
 
 
+def method_options(d: Directory) -> int:
+    """What tags 292 and 293 state for the facsimile methods."""
+    v = d.get({3: 292, 4: 293}.get(d.get("Compression", 1), 0), 0)
+    return v if isinstance(v, int) else 0
+
+
+def old_jpeg_head(data, d: Directory, g: Geometry, height: int) -> bytes:
+    """The stream that old-style JPEG strips of this height continue: tables and headers from tags 513 to 521."""
+
+    def at(offset: int, size: int) -> bytes:
+        if not 0 < offset <= len(data) - size:
+            raise Damaged("a JPEG table lies outside the file")
+        return bytes(data[offset : offset + size])
+
+    def segment(marker: int, body: bytes) -> bytes:
+        return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    start = d.get("JPEGInterchangeFormat", 0)
+    if start:
+        raw = at(start, min(d.get("JPEGInterchangeFormatLength", 0) or len(data) - start, len(data) - start))
+        scan = raw.find(b"\xff\xda")
+        if raw[:2] != b"\xff\xd8":
+            raise Damaged("no JPEG stream where tag 513 points")
+        return raw if scan < 0 else raw[: scan + 2 + int.from_bytes(raw[scan + 2 : scan + 4], "big")]
+    n = g.channels
+    quant, dc, ac = (d.numbers(t) for t in ("JPEGQTables", "JPEGDCTables", "JPEGACTables"))
+    if min(len(quant), len(dc), len(ac)) < n:
+        raise Damaged("JPEG tables are missing")
+    out = b"\xff\xd8"
+    for i in range(n):
+        out += segment(0xDB, bytes([i]) + at(quant[i], 64))
+        for kind, place in ((0, dc[i]), (1, ac[i])):
+            counts = at(place, 16)
+            out += segment(0xC4, bytes([kind << 4 | i]) + counts + at(place + 16, sum(counts)))
+    if d.get("JPEGRestartInterval"):
+        out += segment(0xDD, int(d.get("JPEGRestartInterval")).to_bytes(2, "big"))
+    first = g.subsampling[0] << 4 | g.subsampling[1] if n == 3 and g.photometric == 6 else 0x11
+    parts = b"".join(bytes([i + 1, first if i == 0 else 0x11, i]) for i in range(n))
+    out += segment(0xC0, b"\x08" + height.to_bytes(2, "big") + g.tile_w.to_bytes(2, "big") + bytes([n]) + parts)
+    return out + segment(0xDA, bytes([n]) + b"".join(bytes([i + 1, i * 0x11]) for i in range(n)) + b"\x00\x3f\x00")
+
+
 def geometry(d: Directory) -> Geometry:
     width, height = d.get("ImageWidth"), d.get("ImageLength")
     if not isinstance(width, int) or not isinstance(height, int) or width <= 0 or height <= 0:
@@ -255,7 +298,7 @@ def geometry(d: Directory) -> Geometry:
     sub = tuple(d.numbers("YCbCrSubSampling", [2, 2])) if photometric == 6 else (1, 1)
     if len(sub) != 2 or not all(v in (1, 2, 4) for v in sub):
         raise Damaged(f"subsampling {sub}")
-    return Geometry(width, height, channels, bits, formats[0], tile_w, tile_h, tiled, d.get("PlanarConfiguration", 1) == 2 and channels > 1, d.get("Compression", 1), d.get("Predictor", 1), photometric, d.get("FillOrder", 1), sub)
+    return Geometry(width, height, channels, bits, formats[0], tile_w, tile_h, tiled, d.get("PlanarConfiguration", 1) == 2 and channels > 1, d.get("Compression", 1), d.get("Predictor", 1), photometric, d.get("FillOrder", 1), sub, method_options(d))
 
 
 @dataclass

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import codecs, kernels
+from ..functions import codecs, jpeg_write, kernels
 from ..plans.lineage import kept
 from ..shipping import ship
 from . import tiff_format as fmt
@@ -58,6 +58,9 @@ class Sheet:
     level: float = 0.5
     filler: float = 0
     sparse: bool = False
+    options: int = 0
+    mixed: bool = True  # JPEG: three channels as brightness and colour
+    sampling: tuple[int, int] = (1, 1)
 
     @property
     def columns(self) -> int:
@@ -81,8 +84,15 @@ class Sheet:
         height = self.tile_h if self.tiled else min(self.tile_h, self.height - self.origin(k)[0])
         return np.full((height, self.tile_w, 1 if self.planar else self.channels), self.filler, np.dtype(self.dtype))
 
-    def encode(self, tile: np.ndarray) -> bytes:
-        return kernels.encode_tile(tile, compression=self.compression, predictor=self.predictor, bits=[self.bits] * tile.shape[2], order=self.order, fill_order=self.fill_order, level=self.level)
+    def encode(self, tile: np.ndarray, k: int | None = None) -> bytes:
+        """The stored bytes of tile k (None: of a filler)."""
+        if self.compression == 7:
+            if k is not None:  # beyond the image the edge goes on: a jump there would show inside
+                y0, x0 = self.origin(k)
+                real = tile[: self.height - y0, : self.width - x0]
+                tile = np.pad(real, [(0, a - b) for a, b in zip(tile.shape, real.shape, strict=True)], mode="edge")
+            return jpeg_write.encode(tile, self.level, ycc=self.mixed, sampling=self.sampling)
+        return kernels.encode_tile(tile, compression=self.compression, predictor=self.predictor, bits=[self.bits] * tile.shape[2], order=self.order, fill_order=self.fill_order, level=self.level, options=self.options)
 
     def listed(self, places: dict[int, tuple[int, int]], add: Callable[[bytes], int]) -> tuple[list[int], list[int]]:
         """Offsets and sizes of all tiles; those that are missing share one filler of their height, or are none in a sparse image."""
@@ -164,7 +174,7 @@ def encoded(rows: DataFrame, sheet: SheetOf, paint=paint_samples) -> DataFrame:
             tile = form.blank(k)
             for b in parts:
                 paint(tile, *form.origin(k), b)
-            data = form.encode(tile)
+            data = form.encode(tile, k)
             at = ahead.get(path, 0)
             ahead[path] = at + padded(len(data))
             out.append((path, image, k, width, height, channels, part, at, len(data), data))

@@ -41,6 +41,8 @@ class Options:
     photometric: int | None = None
     filler: float = 0
     append: bool = False
+    fax: int = 0  # options of CCITT T.4 and T.6: tags 292 and 293
+    sampling: tuple[int, int] = (1, 1)  # JPEG: pixels across and down for one pair of colour differences
     tags: dict[int, tuple[int, object]] = field(default_factory=dict)
 
     @property
@@ -51,14 +53,15 @@ class Options:
 def sheet(o: Options, width: int, height: int, channels: int) -> Sheet:
     """How an image of this size is stored under `o`."""
     t = np.dtype(o.dtype)
-    return Sheet(width, height, channels, o.dtype, 1 if o.one_bit else t.itemsize * 8, o.tile_w or width, o.tile_h, bool(o.tile_w), o.planar, o.compression, o.predictor, o.order, o.fill_order, o.level, o.filler, o.sparse)
+    return Sheet(width, height, channels, o.dtype, 1 if o.one_bit else t.itemsize * 8, o.tile_w or width, o.tile_h, bool(o.tile_w), o.planar, o.compression, o.predictor, o.order, o.fill_order, o.level, o.filler, o.sparse, o.fax, o.photometric in (None, 6), o.sampling)
 
 
 def tags(o: Options, s: Sheet, offsets: list[int], sizes: list[int], big: bool) -> dict[int, tuple[int, object]]:
     """The directory of an image whose tiles stand at these places."""
     n, t = s.channels, np.dtype(o.dtype)
+    mixed = o.compression == 7 and n == 3 and not o.planar and s.mixed
     out: dict[int, tuple[int, object]] = {
-        256: (4, s.width), 257: (4, s.height), 258: (3, [s.bits] * n), 259: (3, o.compression), 262: (3, o.photometric if o.photometric is not None else 2 if n >= 3 else 1),
+        256: (4, s.width), 257: (4, s.height), 258: (3, [s.bits] * n), 259: (3, o.compression), 262: (3, o.photometric if o.photometric is not None else 6 if mixed else 2 if n >= 3 else 1),
         277: (3, n), 284: (3, 2 if o.planar else 1), 339: (3, [{"u": 1, "i": 2, "f": 3}[t.kind]] * n),
     }
     if n > 3 or n == 2:
@@ -67,6 +70,10 @@ def tags(o: Options, s: Sheet, offsets: list[int], sizes: list[int], big: bool)
         out[317] = (3, o.predictor)
     if o.fill_order != 1:
         out[266] = (3, o.fill_order)
+    if o.compression in (3, 4):
+        out[292 if o.compression == 3 else 293] = (4, o.fax)
+    if mixed:
+        out[530] = (3, list(o.sampling))
     kind = 16 if big else 4
     if s.tiled:
         out |= {322: (4, s.tile_w), 323: (4, s.tile_h), 324: (kind, offsets), 325: (kind, sizes)}

@@ -111,7 +111,7 @@ def update(path: str, main_index: int, px: DataFrame, *, outside: str = "error",
                 f.seek(t["offset"])
                 tile = decoded(t, f.read(t["byte_count"])).astype(np.dtype(sheet.dtype))
         paint_samples(tile, y0, x0, b)
-        body = sheet.encode(tile)
+        body = sheet.encode(tile, k)
         return pa.table({"k": [k], "old_at": [t["offset"]], "old_size": [t["byte_count"]], "shared": [t["shared"]], "size": [len(body)], "data": pa.array([body], pa.binary())})
 
     new = kept(rows.groupBy("k").cogroup(touched.groupBy("k")).applyInArrow(merge, NEW))
