@@ -528,8 +528,26 @@ def tiff_region(spark, sf_dir):
     path = os.path.join(folder, "raster.tif")
     px = pixels(spark, sf_dir).select(F.lit(path).alias("path"), F.lit(0).alias("image"), F.lit(0).alias("c"), "y", "x", F.col("u").alias("v"))
     tiff_sink.write(px, tiff_sink.Options(tile_w=16, tile_h=16, compression=34925)).collect()
-    tiles = tiff.scan(spark, path, "tiles").where("ty between 1 and 2 and tx = 1")
-    return tiff.pixels(tiles).select("y", "x", F.col("v").cast("bigint").alias("u"))
+    inside = tiff.region(spark, path, 16, 16, 16, 32)
+    return inside.select((F.col("y") + 16).alias("y"), (F.col("x") + 16).alias("x"), F.col("v").cast("bigint").alias("u"))
+
+
+@query(PX + ", two AS (SELECT 0 AS image, y, x, u FROM px UNION ALL SELECT 1, y, x, 255 - u FROM px), r AS (SELECT a.range AS y, b.range AS x FROM range(30) a, range(80) b) "
+       "SELECT 1 AS image, r.y, r.x, coalesce(u, 7) AS u FROM r LEFT JOIN two ON two.image = 1 AND two.y = r.y + 37 AND two.x = r.x - 9")
+def tiff_region_filled(spark, sf_dir):
+    """A rectangle that crosses tiles and the edge of the second of two images; the other image's tiles are not listed."""
+    import os
+
+    from .plans.lineage import shared_folder
+    from .sources import tiff, tiff_sink
+
+    folder = tempfile.mkdtemp(prefix="region-", dir=shared_folder(spark))
+    path = os.path.join(folder, "raster.tif")
+    values = F.array(F.struct(F.lit(0).alias("image"), F.col("u").alias("v")), F.struct(F.lit(1).alias("image"), (255 - F.col("u")).alias("v")))
+    px = pixels(spark, sf_dir).select(F.lit(path).alias("path"), F.lit(0).alias("c"), "y", "x", F.explode(values).alias("i"))
+    tiff_sink.write(px.select("path", "i.image", "c", "y", "x", "i.v"), tiff_sink.Options(tile_w=16, tile_h=16, compression=5))
+    inside = tiff.region(spark, path, -9, 37, 80, 30, filler=7).where("global_index = 1")
+    return inside.select(F.col("global_index").alias("image"), "y", "x", F.col("v").cast("bigint").alias("u"))
 
 
 @query(PX + " SELECT y, x, CASE WHEN y BETWEEN 5 AND 44 AND x BETWEEN 7 AND 40 THEN 255 - u ELSE u END AS u FROM px")

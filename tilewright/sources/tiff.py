@@ -13,6 +13,11 @@ binaryFile source instead, for stores that only Spark reads. Each file is a
 task of its own for directories, which are chains of pointers; samples are
 decoded with a tile a row, wherever the tile rows are.
 
+Filters on the place of tiles (global_index, k, plane, ty, tx) and on the path are pushed
+into the scan, which then reads the index entries of those tiles alone; so does the option
+region="x,y,w,h", a rectangle that each image turns into a range of its own tiles. Large
+files are several tasks, each with a range of tiles.
+
 mode=FAILFAST (default) raises on a damaged file, PERMISSIVE gives no rows for
 it (table files: a row with the error).
 """
@@ -28,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions import codecs, jpeg, kernels, logluv
+from ..operators.raster import tiles_of_region
 from ..shipping import ship
 from . import tiff_format as fmt
 from .positioned import COLUMNS, PIECES, PositionedWriter
@@ -57,14 +63,89 @@ def _tagged(kind: int, value) -> tuple:
         return (None, None, None, bytes(value), None)
     if kind in (5, 10):
         return (None, None, None, None, [value] if isinstance(value, tuple) else list(value))
-    items = value if isinstance(value, list) else [value]
+    items = value if isinstance(value, (list, fmt.Numbers)) else [value]
     if kind in (11, 12):
         return (None, [float(v) for v in items], None, None, None)
     return ([int(v) for v in items], None, None, None, None)
 
 
+#: Bounds on columns that a scan of tiles prunes by: column -> (least, most), inclusive.
+Bounds = dict[str, tuple[int, int]]
+PRUNED = ("global_index", "k", "plane", "ty", "tx")
+NO_BOUND = (0, 1 << 62)
+#: Tiles in an Arrow batch, and its schema (workers have no session to derive it).
+TILE_ROWS = 8192
+KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+TILE_ARROW = pa.schema([(name, KINDS[kind]) for name, kind in (c.split() for c in TILES.split(", "))])
+
+
+def wanted_tiles(g: fmt.Geometry, bounds: Bounds, region: tuple[int, int, int, int] | None, part: tuple[int, int]) -> np.ndarray | None:
+    """The numbers of an image's tiles within the bounds, the rectangle and the part (i, of n); None: all."""
+    gw, gh = g.grid
+    n = gw * gh * g.planes
+    if not region and part == (0, 1) and not set(bounds) & {"k", "plane", "ty", "tx"}:
+        return None
+    low, high = {}, {}
+    for axis, size in (("plane", g.planes), ("ty", gh), ("tx", gw)):
+        a, b = bounds.get(axis, NO_BOUND)
+        low[axis], high[axis] = max(0, a), min(size - 1, b)
+    if region:
+        x0, x1, y0, y1 = tiles_of_region(*region, g.tile_w, g.tile_h, gw, gh) if region[2] > 0 and region[3] > 0 else (1, 0, 1, 0)
+        low["tx"], high["tx"], low["ty"], high["ty"] = max(low["tx"], x0), min(high["tx"], x1), max(low["ty"], y0), min(high["ty"], y1)
+    plane, ty, tx = (np.arange(low[a], max(low[a], high[a] + 1)) for a in ("plane", "ty", "tx"))
+    k = ((plane[:, None, None] * gh + ty[:, None]) * gw + tx).ravel()
+    a, b = bounds.get("k", NO_BOUND)
+    a, b = max(a, n * part[0] // part[1]), min(b, n * (part[0] + 1) // part[1] - 1)
+    return k[(k >= a) & (k <= b)]
+
+
+def tile_batches(path: str, data, *, permissive: bool = False, linked: tuple[str, ...] = ("sub",), sparse: bool = False, bounds: Bounds | None = None, region: tuple[int, int, int, int] | None = None, part: tuple[int, int] = (0, 1)) -> Iterator[pa.RecordBatch]:
+    """The rows of the table tiles as Arrow batches."""
+    bounds = bounds or {}
+    schema = TILE_ARROW
+    try:
+        h = fmt.header(data)
+        found = fmt.directories(data, h, linked)
+    except ValueError:
+        if not permissive:
+            raise
+        return
+    first, last = bounds.get("global_index", NO_BOUND)
+    for d in found:
+        if not first <= d.global_index <= last:
+            continue
+        try:
+            g = fmt.geometry(d)
+        except ValueError:
+            continue
+        try:
+            p = fmt.place_arrays(d, g, len(data), sparse, wanted_tiles(g, bounds, region, part))
+            heads = {int(x): fmt.old_jpeg_head(data, d, g, int(x)) for x in np.unique(p["h"])} if g.compression == 6 else {}
+        except ValueError:
+            if not permissive:
+                raise
+            continue
+        same = dict(zip((f.name for f in schema), [path, d.global_index, "II" if h.order == "<" else "MM", *[None] * 6, g.tile_w, None, *_geometry_row(g), d.get("JPEGTables"), fmt.ratios(d.numbers("YCbCrCoefficients")), fmt.whole_levels(d.numbers("ReferenceBlackWhite")), g.options], strict=True))
+        for at in range(0, len(p["k"]), TILE_ROWS):
+            own = {("byte_count" if c == "size" else c): v[at : at + TILE_ROWS] for c, v in p.items()}
+            n = len(own["k"])
+            columns = []
+            for f in schema:
+                if f.name in own:
+                    columns.append(pa.array(own[f.name]).cast(f.type))
+                elif f.name == "jpeg_tables" and heads:
+                    columns.append(pa.array([heads[x] for x in own["h"].tolist()], f.type))
+                else:  # one value, repeated
+                    columns.append(pa.array([same[f.name]], f.type).take(pa.array(np.zeros(n, np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def rows(table: str, path: str, data, *, permissive: bool = False, linked: tuple[str, ...] = ("sub",), sparse: bool = False) -> Iterator[tuple]:
     """The rows of a table for one file's bytes."""
+    if table == "tiles":
+        for b in tile_batches(path, data, permissive=permissive, linked=linked, sparse=sparse):
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+        return
     length = len(data)
     if table == "files":
         try:
@@ -98,17 +179,6 @@ def rows(table: str, path: str, data, *, permissive: bool = False, linked: tuple
             text = "\n".join(text) if isinstance(text, list) else text
             shape = _geometry_row(g) if g else (None,) * 15
             yield (path, d.global_index, d.main_index, d.kind, d.offset, d.next_offset, len(d.entries), d.sorted, *shape, text, error)
-        elif g is not None:
-            levels = fmt.ratios(d.numbers("YCbCrCoefficients")), fmt.whole_levels(d.numbers("ReferenceBlackWhite"))
-            try:
-                heads: dict[int, bytes] = {}
-                for p in fmt.places(d, g, length, sparse):
-                    if g.compression == 6 and p.h not in heads:
-                        heads[p.h] = fmt.old_jpeg_head(data, d, g, p.h)
-                    yield (path, d.global_index, "II" if h.order == "<" else "MM", p.k, p.plane, p.ty, p.tx, p.offset, p.size, p.w, p.h, *_geometry_row(g), heads.get(p.h, d.get("JPEGTables")), *levels, g.options)
-            except ValueError:
-                if not permissive:
-                    raise
 
 
 def open_bytes(path: str):
@@ -121,8 +191,10 @@ def open_bytes(path: str):
 
 
 class OneFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    """A file, or the tiles of its images in the `part`-th of `parts` ranges."""
+
+    def __init__(self, path: str, part: int = 0, parts: int = 1):
+        self.path, self.part, self.parts = path, part, parts
 
 
 class TiffReader(DataSourceReader):
@@ -132,6 +204,43 @@ class TiffReader(DataSourceReader):
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.linked = tuple(x for x in options.get("linked", "sub").split(",") if x)
         self.sparse = options.get("sparse", "false").lower() == "true"
+        self.split = int(options.get("splitbytes", options.get("splitBytes", 1 << 30)))
+        region = options.get("region")
+        self.region = tuple(int(v) for v in region.split(",")) if region else None
+        if self.region and len(self.region) != 4:
+            raise ValueError("a region is x,y,w,h")
+        self.bounds: Bounds = {}
+        self.paths: set[str] | None = None
+
+    def pushFilters(self, filters):
+        """Take over what bounds the place of tiles, and the choice of paths; the rest is left to Spark."""
+        for f in filters:
+            name, value = f.attribute[0] if hasattr(f, "attribute") else None, getattr(f, "value", None)
+            if name == "path" and isinstance(f, (EqualTo, In)):
+                chosen = set(value if isinstance(f, In) else [value])
+                self.paths = chosen if self.paths is None else self.paths & chosen
+                yield f  # a file may be listed under another form of its path
+                continue
+            if self.table != "tiles" or name not in PRUNED or not isinstance(value, int):
+                if self.table == "tiles" and name in PRUNED and isinstance(f, In) and all(isinstance(v, int) for v in value):
+                    self.bound(name, min(value, default=0), max(value, default=-1))
+                yield f
+            elif isinstance(f, EqualTo):
+                self.bound(name, value, value)
+            elif isinstance(f, GreaterThan):
+                self.bound(name, value + 1, NO_BOUND[1])
+            elif isinstance(f, GreaterThanOrEqual):
+                self.bound(name, value, NO_BOUND[1])
+            elif isinstance(f, LessThan):
+                self.bound(name, 0, value - 1)
+            elif isinstance(f, LessThanOrEqual):
+                self.bound(name, 0, value)
+            else:
+                yield f
+
+    def bound(self, name: str, least: int, most: int) -> None:
+        a, b = self.bounds.get(name, NO_BOUND)
+        self.bounds[name] = max(a, least), min(b, most)
 
     def partitions(self):
         pattern = self.pattern.removeprefix("file:")
@@ -139,10 +248,22 @@ class TiffReader(DataSourceReader):
         found = []
         for p in paths:
             found += [os.path.join(p, n) for n in sorted(os.listdir(p)) if n[:1] not in "._"] if os.path.isdir(p) else [p]
-        return [OneFile(p) for p in found]
+        if self.paths is not None:
+            found = [p for p in found if p in self.paths]
+        if self.table != "tiles":
+            return [OneFile(p) for p in found]
+        out = []
+        for p in found:
+            parts = max(1, -(-os.path.getsize(p) // self.split)) if os.path.exists(p) else 1
+            out += [OneFile(p, i, parts) for i in range(parts)]
+        return out
 
     def read(self, partition):
-        yield from rows(self.table, partition.path, open_bytes(partition.path), permissive=self.permissive, linked=self.linked, sparse=self.sparse)
+        data = open_bytes(partition.path)
+        if self.table == "tiles":
+            yield from tile_batches(partition.path, data, permissive=self.permissive, linked=self.linked, sparse=self.sparse, bounds=self.bounds, region=self.region, part=(partition.part, partition.parts))
+        else:
+            yield from rows(self.table, partition.path, data, permissive=self.permissive, linked=self.linked, sparse=self.sparse)
 
 
 class TiffSource(DataSource):
@@ -164,6 +285,7 @@ class TiffSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TiffSource)
 
 
@@ -268,3 +390,19 @@ def pixels(tiles: DataFrame, **options) -> DataFrame:
     """One row a sample: path, global_index, c, y, x, v."""
     s = samples(tiles, **options).select("path", "global_index", "c", "y", "x0", F.posexplode("samples").alias("i", "v"))
     return s.select("path", "global_index", "c", "y", (F.col("x0") + F.col("i")).alias("x"), "v")
+
+
+def region(spark: SparkSession, path: str, x0: int, y0: int, w: int, h: int, *, filler: float | None = None, **options) -> DataFrame:
+    """The samples of a rectangle of every image at `path`, in its own coordinates: path, global_index, c, y, x, v.
+
+    Only tiles that meet it are read. Where the image has no samples there are no rows, or the filler.
+    """
+    tiles = scan(spark, path, "tiles", region=f"{x0},{y0},{w},{h}", **options)
+    inside = pixels(tiles).where((F.col("x") >= x0) & (F.col("x") < x0 + w) & (F.col("y") >= y0) & (F.col("y") < y0 + h))
+    inside = inside.withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
+    if filler is None:
+        return inside
+    images = scan(spark, path, "ifds", **options).where("width is not null").select("path", "global_index", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)).alias("c"))
+    cells = images.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
+    cells = cells.withColumns({"y": F.col("y").cast("bigint"), "x": F.col("x").cast("bigint")})
+    return cells.join(inside, ["path", "global_index", "c", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(float(filler))))

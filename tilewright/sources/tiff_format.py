@@ -6,14 +6,19 @@ Pure functions over a `bytes`-like object; nothing here knows of Spark.
 from __future__ import annotations
 
 import struct
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+
 from ..functions.tags import TAGS, TYPES
 
 CODES = {code: (name, size) for name, (code, size) in TYPES.items()}
 FORMATS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "q", 17: "q", 18: "q"}
 MAX_ENTRIES = 1_000_000
+#: Longer lists of numbers stay in the file's bytes until they are asked for.
+LONG = 64
 LINKED = {"sub": 330, "exif": 34665, "gps": 34853, "interop": 40965}
 
 
@@ -25,6 +30,33 @@ class Damaged(ValueError):
     """The file contradicts the format."""
 
 
+class Numbers(Sequence):
+    """Many numbers of one entry: a view of the file's bytes, of which only what is read is loaded."""
+
+    def __init__(self, array: np.ndarray):
+        self.array = array
+
+    def __len__(self) -> int:
+        return len(self.array)
+
+    def __getitem__(self, i):
+        return self.array[i].tolist()
+
+    def __iter__(self):
+        return iter(self.array.tolist())
+
+    def __eq__(self, other) -> bool:
+        if isinstance(other, Numbers):
+            return bool(np.array_equal(self.array, other.array))
+        return isinstance(other, (list, tuple)) and len(other) == len(self) and list(self) == list(other)
+
+    def __hash__(self):
+        return id(self)
+
+    def __array__(self, dtype=None, copy=None):
+        return self.array.astype(dtype or self.array.dtype)
+
+
 @dataclass
 class Entry:
     tag: int
@@ -52,7 +84,7 @@ class Directory:
 
     def numbers(self, tag: int | str, default=()) -> list:
         v = self.get(tag)
-        return list(default) if v is None else list(v) if isinstance(v, (list, tuple)) else [v]
+        return list(default) if v is None else v if isinstance(v, Numbers) else list(v) if isinstance(v, (list, tuple)) else [v]
 
 
 @dataclass
@@ -101,6 +133,8 @@ def value_of(data, h: Header, kind: int, count: int, at: int):
     if kind in (5, 10):
         flat = struct.unpack_from(f"{h.order}{2 * count}{'I' if kind == 5 else 'i'}", data, at)
         out = list(zip(flat[::2], flat[1::2], strict=True))
+    elif count > LONG:
+        return Numbers(np.frombuffer(data, np.dtype(h.order + FORMATS[kind]), count, at))
     else:
         out = list(struct.unpack_from(f"{h.order}{count}{FORMATS[kind]}", data, at))
     return out[0] if count == 1 else out
@@ -315,35 +349,51 @@ class Place:
     h: int
 
 
-def places(d: Directory, g: Geometry, length: int, sparse: bool = False) -> list[Place]:
-    """The tile index of an image; strips are cropped to the image, tiles are not."""
+#: The columns of a tile index, as arrays: number, plane, coordinates, range in the file, height.
+PLACE_COLUMNS = ("k", "plane", "ty", "tx", "offset", "size", "h")
+
+
+def place_arrays(d: Directory, g: Geometry, length: int, sparse: bool = False, wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The tile index of an image, or of its tiles `wanted`; strips are cropped to the image, tiles are not.
+
+    Of long indexes only the entries of wanted tiles are read.
+    """
     tiles = d.get("TileOffsets") is not None
     offsets = d.numbers("TileOffsets" if tiles else "StripOffsets")
     sizes = d.numbers("TileByteCounts" if d.get("TileByteCounts") is not None else "StripByteCounts")
     gw, gh = g.grid
     n = gw * gh * g.planes
-    if len(sizes) == 1 and len(offsets) > 1:
-        sizes = sizes * len(offsets)
-    if len(offsets) < n or len(sizes) < n:
+    alone = len(sizes) == 1 and len(offsets) > 1
+    if len(offsets) < n or (len(sizes) < n and not alone):
         raise Damaged(f"{min(len(offsets), len(sizes))} of {n} tiles are listed")
-    out = []
-    for k in range(n):
-        plane, rest = divmod(k, gw * gh)
-        ty, tx = divmod(rest, gw)
-        h = g.tile_h if g.tiled else min(g.tile_h, g.height - ty * g.tile_h)
-        offset, size = offsets[k], sizes[k]
-        if size == 0 and n == 1 and offset and not d.next_offset:
-            rest_of_file = length - offset  # a lone strip without a size takes the rest of the file
-            whole = g.tile_w * h * -(-sum(g.plane_bits()) // 8)
-            size = rest_of_file if rest_of_file <= 2 * whole + 1000 else 0
-        if size <= 0 or offset <= 0:
-            if not (sparse and g.tiled):
-                raise Damaged(f"tile {k} has no data")
-            offset, size = 0, 0
-        elif offset + size > length:
-            raise Damaged(f"tile {k} ends beyond the file")
-        out.append(Place(k, plane, ty, tx, offset, size, g.tile_w, h))
-    return out
+    k = np.arange(n) if wanted is None else wanted
+
+    def chosen(values) -> np.ndarray:
+        return (values.array[k] if isinstance(values, Numbers) else np.array(values)[k]).astype(np.int64)
+
+    offset = chosen(offsets)
+    size = np.full(len(k), sizes[0], np.int64) if alone else chosen(sizes)
+    plane, rest = np.divmod(k, gw * gh)
+    ty, tx = np.divmod(rest, gw)
+    h = np.full(len(k), g.tile_h) if g.tiled else np.minimum(g.tile_h, g.height - ty * g.tile_h)
+    if n == 1 and len(k) and size[0] == 0 and offset[0] and not d.next_offset:
+        rest_of_file = length - int(offset[0])  # a lone strip without a size takes the rest of the file
+        whole = g.tile_w * int(h[0]) * -(-sum(g.plane_bits()) // 8)
+        size[0] = rest_of_file if rest_of_file <= 2 * whole + 1000 else 0
+    empty = (size <= 0) | (offset <= 0)
+    if empty.any() and not (sparse and g.tiled):
+        raise Damaged(f"tile {int(k[empty][0])} has no data")
+    offset, size = np.where(empty, 0, offset), np.where(empty, 0, size)
+    beyond = offset > length - size
+    if beyond.any():
+        raise Damaged(f"tile {int(k[beyond][0])} ends beyond the file")
+    return dict(zip(PLACE_COLUMNS, (k, plane, ty, tx, offset, size, h), strict=True))
+
+
+def places(d: Directory, g: Geometry, length: int, sparse: bool = False) -> list[Place]:
+    """The tile index of an image, a row a tile."""
+    p = place_arrays(d, g, length, sparse)
+    return [Place(k, plane, ty, tx, offset, size, g.tile_w, h) for k, plane, ty, tx, offset, size, h in zip(*(p[c].tolist() for c in PLACE_COLUMNS), strict=True)]
 
 
 def pack_value(order: str, big: bool, kind: int, value) -> tuple[int, bytes]:
@@ -354,6 +404,8 @@ def pack_value(order: str, big: bool, kind: int, value) -> tuple[int, bytes]:
         return len(raw), raw
     if kind == 7:
         return len(value), bytes(value)
+    if isinstance(value, Numbers):
+        value = list(value)
     items = list(value) if isinstance(value, (list, tuple)) and not (kind in (5, 10) and isinstance(value, tuple)) else [value]
     if kind in (5, 10):
         flat = [x for pair in items for x in pair]
