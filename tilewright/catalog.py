@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import tags, text
-from .operators import index, raster
+from .operators import components, index, raster
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -285,9 +285,30 @@ def region_update(spark, sf_dir):
     return raster.patch(pixels(spark, sf_dir), update.withColumn("u", (F.col("y") + F.col("x")) % 256))
 
 
-@query()
+@query("""
+    WITH RECURSIVE px AS (
+        SELECT CAST(vec_id AS BIGINT) AS y, CAST(i - 1 AS BIGINT) AS x, CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 255) AS BIGINT) % 256 AS u FROM embeddings, range(1, 65) t(i)
+    ), cell AS (
+        SELECT y, x FROM px WHERE u >= 32
+    ), step AS (
+        SELECT a.range - 1 AS dy, b.range - 1 AS dx FROM range(3) a, range(3) b
+    ), start AS (
+        -- the smallest sample of an object has no neighbour before it
+        SELECT c.y, c.x FROM cell c WHERE NOT EXISTS (FROM cell n WHERE n.y = c.y AND n.x = c.x - 1) AND NOT EXISTS (FROM cell n WHERE n.y = c.y - 1 AND n.x = c.x - 1)
+            AND NOT EXISTS (FROM cell n WHERE n.y = c.y - 1 AND n.x = c.x) AND NOT EXISTS (FROM cell n WHERE n.y = c.y - 1 AND n.x = c.x + 1)
+    ), reach(sy, sx, y, x) AS (
+        SELECT y, x, y, x FROM start
+        UNION
+        SELECT r.sy, r.sx, c.y, c.x FROM reach r, step s, cell c WHERE c.y = r.y + s.dy AND c.x = r.x + s.dx
+    ), rooted AS (
+        SELECT y, x, min(sy * 64 + sx) AS root FROM reach GROUP BY y, x
+    ), sized AS (
+        SELECT root, count(*) AS area, row_number() OVER (ORDER BY root) AS label FROM rooted GROUP BY root HAVING count(*) >= 2
+    )
+    SELECT y, x, root // 64 AS root_y, root % 64 AS root_x, area, label FROM rooted JOIN sized USING (root)
+""")
 def connected_components(spark, sf_dir):
-    return raster.connected_components(pixels(spark, sf_dir).where("u >= 32"), min_area=2)
+    return components.connected_components(pixels(spark, sf_dir).where("u >= 32"), min_area=2)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")

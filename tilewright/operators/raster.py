@@ -160,38 +160,3 @@ def ycbcr_to_rgb(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Col
 def interleave_position(x: Column, channels: int, width: int) -> Column:
     """Place in the row of separated channels (all of channel 0, then 1, ...) of interleaved sample x."""
     return (x % channels) * width + F.floor(x / channels)
-
-
-def connected_components(px: DataFrame, min_area: int = 1) -> DataFrame:
-    """Label the set samples (y, x) with the smallest y, x of their 8-connected object; small objects go.
-
-    Labels travel along runs: a row's run is one vertex, so long objects need
-    few rounds. Each round is a join of runs in neighbouring rows and a minimum.
-    """
-    spark = px.sparkSession
-    w = Window.partitionBy("y").orderBy("x")
-    marked = px.select("y", "x").distinct().withColumn("g", F.col("x") - F.row_number().over(w))
-    spans = marked.groupBy("y", "g").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("g")
-    spans = _cut(spark, spans.select("y", "a", "b", F.struct("y", "a").alias("root")))
-    up = spans.select((F.col("y") + 1).alias("y2"), F.col("y").alias("y1"), F.col("a").alias("a1"), F.col("b").alias("b1"))
-    touch = spans.join(up, F.col("y") == F.col("y2")).where("a1 <= b + 1 and b1 >= a - 1").select("y", "a", "y1", "a1")
-    touch = _cut(spark, touch.union(touch.select("y1", "a1", "y", "a")).toDF("y", "a", "ny", "na"))
-    while True:
-        near = touch.join(spans.select(F.col("y").alias("ny"), F.col("a").alias("na"), F.col("root").alias("other")), ["ny", "na"]).groupBy("y", "a").agg(F.min("other").alias("other"))
-        moved = spans.join(near, ["y", "a"], "left").select("y", "a", "b", F.least("root", "other").alias("new"), "root")
-        jump = moved.select(F.struct("y", "a").alias("at"), F.col("new").alias("further"))
-        moved = moved.join(jump, F.col("new") == F.col("at"), "left").select("y", "a", "b", F.coalesce("further", "new").alias("new"), "root")
-        moved = _cut(spark, moved)
-        changed = moved.where(F.col("new") != F.col("root")).limit(1).count()
-        spans = moved.select("y", "a", "b", F.col("new").alias("root"))
-        if not changed:
-            break
-    size = spans.groupBy("root").agg(F.sum(F.col("b") - F.col("a") + 1).alias("area")).where(F.col("area") >= min_area)
-    return spans.join(size, "root").select("y", F.explode(F.sequence("a", "b")).alias("x"), F.col("root.y").alias("root_y"), F.col("root.a").alias("root_x"), "area")
-
-
-def _cut(spark, df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder."""
-    from ..plans.lineage import cut
-
-    return cut(spark, df)
