@@ -638,3 +638,120 @@ def codec_jpeg_bounded(spark, sf_dir):
     tiff_sink.write(px.select(F.lit(path).alias("path"), F.lit(0).alias("image"), F.lit(0).alias("c"), "y", "x", F.col("u").alias("v")), tiff_sink.Options(tile_w=16, tile_h=16, compression=7, level=1.0))
     back = tiff.pixels(tiff.scan(spark, path, "tiles")).join(px, ["y", "x"])
     return back.groupBy("y").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.abs(F.col("v") - F.col("u")) <= 4).alias("near"))
+
+
+SETTINGS = """
+    WITH s AS (
+        SELECT l_orderkey * 8 + l_linenumber AS id, CAST(l_suppkey % 5 + 1 AS INTEGER) AS channels,
+            list_value(1, 4, 8, 12, 16, 24, 32, 64)[l_partkey % 8 + 1] AS depth,
+            CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_orderkey % 7 < 4 THEN 1 ELSE l_orderkey % 7 - 2 END AS fmt,
+            CASE WHEN l_orderkey % 6 = 0 THEN NULL ELSE list_value(1, 5, 6, 7, 8, 34712, 32809, 9)[l_suppkey % 8 + 1] END AS comp,
+            CASE WHEN l_orderkey % 5 < 2 THEN NULL ELSE list_value(0, 1, 2, 3, 5, 6)[l_partkey % 6 + 1] END AS phot,
+            l_linenumber % 2 = 0 AS map, l_linenumber % 3 = 0 AS planar, l_orderkey % 2 = 0 AS smart, l_partkey % 11 = 0 AND l_suppkey % 5 > 0 AS odd
+        FROM (SELECT DISTINCT ON (l_orderkey * 8 + l_linenumber) * FROM lineitem ORDER BY l_orderkey * 8 + l_linenumber, l_partkey, l_suppkey)
+    )
+"""
+
+
+def settings_table(spark, sf_dir) -> DataFrame:
+    """Settings of images, one a line of an order; in some the last channel is deeper."""
+    li = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")).alias("r")).select("id", "r.*")
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (c + 1).cast("int"))
+    order = F.col("l_orderkey") % 7
+    channels = (F.col("l_suppkey") % 5 + 1).cast("int")
+    depth = pick((1, 4, 8, 12, 16, 24, 32, 64), F.col("l_partkey") % 8)
+    odd = (F.col("l_partkey") % 11 == 0) & (F.col("l_suppkey") % 5 > 0)
+    bits = F.transform(F.sequence(F.lit(1), channels), lambda i: F.when(odd & (i == channels), depth + 3).otherwise(depth))
+    return li.select(
+        "id", channels.alias("channels"), bits.alias("bits"), F.when(order == 0, None).when(order < 4, 1).otherwise(order - 2).cast("int").alias("sample_format"),
+        F.when(F.col("l_orderkey") % 6 == 0, None).otherwise(pick((1, 5, 6, 7, 8, 34712, 32809, 9), F.col("l_suppkey") % 8)).alias("compression"),
+        F.when(F.col("l_orderkey") % 5 < 2, None).otherwise(pick((0, 1, 2, 3, 5, 6), F.col("l_partkey") % 6)).alias("photometric"),
+        (F.col("l_linenumber") % 2 == 0).alias("color_map"), (F.col("l_linenumber") % 3 == 0).alias("planar"), (F.col("l_orderkey") % 2 == 0).alias("smart"),
+    )
+
+
+@query(SETTINGS + """
+    , d AS (
+        SELECT *, CASE WHEN channels = 1 AND depth = 1 THEN 1 ELSE (depth + 7) // 8 * 8 END AS norm, CASE WHEN odd THEN depth + 3 ELSE depth END AS last_depth, coalesce(fmt, 1) AS f,
+            CASE WHEN smart AND coalesce(comp, 1) = 6 THEN 7 ELSE coalesce(comp, 1) END AS c
+        FROM s
+    ), t AS (
+        SELECT *, CASE WHEN f = 3 THEN CASE WHEN odd THEN NULL WHEN depth IN (16, 24, 32) THEN 32 WHEN depth = 64 THEN 64 END WHEN f IN (1, 2, 4) THEN CASE WHEN norm IN (1, 8, 16) THEN norm WHEN norm IN (24, 32) THEN 32 END END AS whole,
+            channels = 3 AND c <> 7 AND phot = 6 AND (c <= 10 OR c = 32809) AND c <> 6 AS diff
+        FROM d
+    ), p AS (
+        SELECT *, CASE
+            WHEN (depth + 7) // 8 <> (last_depth + 7) // 8 THEN 'depths differ'
+            WHEN whole IS NULL THEN 'no such sample type'
+            WHEN NOT smart AND odd THEN 'depths differ'
+            WHEN NOT smart AND NOT (depth = 1 AND channels = 1 OR depth IN (8, 16, 32, 64)) THEN 'depth not written'
+            WHEN NOT smart AND f = 3 AND depth NOT IN (32, 64) THEN 'float depth not written'
+            WHEN c NOT IN (1, 5, 7, 8) THEN 'compression not written'
+            WHEN c = 7 AND channels NOT IN (1, 3) THEN 'channels of JPEG'
+            WHEN c = 7 AND (channels = 1 AND phot <> 1 OR channels = 3 AND phot NOT IN (2, 6)) THEN 'photometric of JPEG'
+            WHEN c <> 7 AND channels = 1 AND phot = 3 AND NOT map THEN 'palette without map'
+            WHEN c <> 7 AND channels = 1 AND phot NOT IN (0, 1, 3) THEN 'photometric of one channel'
+            WHEN NOT smart AND diff THEN 'colour differences not encoded' END AS problem
+        FROM t
+    )
+    SELECT id, problem,
+        CASE WHEN problem IS NULL THEN CAST(CASE WHEN smart THEN whole ELSE depth END AS INTEGER) END AS new_depth,
+        CASE WHEN problem IS NULL THEN CAST(CASE WHEN smart AND f = 4 THEN 1 ELSE f END AS INTEGER) END AS new_format,
+        CASE WHEN problem IS NULL THEN CAST(c AS INTEGER) END AS new_compression,
+        CASE WHEN problem IS NULL THEN CAST(CASE
+            WHEN c = 7 AND phot IS NULL THEN CASE WHEN channels = 1 THEN 1 WHEN planar THEN 2 ELSE 6 END
+            WHEN c = 7 THEN phot
+            WHEN channels = 1 AND phot IS NULL THEN CASE WHEN map THEN 3 ELSE 1 END
+            WHEN channels = 3 AND (phot IS NULL OR diff) THEN 2
+            WHEN channels = 4 AND phot IS NULL THEN 2
+            ELSE phot END AS INTEGER) END AS new_photometric
+    FROM p
+""")
+def settings_corrected(spark, sf_dir):
+    """Settings of images as a writer takes them, or why it does not; half of them in strict mode."""
+    from .plans import correction
+
+    out = correction.corrected(settings_table(spark, sf_dir), smart=F.col("smart"))
+    return out.select("id", "problem", F.col("new_bits")[0].alias("new_depth"), "new_format", "new_compression", "new_photometric")
+
+
+@query("""
+    WITH t AS (
+        SELECT l_suppkey AS image, (l_partkey * 8) + (l_suppkey % 2) * 9 AS off, l_orderkey * 8 + l_linenumber AS k, CAST(l_quantity AS BIGINT) AS n
+        FROM (SELECT DISTINCT ON (l_orderkey * 8 + l_linenumber) * FROM lineitem ORDER BY l_orderkey * 8 + l_linenumber, l_partkey, l_suppkey, l_quantity)
+    ), f AS (
+        SELECT *, max(off) OVER (PARTITION BY image) + 20 AS length FROM t
+    ), o AS (
+        SELECT image, off, arg_min(n, k) AS n, arg_max(n, k) AS last_n, count_if(off + n > length) AS outside, any_value(length) AS length FROM f GROUP BY image, off
+    ), i AS (
+        SELECT image, CAST(sum(n) AS BIGINT) AS total, min(off) AS first_off, arg_max(off + last_n, off) AS last_end, CAST(sum(outside) AS BIGINT) AS outside, any_value(length) AS length FROM o GROUP BY image
+    ), a AS (
+        SELECT *, last_end % 2 <> 0 AND last_end <> length AND last_end + 1 <> length AND length - last_end NOT IN (5, 9, -3) AS aligned FROM i
+    )
+    SELECT image, total + CASE WHEN first_off = 16 THEN 8 ELSE 0 END + CASE WHEN aligned THEN 1 ELSE 0 END AS data_bytes, aligned, outside FROM a
+""")
+def image_data_size(spark, sf_dir):
+    """Bytes of image data with their alignment, in files whose last tiles stand near the end and some of whose places are taken."""
+    li = table(spark, sf_dir, "lineitem")
+    one = li.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k")).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("r")).select("k", "r.*")
+    t = one.select(F.col("l_suppkey").alias("image"), (F.col("l_partkey") * 8 + F.col("l_suppkey") % 2 * 9).alias("offset"), "k", F.col("l_quantity").cast("bigint").alias("byte_count"))
+    t = t.join(t.groupBy("image").agg((F.max("offset") + 20).alias("length")), "image")
+    taken = F.array(F.col("length") - 5, F.col("length") - 9, F.col("length") + 3)
+    return index.image_data_size(t, ["image"], F.col("length"), taken=taken)
+
+
+@query("""
+    WITH c AS (SELECT l_orderkey * 8 + l_linenumber AS id, list_value(1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 32773, 32809, 32946, 33003, 33005, 34676, 34712, 34925, 50000, 50001)[l_partkey % 20 + 1] AS code,
+        list_value(0, 1, 2, 3, 4, 5, 6, 8, 32803, 32844, 32845)[l_suppkey % 11 + 1] AS photometric FROM lineitem)
+    SELECT id, code, photometric, code IN (2, 3, 4, 6, 32809) AS old_format, code = 7 AS standard_jpeg, code IN (6, 7) AS jpeg_or_old, code IN (33003, 33005, 34712) AS jpeg_2000, code IN (6, 7, 33003, 33005, 34712) AS jpeg_family,
+        code = 6 AS embedded_metadata, code IN (1, 2, 3, 4, 5, 8, 32773, 32809, 32946, 34925, 50000) AS low_level, code <= 10 OR code IN (32773, 32809, 32946, 34925, 50000) AS standard_or_low_level,
+        photometric IN (0, 5) AS inverted, photometric = 3 AS indexed, photometric NOT IN (3, 4) AS rescalable, photometric IN (0, 1, 2, 4, 6, 32844, 32845) AS renderable
+    FROM c
+""")
+def format_predicates(spark, sf_dir):
+    """Predicates of compressions and photometric interpretations over settings drawn from a table."""
+    pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (c + 1).cast("int"))
+    li = table(spark, sf_dir, "lineitem")
+    codes = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 32773, 32809, 32946, 33003, 33005, 34676, 34712, 34925, 50000, 50001)
+    c = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), pick(codes, F.col("l_partkey") % 20).alias("code"), pick((0, 1, 2, 3, 4, 5, 6, 8, 32803, 32844, 32845), F.col("l_suppkey") % 11).alias("photometric"))
+    return c.withColumns(tags.compression_predicates(F.col("code")) | tags.photometric_predicates(F.col("photometric")))

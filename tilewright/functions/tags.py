@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Codes of the TIFF 6.0 and BigTIFF formats and their common extensions.
 TAGS = {
@@ -66,3 +66,26 @@ def compression_table(spark: SparkSession) -> DataFrame:
 def photometric_table(spark: SparkSession) -> DataFrame:
     rows = [(c, n, n in ("WHITE_IS_ZERO", "CMYK"), n in ("RGB_PALETTE", "TRANSPARENCY_MASK")) for n, c in PHOTOMETRIC.items()]
     return spark.createDataFrame(rows, "code int, name string, inverted boolean, indexed boolean")
+
+
+# What distinguishes compressions and photometric interpretations.
+OLD_FORMATS = ("CCITT_RLE", "CCITT_T4", "CCITT_T6", "OLD_JPEG", "THUNDER_SCAN")
+LOW_LEVEL = ("NONE", "CCITT_RLE", "CCITT_T4", "CCITT_T6", "LZW", "DEFLATE", "OLD_DEFLATE", "PACK_BITS", "THUNDER_SCAN", "LZMA", "ZSTD")
+JPEG_2000 = ("JPEG_2000", "JPEG_2000_APERIO", "JPEG_2000_APERIO_33003", "JPEG_2000_APERIO_33004")
+SIMPLY_RENDERABLE = ("WHITE_IS_ZERO", "BLACK_IS_ZERO", "RGB", "TRANSPARENCY_MASK", "Y_CB_CR", "LOG_L", "LOG_LUV")
+
+
+def compression_predicates(code: Column) -> dict[str, Column]:
+    """Predicates of a compression code: old_format, standard_jpeg, jpeg_or_old, jpeg_2000, jpeg_family, embedded_metadata, low_level, standard_or_low_level."""
+    of = lambda names: code.isin(*(COMPRESSIONS[n][0] for n in names))
+    low, standard, old = of(LOW_LEVEL), of(["JPEG"]), of(["OLD_JPEG"])
+    return {
+        "old_format": of(OLD_FORMATS), "standard_jpeg": standard, "jpeg_or_old": standard | old, "jpeg_2000": of(JPEG_2000), "jpeg_family": standard | old | of(JPEG_2000),
+        "embedded_metadata": old, "low_level": low, "standard_or_low_level": (code <= 10) | low,
+    }
+
+
+def photometric_predicates(code: Column) -> dict[str, Column]:
+    """Predicates of a photometric code: inverted, indexed, rescalable, renderable."""
+    of = lambda names: code.isin(*(PHOTOMETRIC[n] for n in names))
+    return {"inverted": of(["WHITE_IS_ZERO", "CMYK"]), "indexed": of(["RGB_PALETTE"]), "rescalable": ~of(["RGB_PALETTE", "TRANSPARENCY_MASK"]), "renderable": of(SIMPLY_RENDERABLE)}

@@ -23,6 +23,24 @@ def data_size(tiles: DataFrame, by: list[str], offset: str = "offset", size: str
     return once.groupBy(*by).agg(F.sum("_n").alias("data_bytes"), F.count("*").alias("stored_tiles")) if by else once.agg(F.sum("_n").alias("data_bytes"), F.count("*").alias("stored_tiles"))
 
 
+def image_data_size(tiles: DataFrame, by: list[str], length: Column, *, big: Column | bool = False, taken: Column | None = None, offset: str = "offset", size: str = "byte_count", k: str = "k") -> DataFrame:
+    """What the stored tiles of an image take in its file of `length` bytes: data_bytes, aligned, outside.
+
+    Tiles that begin at one place count once, by the first of them (smallest k). A classic file whose data begin at 16
+    counts 8 bytes more, which its longer header left. If the last tile ends at an odd place that is free, the byte
+    after it counts, as directories begin at even places (aligned); it is not free at the end of the file or where
+    `taken`, an array of places of tag values, says so. outside: tiles that end beyond the file. Length, big and taken
+    are columns that the rows of an image share.
+    """
+    rows = tiles.select(*by, F.col(offset).alias("_at"), F.col(k).alias("_k"), F.col(size).alias("_n"), length.alias("_length"), (F.lit(big) if isinstance(big, bool) else big).alias("_big"), (taken if taken is not None else F.array().cast("array<bigint>")).alias("_taken"))
+    once = rows.groupBy(*by, "_at").agg(F.min_by("_n", "_k").alias("_n"), F.max_by("_n", "_k").alias("_last"), F.sum((F.col("_at") + F.col("_n") > F.col("_length")).cast("bigint")).alias("_outside"), F.first("_length").alias("_length"), F.first("_big").alias("_big"), F.first("_taken").alias("_taken"))
+    image = once.groupBy(*by).agg(F.sum("_n").alias("_sum"), F.min("_at").alias("_first"), F.max_by(F.col("_at") + F.col("_last"), "_at").alias("_end"), F.sum("_outside").alias("outside"), F.first("_length").alias("_length"), F.first("_big").alias("_big"), F.first("_taken").alias("_taken"))
+    end = F.col("_end")
+    aligned = (end % 2 != 0) & (end != F.col("_length")) & (end + 1 != F.col("_length")) & ~F.array_contains("_taken", end)
+    total = F.col("_sum") + F.when(~F.col("_big") & (F.col("_first") == 16), 8).otherwise(0) + F.when(aligned, 1).otherwise(0)
+    return image.select(*by, total.alias("data_bytes"), aligned.alias("aligned"), "outside")
+
+
 def chain(ifds: DataFrame, by: list[str], offset: str = "offset", order: str = "main_index") -> DataFrame:
     """Adds next_offset (0 after the last) and last_in_chain."""
     w = Window.partitionBy(*by).orderBy(order)
