@@ -160,3 +160,38 @@ def test_allocation():
     assert tiff_update.allocate([(4, 60, 40, False, 3), (5, 8, 10, False, 20)], 100) == ([(4, "at the end", 60, 3), (5, "appended", 63, 20)], 83)
     assert tiff_update.allocate([(4, 60, 40, False, 90)], 100) == ([(4, "at the end", 60, 90)], 150)
     assert tiff_update.allocate([(4, 60, 40, False, 3)], 100, always_at_end=True) == ([(4, "appended", 100, 3)], 103)
+
+
+@pytest.mark.parametrize("planar", [False, True])
+def test_repeating_tile_and_blank_image(spark, tmp_path, planar):
+    tile = np.arange(16 * 16 * 3).reshape(16, 16, 3) % 251
+    path = tmp_path / "r.tif"
+    tiff_sink.repeat_tile(spark, str(path), tile, 40, 50, tiff_sink.Options(compression=5, planar=planar))
+    assert (load(path) == np.tile(tile, (4, 3, 1))[:50, :40]).all()
+    data = path.read_bytes()
+    (d,) = fmt.directories(data)
+    assert len({p.offset for p in fmt.places(d, fmt.geometry(d), len(data))}) == (3 if planar else 1)
+    tiff_sink.blank(spark, str(tmp_path / "b.tif"), 100, 75, 3, tiff_sink.Options(filler=7, planar=planar, compression=8))
+    assert (load(tmp_path / "b.tif") == 7).all() and load(tmp_path / "b.tif").shape == (75, 100, 3)
+    tiff_sink.blank(spark, str(tmp_path / "b.tif"), 10, 10, 1, tiff_sink.Options(filler=9, append=True))
+    assert (load(tmp_path / "b.tif", 1) == 9).all()
+
+
+def test_suppliers(spark, tmp_path):
+    from tilewright.sources import supplier
+
+    path = str(tmp_path / "a.tif")
+    w = tiff_sink.FileWriter(path, tiff_sink.Options(tile_w=16, tile_h=16, sparse=True))
+    w.tile(0, 0, 20, 20, 1, bytes([1]) * 256)
+    w.tile(0, 3, 20, 20, 1, bytes([2]) * 256)
+    w.finish()
+    tiles = tiff.scan(spark, path, "tiles", sparse="true")
+    some = lambda t: np.full((16, 16, 1), 50 + t["k"]) if t["k"] != 2 and t["k"] != 3 else None
+    for mode, want in (("absent", {0: 1, 1: 51, 2: 9, 3: 2}), ("always", {0: 50, 1: 51, 2: 9, 3: 2})):
+        got = {}
+        for r in supplier.supplied(tiles, some, mode, filler=9).collect():
+            for i, v in enumerate(r.samples):
+                got[r.y, r.x0 + i] = v
+        assert len(got) == 400 and all(v == want[y // 16 * 2 + x // 16] for (y, x), v in got.items())
+    with pytest.raises(ValueError):
+        supplier.supplied(tiles, some, "sometimes")

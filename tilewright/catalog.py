@@ -755,3 +755,43 @@ def format_predicates(spark, sf_dir):
     codes = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 32773, 32809, 32946, 33003, 33005, 34676, 34712, 34925, 50000, 50001)
     c = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), pick(codes, F.col("l_partkey") % 20).alias("code"), pick((0, 1, 2, 3, 4, 5, 6, 8, 32803, 32844, 32845), F.col("l_suppkey") % 11).alias("photometric"))
     return c.withColumns(tags.compression_predicates(F.col("code")) | tags.photometric_predicates(F.col("photometric")))
+
+
+@query(PX + " SELECT r.y, c.x, u FROM range(100) r(y), range(150) c(x), px WHERE px.y = r.y % 16 AND px.x = c.x % 64")
+def tiff_repeating_tile(spark, sf_dir):
+    """An image of one stored tile, sixteen rows of the raster, under every cell of its grid."""
+    import os
+
+    import numpy as np
+
+    from .plans.lineage import shared_folder
+    from .sources import tiff, tiff_sink
+
+    path = os.path.join(tempfile.mkdtemp(prefix="repeat-", dir=shared_folder(spark)), "raster.tif")
+    tile = np.zeros((16, 64, 1))
+    for r in pixels(spark, sf_dir).where("y < 16").collect():  # one tile
+        tile[r.y, r.x, 0] = r.u
+    tiff_sink.repeat_tile(spark, path, tile, 150, 100, tiff_sink.Options(compression=8))
+    return tiff.pixels(tiff.scan(spark, path, "tiles")).select("y", "x", F.col("v").cast("bigint").alias("u"))
+
+
+@query(PX + " SELECT y, x, CASE WHEN (y // 16 + x // 16) % 2 = 0 THEN u ELSE (3 * y + x) % 256 END AS u FROM px")
+def tiff_supplied_tiles(spark, sf_dir):
+    """A sparse file with every other tile; the rest comes from a function of the place."""
+    import os
+
+    from .plans.lineage import shared_folder
+    from .sources import supplier, tiff, tiff_sink
+
+    path = os.path.join(tempfile.mkdtemp(prefix="supply-", dir=shared_folder(spark)), "raster.tif")
+    even = pixels(spark, sf_dir).where("(y div 16 + x div 16) % 2 = 0")
+    tiff_sink.write(even.select(F.lit(path).alias("path"), F.lit(0).alias("image"), F.lit(0).alias("c"), "y", "x", F.col("u").alias("v")), tiff_sink.Options(tile_w=16, tile_h=16, sparse=True, compression=5))
+
+    def slope(t):
+        import numpy as np
+
+        y, x = np.mgrid[t["ty"] * 16 : t["ty"] * 16 + 16, t["tx"] * 16 : t["tx"] * 16 + 16]
+        return ((3 * y + x) % 256)[..., None]
+
+    rows = supplier.supplied(tiff.scan(spark, path, "tiles", sparse="true"), slope)
+    return rows.select("y", "x0", F.posexplode("samples").alias("i", "v")).select("y", (F.col("x0") + F.col("i")).alias("x"), F.col("v").cast("bigint").alias("u"))

@@ -20,6 +20,7 @@ from ..functions.tags import TAGS
 from ..shipping import ship
 from . import tiff
 from . import tiff_format as fmt
+from .tiff_layout import INDEX as INDEX_ROWS
 from .tiff_layout import Sheet, encoded, paint_blocks, pieces, save, stored_bodies
 
 INDEX = ("TileOffsets", "StripOffsets", "TileByteCounts", "StripByteCounts")
@@ -162,7 +163,7 @@ def copy_images(source: str, target: str, images: list[int] | None = None, *, cr
             return kept | changed | index_tags(g.tiled, big, *s.listed(places, add))
 
         # an image that no stored tile meets still has a directory
-        index = spark.createDataFrame([(target, i, None, None, s.width, s.height, s.channels) for i, s in sheets.items()], "path string, image int, k bigint, body bigint, width bigint, height bigint, channels int")
+        index = spark.createDataFrame([(target, i, None, None, s.width, s.height, s.channels) for i, s in sheets.items()], INDEX_ROWS)
         cut = blocks(tiles.where("byte_count > 0"), sheets, at, target)
         fresh = encoded(cut, lambda image, width, height, channels: sheets[image], paint_blocks)
         own = fresh.select("path", "image", "k", F.col("k").alias("body"), "width", "height", "channels")

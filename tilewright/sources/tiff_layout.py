@@ -34,6 +34,8 @@ from .positioned import COLUMNS, PIECES
 CLASSIC_DATA, CLASSIC_IFD = 0xFFFFFFF0, 4_000_000_000
 #: Encoded tiles of one file: `part` and `ahead` say which run of bytes holds one and how far in.
 TILES = "path string, image int, k bigint, width bigint, height bigint, channels int, part int, ahead bigint, size bigint, data binary"
+#: Tiles by the body that they share: see `pieces`.
+INDEX = "path string, image int, k bigint, body bigint, width bigint, height bigint, channels int"
 #: Bytes of encoded tiles in an Arrow batch.
 BATCH = 1 << 22
 

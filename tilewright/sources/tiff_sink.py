@@ -10,16 +10,16 @@ from __future__ import annotations
 import mmap
 import os
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tags import TAGS
 from . import tiff_format as fmt
 from .tiff_copy import compact, copy_images  # noqa: F401  editing of whole files, beside that of directories
-from .tiff_layout import CLASSIC_DATA, CLASSIC_IFD, Sheet, encoded, pieces, save
+from .tiff_layout import CLASSIC_DATA, CLASSIC_IFD, INDEX, TILES, Sheet, encoded, padded, pieces, save
 
 
 @dataclass
@@ -100,12 +100,8 @@ def layout(px: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
     With o.append the images follow those of a file that is there.
     """
 
-    def entries(image, width, height, channels, places, add, order, big):
-        s = sheet(o, width, height, channels)
-        return tags(o, s, *s.listed(places, add), big)
-
     tiles = encoded(with_tiles(px, o), lambda image, width, height, channels: sheet(o, width, height, channels))
-    return pieces(tiles, entries, order=o.order, big=o.big, append=o.append)
+    return pieces(tiles, _entries_of(o), order=o.order, big=o.big, append=o.append)
 
 
 def write(px: DataFrame, o: Options) -> DataFrame:
@@ -119,6 +115,36 @@ def write(px: DataFrame, o: Options) -> DataFrame:
     return report
 
 
+def blank(spark: SparkSession, path: str, width: int, height: int, channels: int, o: Options) -> None:
+    """Write an image of o.filler alone: one stored tile (or, of strips, one of each height) that all share."""
+    none = spark.createDataFrame([], TILES)
+    image = spark.createDataFrame([(path, 0, None, None, width, height, channels)], INDEX)
+    save(pieces(none, _entries_of(o), order=o.order, big=o.big, append=o.append, index=image)[0])
+
+
+def repeat_tile(spark: SparkSession, path: str, tile: np.ndarray, width: int, height: int, o: Options) -> None:
+    """Write an image all of whose tiles are `tile` (rows, columns, channels), stored once, or once a plane."""
+    h, w, channels = tile.shape
+    s = sheet(replace(o, tile_w=w, tile_h=h), width, height, channels)
+    planes = [tile[..., i : i + 1] for i in range(channels)] if o.planar else [tile]
+    rows, ahead = [], 0
+    for i, plane in enumerate(planes):
+        data = s.encode(plane.astype(np.dtype(o.dtype)))
+        rows.append((path, 0, i, width, height, channels, 0, ahead, len(data), bytearray(data)))
+        ahead += padded(len(data))
+    each = s.rows * s.columns
+    index = spark.range(s.count).select(F.lit(path).alias("path"), F.lit(0).alias("image"), F.col("id").alias("k"), F.floor(F.col("id") / each).alias("body"), F.lit(width).cast("bigint").alias("width"), F.lit(height).cast("bigint").alias("height"), F.lit(channels).alias("channels"))
+    save(pieces(spark.createDataFrame(rows, TILES), _entries_of(replace(o, tile_w=w, tile_h=h)), order=o.order, big=o.big, append=o.append, index=index)[0])
+
+
+def _entries_of(o: Options):
+    def entries(image, width, height, channels, places, add, order, big):
+        s = sheet(o, width, height, channels)
+        return tags(o, s, *s.listed(places, add), big)
+
+    return entries
+
+
 class FileWriter:
     """One file written by one process, for files as small as a test's: tiles image by image; `finish` writes the directories."""
 
