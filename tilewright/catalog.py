@@ -795,3 +795,63 @@ def tiff_supplied_tiles(spark, sf_dir):
 
     rows = supplier.supplied(tiff.scan(spark, path, "tiles", sparse="true"), slope)
     return rows.select("y", "x0", F.posexplode("samples").alias("i", "v")).select("y", (F.col("x0") + F.col("i")).alias("x"), F.col("v").cast("bigint").alias("u"))
+
+
+def _slide(spark: SparkSession, sf_dir: str) -> str:
+    """A slide of the raster: three layers, thumbnail, label and macro, all without loss; its path."""
+    import os
+
+    from .plans.lineage import shared_folder
+    from .sources import slide, tiff_sink
+
+    path = os.path.join(tempfile.mkdtemp(prefix="slide-", dir=shared_folder(spark)), "slide.tif")
+    px = pixels(spark, sf_dir).select(F.lit(0).alias("c"), "y", "x", F.col("u").alias("v"))
+    o = tiff_sink.Options(tile_w=16, tile_h=16, compression=8, predictor=2)
+    about = slide.Slide(attributes={"AppMag": 20, "MPP": 0.5, "Date": "02/29/24", "Time": "13:05:09"})
+    slide.build(px, path, o, layers=3, ratio=2, thumbnail=40, label=px.where("y < 20 and x < 30"), macro=px.where("y < 20"), small=tiff_sink.Options(compression=8), slide=about)
+    return path
+
+
+@query(PX + """
+    , s AS (SELECT max(y) + 1 AS h, CAST(floor(64 * 40 / (max(y) + 1) + 0.5) AS BIGINT) AS tw FROM px),
+    l1 AS (SELECT y // 2 AS y, x // 2 AS x, CAST(floor((2 * sum(u) + count(*)) / (2 * count(*))) AS BIGINT) AS u FROM px, s WHERE y < h // 2 * 2 GROUP BY 1, 2),
+    l2 AS (SELECT y // 2 AS y, x // 2 AS x, CAST(floor((2 * sum(u) + count(*)) / (2 * count(*))) AS BIGINT) AS u FROM l1, s WHERE y < h // 2 // 2 * 2 GROUP BY 1, 2),
+    th AS (
+        SELECT b.range AS y, a.range AS x, CAST(floor((2 * sum(u * (least((px.x + 1) * tw, (a.range + 1) * 64) - greatest(px.x * tw, a.range * 64)) * (least((px.y + 1) * 40, (b.range + 1) * h) - greatest(px.y * 40, b.range * h))) + 64 * h) / (2 * 64 * h)) AS BIGINT) AS u
+        FROM px, s, range(64) a, range(40) b
+        WHERE a.range < tw AND least((px.x + 1) * tw, (a.range + 1) * 64) > greatest(px.x * tw, a.range * 64) AND least((px.y + 1) * 40, (b.range + 1) * h) > greatest(px.y * 40, b.range * h)
+        GROUP BY 1, 2, h
+    )
+    SELECT 0 AS image, y, x, u FROM px UNION ALL SELECT 1, y, x, u FROM th UNION ALL SELECT 2, y, x, u FROM l1 UNION ALL SELECT 3, y, x, u FROM l2
+    UNION ALL SELECT 4, y, x, u FROM px WHERE y < 20 AND x < 30 UNION ALL SELECT 5, y, x, u FROM px WHERE y < 20
+""")
+def slide_pyramid(spark, sf_dir):
+    """Every image of a slide file, read back."""
+    from .sources import tiff
+
+    back = tiff.pixels(tiff.scan(spark, _slide(spark, sf_dir), "tiles"))
+    return back.select(F.col("global_index").alias("image"), "y", "x", F.col("v").cast("bigint").alias("u"))
+
+
+@query(PX + """
+    , s AS (SELECT max(y) + 1 AS h, CAST(floor(64 * 40 / (max(y) + 1) + 0.5) AS BIGINT) AS tw FROM px), i(main_index, image_kind, layer, w, h2, said) AS (
+        SELECT 0, 'BASE', 0, 64, h, '64x' || h || ' [0,0 64x' || h || '] (16x16)' FROM s UNION ALL
+        SELECT 1, 'THUMBNAIL', -1, tw, 40, '64x' || h || ' -> ' || tw || 'x40' FROM s UNION ALL
+        SELECT 2, 'LAYER', 1, 32, h // 2, '64x' || h || ' [0,0 64x' || h || '] (16x16) -> 32x' || h // 2 FROM s UNION ALL
+        SELECT 3, 'LAYER', 2, 16, h // 4, '64x' || h || ' [0,0 64x' || h || '] (16x16) -> 16x' || h // 4 FROM s UNION ALL
+        SELECT 4, 'LABEL', -1, 30, 20, 'label 30x20' UNION ALL SELECT 5, 'MACRO', -1, 64, 20, 'macro 64x20'
+    )
+    SELECT main_index, image_kind, CAST(layer AS BIGINT) AS layer, CAST(w AS BIGINT) AS width, CAST(h2 AS BIGINT) AS height, said AS summary, main_index < 2 AS dated, CAST(CASE layer WHEN -1 THEN NULL WHEN 0 THEN 0 ELSE layer + 1 END AS BIGINT) AS image_of_layer FROM i
+""")
+def slide_kinds(spark, sf_dir):
+    """What the images of a slide file are, from its directories alone."""
+    from .plans import pyramid
+    from .sources import tiff
+
+    kinds = pyramid.classify(tiff.scan(spark, _slide(spark, sf_dir), "ifds"))
+    layer = pyramid.layer_of_image(F.col("main_index"), F.lit(1), F.lit(3)).cast("bigint")
+    return kinds.select(
+        "main_index", "image_kind", layer.alias("layer"), "width", "height", text.svs_summary(F.col("description")).alias("summary"),
+        (text.svs_date_time(F.col("description")) == F.lit("2024-02-29 13:05:09").cast("timestamp")).eqNullSafe(True).alias("dated"),
+        F.when(layer >= 0, pyramid.image_of_layer(layer, F.lit(1))).cast("bigint").alias("image_of_layer"),
+    )

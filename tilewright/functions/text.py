@@ -45,6 +45,23 @@ def svs_number(text: Column, key: str) -> Column:
     return F.get(found, F.lit(0))["value"].try_cast("double")
 
 
+def svs_number_strict(text: Column, key: str) -> Column:
+    """A numeric attribute; an error where it is absent or not a number."""
+    return F.coalesce(svs_number(text, key), F.raise_error(F.concat(F.lit(f"no number {key} in: "), shorten(F.coalesce(text, F.lit("")), 100))).cast("double"))
+
+
+def svs_date_time(text: Column) -> Column:
+    """The time that the attributes Date (month/day/year) and Time state; null if either is absent or malformed."""
+    said = {k: F.get(F.filter(svs_attributes(text), lambda p: p["key"] == k), F.lit(0))["value"] for k in ("Date", "Time")}  # noqa: B023
+    return F.try_to_timestamp(F.concat_ws(" ", said["Date"], said["Time"]), F.lit("MM/dd/yy HH:mm:ss"))
+
+
+def svs_compression_name(compression: Column, photometric: Column) -> Column:
+    """How descriptions name a compression; null: they do not."""
+    jpeg = F.when(photometric == 2, "JPEG/RGB").otherwise("JPEG/YCbCr")
+    return F.when(compression.isin(33003, 33004, 33005, 34712), "J2K").when(compression == 7, jpeg)
+
+
 def svs_text(summary: Column, attributes: list[tuple[str, Column]]) -> Column:
     """A description: the summary, then "|key = value" for each attribute."""
     return F.concat(F.lit(SVS_PREFIX + "\n"), summary, *[F.concat(F.lit(f"|{k} = "), v.cast("string")) for k, v in attributes])

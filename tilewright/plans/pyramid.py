@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import index
@@ -45,3 +45,23 @@ def classify(ifds: DataFrame) -> DataFrame:
     is_layer = F.col("image_kind").isin("BASE", "LAYER")
     layer = F.when(is_layer, F.sum(is_layer.cast("int")).over(by) - 1)
     return d.withColumn("layer", layer).drop("images", "special", "thumb", "width_before", "height_before", "main_index_before", "ratio", "chained")
+
+
+def image_of_layer(layer: Column, thumbnail: Column) -> Column:
+    """The image that holds a layer, where `thumbnail` is the thumbnail's image (null: none); also beyond the last layer."""
+    return layer + F.when(thumbnail.isNotNull() & (layer >= thumbnail), 1).otherwise(0)
+
+
+def layer_of_image(image: Column, thumbnail: Column, layers: Column) -> Column:
+    """The layer that an image holds, of `layers` in all; -1 for the thumbnail and other images."""
+    layer = image - F.when(thumbnail.isNotNull() & (image > thumbnail), 1).otherwise(0)
+    return F.when((image == F.coalesce(thumbnail, F.lit(-1))) | (layer >= layers), -1).otherwise(layer)
+
+
+def main_description(ifds: DataFrame) -> DataFrame:
+    """Of each file the first image's description that is a slide's with magnification or pixel size: path, main_index, description."""
+    from ..functions import text
+
+    d = F.col("description")
+    main = ifds.where(F.col("main_index").isNotNull() & text.is_svs(d) & F.exists(text.svs_attributes(d), lambda p: p["key"].isin("AppMag", "MPP")))
+    return main.groupBy("path").agg(F.min(F.struct("main_index", "description")).alias("m")).select("path", "m.*")
