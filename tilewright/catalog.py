@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import tags, text
@@ -69,15 +69,26 @@ def tile_index(spark, sf_dir):
     return t.groupBy("linear").agg(F.count("*").alias("samples"), F.sum("u").alias("total"), F.min("u").alias("low"), F.max("u").alias("high"))
 
 
-@query("SELECT v AS linear, v // 20 AS plane, (v % 20) // 4 AS ty, v % 4 AS tx, (v % 4) * 300 AS from_x, ((v % 20) // 4) * 200 AS from_y, least(300, 1000 - (v % 4) * 300) AS w, least(200, 900 - ((v % 20) // 4) * 200) AS h FROM range(60) r(v)")
+GRIDS = "(SELECT p_partkey, 200 + p_partkey * 7 % 500 AS width, 100 + p_partkey * 13 % 400 AS height, (499 + p_partkey * 7 % 500) // 300 AS gw, (299 + p_partkey * 13 % 400) // 200 AS gh FROM part)"
+
+
+def grids(spark, sf_dir) -> DataFrame:
+    """Tiles of 300 x 200 of images of two planes whose sizes come from a table."""
+    p = F.col("p_partkey")
+    return raster.tile_grids(table(spark, sf_dir, "part").select("p_partkey", (200 + p * 7 % 500).alias("width"), (100 + p * 13 % 400).alias("height")), 300, 200, planes=2, crop=True)
+
+
+@query("SELECT p_partkey, v AS linear, v // (gw * gh) AS plane, v % (gw * gh) // gw AS ty, v % gw AS tx, v % gw * 300 AS from_x, v % (gw * gh) // gw * 200 AS from_y, least(300, width - v % gw * 300) AS w, least(200, height - v % (gw * gh) // gw * 200) AS h FROM " + GRIDS + " g, range(18) r(v) WHERE v < 2 * gw * gh")
 def tile_grid(spark, sf_dir):
-    return raster.tile_grid(spark, 1000, 900, 300, 200, planes=3, crop=True)
+    return grids(spark, sf_dir).select("p_partkey", "linear", "plane", "ty", "tx", "from_x", "from_y", "w", "h")
 
 
-@query("SELECT v AS linear, (v // 20 * 5 + (v % 20) // 4) * 4 + v % 4 AS again FROM range(60) r(v)")
+@query("SELECT p_partkey, v AS linear, v AS again FROM " + GRIDS + " g, range(18) r(v) WHERE v < 2 * gw * gh")
 def tile_linear_roundtrip(spark, sf_dir):
-    g = raster.tile_grid(spark, 1000, 900, 300, 200, planes=3)
-    return g.select("linear", ((F.col("plane") * 5 + F.col("ty")) * 4 + F.col("tx")).alias("again"))
+    """Numbers of tiles from their coordinates, which came from the numbers."""
+    g = grids(spark, sf_dir)
+    again = raster.linear_number(F.col("plane"), F.col("ty"), F.col("tx"), F.ceil(F.col("width") / 300), F.ceil(F.col("height") / 200))
+    return g.select("p_partkey", "linear", again.alias("again"))
 
 
 SPARSE = "WITH s AS (SELECT l_orderkey % 4096 AS y, CAST(l_linenumber AS BIGINT) AS x, max(CAST(l_quantity AS BIGINT)) AS u FROM lineitem GROUP BY 1, 2)"
@@ -169,7 +180,7 @@ def equal_bit_depth(spark, sf_dir):
 
 @query(PX + " SELECT x % 4 AS c, max(u) AS high FROM px GROUP BY 1")
 def max_sample(spark, sf_dir):
-    return raster.with_channel(pixels(spark, sf_dir), 4).groupBy("c").agg(F.max("u").alias("high"))
+    return raster.channel_maxima(raster.with_channel(pixels(spark, sf_dir), 4))
 
 
 @query(PX + ", m AS (SELECT (max(y) + 1) // 4 * 4 AS h FROM px) SELECT y // 4 AS y, x // 4 AS x, CAST(sum(u) AS BIGINT) AS total, count(*) AS samples FROM px, m WHERE y < h GROUP BY 1, 2")
@@ -179,29 +190,32 @@ def pyramid_downscale_avg(spark, sf_dir):
     return raster.downscale(px, WIDTH, height, 4)
 
 
-DIMS = "(SELECT v AS k, 1000 + v * 37 AS w, 700 + v * 53 AS h, (1000 + v * 37) // (2 + v % 7) + v % 3 AS nw, (700 + v * 53) // (2 + v % 7) AS nh FROM range(500) r(v))"
+DIMS = "(SELECT o_orderkey AS k, 1000 + o_custkey * 37 AS w, 700 + o_custkey * 53 AS h, (1000 + o_custkey * 37) // (2 + o_orderkey % 7) + o_orderkey % 3 AS nw, (700 + o_custkey * 53) // (2 + o_orderkey % 7) AS nh FROM orders)"
 
 
-def dims(spark) -> DataFrame:
-    d = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 37 + 1000).alias("w"), (F.col("id") * 53 + 700).alias("h"))
+def dims(spark, sf_dir) -> DataFrame:
+    """Sizes of layers and of the ones after them."""
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") * 37 + 1000).alias("w"), (F.col("o_custkey") * 53 + 700).alias("h"))
     return d.withColumns({"nw": F.expr("w div (2 + k % 7) + k % 3"), "nh": F.expr("h div (2 + k % 7)")})
 
 
 @query("SELECT k, coalesce(min(r), -1) AS ratio FROM " + DIMS + " d LEFT JOIN (SELECT CAST(v AS INTEGER) AS r FROM range(2, 33) t(v)) q ON (nw = w // r OR nw = w // r + 1) AND (nh = h // r OR nh = h // r + 1) GROUP BY 1")
 def find_ratio(spark, sf_dir):
-    return dims(spark).select("k", index.find_ratio(F.col("w"), F.col("h"), F.col("nw"), F.col("nh")).alias("ratio"))
+    return dims(spark, sf_dir).select("k", index.find_ratio(F.col("w"), F.col("h"), F.col("nw"), F.col("nh")).alias("ratio"))
 
 
-@query("WITH l AS (SELECT v // 6 AS slide, v % 6 AS layer, (4096 >> CAST(v % 6 AS INTEGER)) + CASE WHEN v % 11 = 10 THEN 5 ELSE 0 END AS w, (2048 >> CAST(v % 6 AS INTEGER)) AS h FROM range(300) r(v)), o AS (SELECT *, lag(w) OVER q AS pw, lag(h) OVER q AS ph FROM l WINDOW q AS (PARTITION BY slide ORDER BY layer)) SELECT slide, layer, bool_and(coalesce((w = pw // 2 OR w = pw // 2 + 1) AND (h = ph // 2 OR h = ph // 2 + 1), true)) OVER (PARTITION BY slide ORDER BY layer) AS in_pyramid FROM o")
+@query("WITH n AS (SELECT o_custkey AS slide, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS layer FROM orders), l AS (SELECT slide, layer, (4096 >> CAST(layer AS INTEGER)) + CASE WHEN o_orderkey % 11 = 10 THEN 5 ELSE 0 END AS w, (2048 >> CAST(layer AS INTEGER)) AS h FROM n WHERE layer < 8), o AS (SELECT *, lag(w) OVER q AS pw, lag(h) OVER q AS ph FROM l WINDOW q AS (PARTITION BY slide ORDER BY layer)) SELECT slide, layer, bool_and(coalesce((w = pw // 2 OR w = pw // 2 + 1) AND (h = ph // 2 OR h = ph // 2 + 1), true)) OVER (PARTITION BY slide ORDER BY layer) AS in_pyramid FROM o")
 def layer_chain(spark, sf_dir):
-    r = spark.range(300).select(F.expr("id div 6").alias("slide"), (F.col("id") % 6).alias("layer"), F.expr("shiftright(4096, cast(id % 6 as int)) + if(id % 11 = 10, 5, 0)").alias("w"), F.expr("shiftright(2048, cast(id % 6 as int))").alias("h"))
-    return index.layer_chain(r, ["slide"]).select("slide", "layer", "in_pyramid")
+    """A customer's orders as layers of a slide; in some the width is off."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("slide"), "o_orderkey", n.cast("bigint").alias("layer")).where("layer < 8")
+    sized = o.withColumns({"w": F.expr("shiftright(4096, cast(layer as int)) + if(o_orderkey % 11 = 10, 5, 0)"), "h": F.expr("shiftright(2048, cast(layer as int))")})
+    return index.layer_chain(sized, ["slide"]).select("slide", "layer", "in_pyramid")
 
 
 @query(PX + " SELECT y, x * 2 + s.v AS x, CASE WHEN s.v = 0 THEN u // 16 ELSE u % 16 END AS u FROM px, range(2) s(v)")
 def bit_unpack_4(spark, sf_dir):
-    px = pixels(spark, sf_dir)
-    return px.select("y", F.posexplode(F.array(F.expr("u div 16"), F.col("u") % 16)).alias("s", "u"), "x").select("y", (F.col("x") * 2 + F.col("s")).alias("x"), "u")
+    return raster.unpack_bytes(pixels(spark, sf_dir), 4)
 
 
 @query(PX + " SELECT y, x, (u // 16) * 17 AS u FROM px")
@@ -216,7 +230,8 @@ def invert_brightness(spark, sf_dir):
 
 @query(PX + " SELECT y, x, CASE WHEN u >= 128 THEN 255 ELSE 0 END AS u FROM px")
 def bits_to_bytes(spark, sf_dir):
-    return pixels(spark, sf_dir).select("y", "x", F.when(F.col("u") >= 128, 255).otherwise(0).alias("u"))
+    bits = pixels(spark, sf_dir).select("y", "x", (F.col("u") >= 128).cast("bigint").alias("bit"))
+    return bits.select("y", "x", raster.bit_to_byte(F.col("bit")).alias("u"))
 
 
 @query(PX + " SELECT y, x, CAST(greatest(0, least(255, floor(u * 1.5 - 20 + 0.5))) AS BIGINT) AS u FROM px")
@@ -265,8 +280,16 @@ def drop_extra_channels(spark, sf_dir):
 
 @query(PX + " SELECT y, x // 4 AS x, string_agg(CAST(u AS VARCHAR), ',' ORDER BY x) AS channels FROM px GROUP BY 1, 2")
 def channels_to_matrix(spark, sf_dir):
-    px = pixels(spark, sf_dir).groupBy("y", F.expr("x div 4").alias("x"))
-    return px.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("x"), "u"))), lambda s: s["u"].cast("string")), ",").alias("channels"))
+    px = raster.with_channel(pixels(spark, sf_dir), 4).withColumn("x", F.expr("x div 4"))
+    merged = raster.merge_channels(px)
+    return merged.select("y", "x", F.array_join(F.transform("channels", lambda u: u.cast("string")), ",").alias("channels"))
+
+
+@query(PX + " SELECT y, x // 4 AS x, x % 4 AS c, u FROM px")
+def matrix_to_channels(spark, sf_dir):
+    """Channels taken apart again."""
+    px = raster.with_channel(pixels(spark, sf_dir), 4).withColumn("x", F.expr("x div 4"))
+    return raster.split_channels(raster.merge_channels(px)).select("y", "x", "c", "u")
 
 
 @query(PX + ", m AS (SELECT *, CASE WHEN u // 64 = lag(u // 64) OVER w THEN 0 ELSE 1 END AS f FROM px WINDOW w AS (PARTITION BY y ORDER BY x)), g AS (SELECT *, sum(f) OVER (PARTITION BY y ORDER BY x) AS run FROM m) SELECT y, u // 64 AS u, min(x) AS start, count(*) AS length FROM g GROUP BY y, run, u // 64")
@@ -364,25 +387,52 @@ def truncated_display(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.shorten(F.col("p_name"), 12).alias("shown"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({c}, '{n}')" for n, c in sorted(tags.TAGS.items(), key=lambda t: t[1])) + ") t(code, name)")
+#: Codes drawn by a table's numbers, and their names as literals.
+CODE_NAMES = [
+    (254, "NewSubfileType"), (256, "ImageWidth"), (257, "ImageLength"), (258, "BitsPerSample"), (259, "Compression"), (262, "PhotometricInterpretation"), (266, "FillOrder"), (270, "ImageDescription"), (271, "Make"), (272, "Model"), (273, "StripOffsets"), (277, "SamplesPerPixel"), (278, "RowsPerStrip"),
+    (279, "StripByteCounts"), (282, "XResolution"), (283, "YResolution"), (284, "PlanarConfiguration"), (296, "ResolutionUnit"), (305, "Software"), (306, "DateTime"), (317, "Predictor"), (322, "TileWidth"), (323, "TileLength"), (324, "TileOffsets"), (325, "TileByteCounts"), (338, "ExtraSamples"), (339, "SampleFormat"), (347, "JPEGTables"), (33432, "Copyright"), (65000, None),
+]
+
+
+def codes(spark, sf_dir, values: list[int]) -> DataFrame:
+    pick = F.element_at(F.array(*map(F.lit, values)), (F.col("l_partkey") % len(values) + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), pick.alias("code"))
+
+
+@query("SELECT l_orderkey * 8 + l_linenumber AS id, t.code, t.name FROM lineitem JOIN (VALUES " + ", ".join(f"({i}, {c}, {repr(n) if n else 'NULL'})" for i, (c, n) in enumerate(CODE_NAMES)) + f") t(i, code, name) ON t.i = l_partkey % {len(CODE_NAMES)}")
 def tag_dim_lookup(spark, sf_dir):
-    return tags.tag_table(spark)
+    """Names of tag codes, null for one that has none."""
+    return codes(spark, sf_dir, [c for c, _ in CODE_NAMES]).join(F.broadcast(tags.tag_table(spark)), "code", "left").select("id", "code", "name")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({c}, '{n}', {str(r).lower()}, {str(w).lower()})" for n, (c, r, w) in tags.COMPRESSIONS.items()) + ") t(code, name, readable, writable)")
+@query("WITH c AS (SELECT l_orderkey * 8 + l_linenumber AS id, list_value(1, 2, 3, 4, 5, 6, 7, 8, 9, 32773, 32809, 32946, 34676, 34677, 34712, 34892, 34925, 34933, 50000, 50001)[l_partkey % 20 + 1] AS code FROM lineitem) SELECT id, code, code NOT IN (9, 34677, 34712, 50001) AS readable, code IN (1, 2, 3, 4, 5, 7, 8, 32773, 32946, 34925, 34933, 50000) AS writable FROM c")
 def compression_support(spark, sf_dir):
-    return tags.compression_table(spark)
+    c = codes(spark, sf_dir, [1, 2, 3, 4, 5, 6, 7, 8, 9, 32773, 32809, 32946, 34676, 34677, 34712, 34892, 34925, 34933, 50000, 50001])
+    return c.join(F.broadcast(tags.compression_table(spark)), "code").select("id", "code", "readable", "writable")
 
 
-@query("SELECT l_orderkey, '{' || string_agg('\"' || l_linenumber || '\":' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_linenumber, CAST(l_quantity AS BIGINT)) || '}' AS json FROM lineitem GROUP BY 1")
+@query("WITH p AS (SELECT l_orderkey, l_linenumber AS tag, CASE l_linenumber WHEN 1 THEN 'One' WHEN 2 THEN 'a \\\"quoted\\\" name' ELSE 'tag' || l_linenumber END AS name, CAST(l_quantity AS BIGINT) AS v FROM lineitem), j AS (SELECT l_orderkey, tag, '\"' || name || '\":[' || v || ']' AS pair FROM p) SELECT l_orderkey, '{' || string_agg(pair, ',' ORDER BY tag, pair) || '}' AS json FROM j GROUP BY 1")
 def ifd_json(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("bigint").alias("v")))).alias("e"))
-    return e.select("l_orderkey", F.concat(F.lit("{"), F.array_join(F.transform("e", lambda s: F.concat(F.lit('"'), s["l_linenumber"].cast("string"), F.lit('":'), s["v"].cast("string"))), ","), F.lit("}")).alias("json"))
+    """An order's lines as the tags of a directory."""
+    from .plans import report
+
+    struct = "i array<bigint>, d array<double>, s array<string>, b binary, r array<struct<num:bigint,den:bigint>>"
+    empty = F.from_json(F.lit("{}"), struct)
+    value = F.struct(F.array(F.col("l_quantity").cast("bigint")).alias("i"), *(empty[n].alias(n) for n in "dsbr"))
+    entries = table(spark, sf_dir, "lineitem").select(F.lit("orders").alias("path"), F.col("l_orderkey").alias("global_index"), F.col("l_linenumber").alias("tag"), value.alias("value"))
+    names = spark.createDataFrame([(1, "One"), (2, 'a "quoted" name')], "code int, name string")
+    return report.as_json(entries, names).select(F.col("global_index").alias("l_orderkey"), "json")
 
 
-@query("SELECT o_orderkey, CAST(floor(o_totalprice) AS DOUBLE) / nullif(o_custkey % 5, 0) AS value FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN CAST(floor(o_totalprice) AS DOUBLE) / (o_custkey % 5) END AS value, o_custkey % 5 = 0 AND floor(o_totalprice) > 0 AS infinite FROM orders")
 def rational_value(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.floor("o_totalprice").cast("double") / F.nullif(F.col("o_custkey") % 5, F.lit(0))).alias("value"))
+    """Rationals as numbers; those over zero are infinite."""
+    from .operators import tagged
+
+    r = F.array(F.struct(F.floor("o_totalprice").alias("num"), (F.col("o_custkey") % 5).alias("den")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", tagged.ratio(F.struct(r.alias("r"))).alias("value"))
+    infinite = F.col("value") == float("inf")
+    return o.select("o_orderkey", F.when(~infinite, F.col("value")).alias("value"), infinite.alias("infinite"))
 
 
 # Files: rasters written as TIFF and read again must be the rasters.

@@ -33,6 +33,34 @@ def channel_totals(px: DataFrame, value: str = "u") -> DataFrame:
     return px.groupBy("c").agg(F.sum(value).alias("total"), F.count(value).alias("samples"))
 
 
+def channel_maxima(px: DataFrame, value: str = "u") -> DataFrame:
+    """The largest sample of each channel."""
+    return px.groupBy("c").agg(F.max(value).alias("high"))
+
+
+def merge_channels(px: DataFrame, value: str = "u") -> DataFrame:
+    """Samples (y, x, c) as one array a pixel, by channel."""
+    each = px.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct("c", value))).alias("s"))
+    return each.select("y", "x", F.transform("s", lambda s: s[value]).alias("channels"))
+
+
+def split_channels(px: DataFrame, value: str = "u") -> DataFrame:
+    """Arrays of a pixel's channels as samples: y, x, c."""
+    return px.select("y", "x", F.posexplode("channels").alias("c", value)).withColumn("c", F.col("c").cast("bigint"))
+
+
+def unpack_bytes(px: DataFrame, bits: int, value: str = "u") -> DataFrame:
+    """Bytes as the samples of 1, 2 or 4 bits that they hold, the highest first; x counts those samples."""
+    many = 8 // bits
+    parts = F.array(*[F.shiftright(value, 8 - bits * (i + 1)).bitwiseAND((1 << bits) - 1) for i in range(many)])
+    return px.select("y", "x", F.posexplode(parts).alias("_i", value)).select("y", (F.col("x") * many + F.col("_i")).alias("x"), value)
+
+
+def bit_to_byte(bit: Column) -> Column:
+    """Single bits as the darkest and brightest byte."""
+    return F.when(bit != 0, 255).otherwise(0)
+
+
 def tile_index(px: DataFrame, tile_w: int, tile_h: int, grid_w: int) -> DataFrame:
     """Adds tile coordinates, coordinates inside the tile, and the linear tile number."""
     tx, ty = div_floor(F.col("x"), tile_w), div_floor(F.col("y"), tile_h)
@@ -51,6 +79,23 @@ def tile_grid(spark, width: int, height: int, tile_w: int, tile_h: int, planes:
     return t.withColumns({"w": w, "h": h})
 
 
+def linear_number(plane: Column, ty: Column, tx: Column, gw: Column, gh: Column) -> Column:
+    """A tile's number in the order of planes, rows and columns."""
+    return (plane * gh + ty) * gw + tx
+
+
+def tile_grids(images: DataFrame, tile_w: int, tile_h: int, planes: int = 1, crop: bool = False) -> DataFrame:
+    """Every tile of images (..., width, height): linear, plane, ty, tx, from_x, from_y, w, h (cropped to the image, if asked)."""
+    gw, gh = F.ceil(F.col("width") / tile_w), F.ceil(F.col("height") / tile_h)
+    t = images.withColumns({"_gw": gw, "_gh": gh}).withColumn("linear", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_gw") * F.col("_gh") * planes - 1)))
+    t = t.withColumns({"plane": F.expr("linear div (_gw * _gh)"), "ty": F.expr("(linear % (_gw * _gh)) div _gw"), "tx": F.expr("linear % _gw")}).drop("_gw", "_gh")
+    t = t.withColumns({"from_x": F.col("tx") * tile_w, "from_y": F.col("ty") * tile_h})
+    w, h = F.lit(tile_w).cast("bigint"), F.lit(tile_h).cast("bigint")
+    if crop:
+        w, h = F.least(w, F.col("width") - F.col("from_x")), F.least(h, F.col("height") - F.col("from_y"))
+    return t.withColumns({"w": w, "h": h})
+
+
 def tiles_of_region(x0: int, y0: int, w: int, h: int, tile_w: int, tile_h: int, gw: int, gh: int) -> tuple[int, int, int, int]:
     """First and last tile column and row that a rectangle meets, within the grid; empty if first > last."""
     return max(0, x0 // tile_w), min(gw - 1, (x0 + w - 1) // tile_w), max(0, y0 // tile_h), min(gh - 1, (y0 + h - 1) // tile_h)
