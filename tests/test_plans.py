@@ -166,3 +166,29 @@ def test_every_surveyed_tag_and_compression_has_a_name():
     assert known <= set(tags.TAGS.values()) and len(set(tags.TAGS.values())) == len(tags.TAGS)
     assert {tags.TAGS[n] for n in ("ExposureTime", "FNumber", "DateTimeOriginal")} == {33434, 33437, 36867}
     assert not [c for c in compressions if "unknown" in codecs.name_of(c)]
+
+
+def test_unset_rectangles(spark):
+    """Random rectangles: what is left is disjoint and complete; covered tiles and empty tables give nothing."""
+    import numpy as np
+
+    from tilewright.operators import coverage
+
+    rng = np.random.default_rng(9)
+    rows = [tuple(int(v) for v in (*rng.integers(-10, 60, 2), *rng.integers(0, 25, 2))) for _ in range(25)] + [(16, 16, 16, 16)] * 3
+    covered = np.zeros((48, 48), bool)
+    for x, y, w, h in rows:
+        covered[max(y, 0) : max(y + h, 0), max(x, 0) : max(x + w, 0)] = True
+    out = coverage.unset_rectangles(spark.createDataFrame(rows, "x0 long, y0 long, w long, h long"), 16, 16, 3, 3).collect()
+    left = np.zeros((48, 48), int)
+    for r in out:
+        left[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w] += 1
+        assert r.y0 // 16 == r.ty == (r.y0 + r.h - 1) // 16 and r.x0 // 16 == r.tx == (r.x0 + r.w - 1) // 16
+    met = np.zeros((48, 48), bool)
+    for ty in range(3):
+        for tx in range(3):
+            block = np.s_[ty * 16 : ty * 16 + 16, tx * 16 : tx * 16 + 16]
+            met[block] = covered[block].any()
+    assert (left == (met & ~covered)).all() and not any((r.ty, r.tx) == (1, 1) for r in out)
+    assert coverage.unset_rectangles(spark.createDataFrame([], "x0 long, y0 long, w long, h long"), 16, 16, 3, 3).count() == 0
+    assert coverage.free_rectangles(np.zeros((3, 4), bool)) == [(0, 0, 3, 4)] and coverage.free_rectangles(np.ones((3, 4), bool)) == []

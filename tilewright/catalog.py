@@ -905,3 +905,158 @@ def slide_kinds(spark, sf_dir):
         (text.svs_date_time(F.col("description")) == F.lit("2024-02-29 13:05:09").cast("timestamp")).eqNullSafe(True).alias("dated"),
         F.when(layer >= 0, pyramid.image_of_layer(layer, F.lit(1))).cast("bigint").alias("image_of_layer"),
     )
+
+
+# Files whose bytes are put together here, not by the writer.
+
+
+def _folder_of(made: DataFrame, label: str) -> str:
+    """A folder with the files of rows (name, content)."""
+    from .plans.lineage import shared_folder
+    from .sources import tiff_layout
+
+    folder = tempfile.mkdtemp(prefix=f"{label}-", dir=shared_folder(made.sparkSession))
+    zero = F.lit(0).cast("bigint")
+    tiff_layout.save(made.select(F.col("name").alias("path"), zero.alias("start"), zero.alias("at"), F.col("content").alias("data"), F.lit(False).alias("last")), folder)
+    return folder
+
+
+def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small file for every part: path, content. Main directory, a sub-directory and an EXIF one; every second is BigTIFF, every third big-endian."""
+    import pyarrow as pa
+
+    from .shipping import ship
+    from .sources import tiff_format as fmt
+
+    ship(spark)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for key, size, name in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                order, big = "<>"[key % 3 == 0], key % 2 == 0
+                data = bytearray(fmt.file_header(order, big, 16))
+                data += bytes(16 - len(data)) if len(data) < 16 else b""
+                shape = {256: (4, size), 257: (3, 7), 258: (3, 8), 259: (3, 1), 262: (3, 1), 277: (3, 1)}
+                places = {k: 0 for k in (330, 34665)}
+                main = {**shape, 270: (2, name), 330: (13, 0), 34665: (4, 0)}
+                first = len(data) + len(fmt.pack_directory(order, big, len(data), main))
+                places[330] = first + first % 2
+                sub = fmt.pack_directory(order, big, places[330], {**shape, 256: (4, size * 2), 305: (2, "sub")})
+                second = places[330] + len(sub)
+                places[34665] = second + second % 2
+                exif = fmt.pack_directory(order, big, places[34665], {33434: (5, (key, 1000)), 34855: (3, [key % 100, 5])})
+                data += fmt.pack_directory(order, big, len(data), main | {330: (13, places[330]), 34665: (4, places[34665])})
+                data += bytes(places[330] - len(data)) + sub
+                data += bytes(places[34665] - len(data)) + exif
+                out.append((f"part-{key}", bytes(data)))
+            p, c = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(c, pa.binary())], ["path", "content"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint"), "p_name").mapInArrow(run, "path string, content binary")
+
+
+@query("""
+    SELECT p_partkey, 0 AS global_index, 'main' AS kind, CAST(p_size AS BIGINT) AS width, p_name AS description, 9 AS entries FROM part
+    UNION ALL SELECT p_partkey, 1, 'sub', CAST(p_size AS BIGINT) * 2, NULL, 7 FROM part
+    UNION ALL SELECT p_partkey, 2, 'exif', NULL, NULL, 2 FROM part
+""")
+def tiff_linked_directories(spark, sf_dir):
+    """Main, sub- and EXIF directories of files in both byte orders and offset sizes."""
+    from .sources import tiff
+
+    ifds = tiff.from_binary(_part_files(spark, sf_dir), "ifds", linked=("sub", "exif"))
+    key = F.regexp_extract("path", "part-([0-9]+)", 1).cast("bigint")
+    return ifds.select(key.alias("p_partkey"), "global_index", "kind", "width", "description", "entries")
+
+
+@query("SELECT p_partkey, CAST(p_partkey AS DOUBLE) / 1000 AS exposure, p_partkey % 100 AS speed FROM part")
+def tiff_exif_values(spark, sf_dir):
+    """Typed values of an EXIF directory: a rational and the first of two numbers."""
+    from .operators import tagged
+    from .sources import tiff
+
+    entries = tiff.from_binary(_part_files(spark, sf_dir), "entries", linked=("exif",)).where("global_index = 1")
+    wide = tagged.columns(entries, exposure="ExposureTime", speed="ISOSpeedRatings")
+    key = F.regexp_extract("path", "part-([0-9]+)", 1).cast("bigint")
+    return wide.select(key.alias("p_partkey"), tagged.ratio(F.col("exposure")).alias("exposure"), tagged.number(F.col("speed")).alias("speed"))
+
+
+@query("""
+    SELECT p_partkey, p_partkey % 5 NOT IN (1, 2) AS is_tiff, p_partkey % 5 IN (0, 4) AS is_valid,
+        CASE WHEN p_partkey % 5 IN (0, 4) THEN 1 END AS images, CASE WHEN p_partkey % 5 = 4 THEN 16 END AS loop_offset, p_partkey % 5 NOT IN (0, 4) AS failed FROM part
+""")
+def tiff_damaged_files(spark, sf_dir):
+    """What a scan that tolerates damage says of whole files, text, stubs, chains that leave the file, and chains that return."""
+    import pyarrow as pa
+
+    from .sources import tiff
+    from .sources import tiff_format as fmt
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data, kind = bytearray(content), int(path.removeprefix("part-")) % 5
+                h = fmt.header(data)
+                if kind == 1:
+                    data = bytearray(b"some text, " * 9)
+                elif kind == 2:
+                    data = data[:5]
+                elif kind in (3, 4):
+                    at = fmt.next_offset_at(data, h, h.first)
+                    to = len(data) + 1000 if kind == 3 else h.first
+                    data[at : at + (8 if h.big else 4)] = to.to_bytes(8 if h.big else 4, "little" if h.order == "<" else "big")
+                out.append(bytes(data))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
+
+    damaged = _part_files(spark, sf_dir).mapInArrow(run, "path string, content binary")
+    files = tiff.from_binary(damaged, "files", permissive=True)
+    key = F.regexp_extract("path", "part-([0-9]+)", 1).cast("bigint")
+    return files.select(key.alias("p_partkey"), "is_tiff", "is_valid", "images", F.col("loop_offset").cast("int").alias("loop_offset"), F.col("error").isNotNull().alias("failed"))
+
+
+@query(PX + ", b AS (SELECT y, x, u, list_value(2, 4, 6, 7)[CAST(y // 100 % 4 + 1 AS INTEGER)] AS bits FROM px) SELECT y, x, u % CAST(pow(2, bits) AS BIGINT) AS u, u % CAST(pow(2, bits) AS BIGINT) * (255 // (CAST(pow(2, bits) AS BIGINT) - 1)) AS shown FROM b")
+def tiff_odd_depths(spark, sf_dir):
+    """Packed samples of 2, 4, 6 and 7 bits, a file a hundred rows, as they are and spread over a byte."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .shipping import ship
+    from .sources import tiff
+    from .sources import tiff_format as fmt
+
+    ship(spark)
+
+    def build(key, t):
+        number = key[0].as_py()
+        bits = (2, 4, 6, 7)[number % 4]
+        y, x, u = (t.column(n).to_numpy() for n in ("y", "x", "u"))
+        a = np.zeros((int(y.max()) - number * 100 + 1, 64), np.int64)
+        a[y - number * 100, x] = u % (1 << bits)
+        raw = np.packbits((a[:, :, None] >> np.arange(bits - 1, -1, -1) & 1).reshape(len(a), -1).astype(np.uint8), axis=1).tobytes()
+        order = "<>"[number % 2]
+        at = 8 + len(raw) + len(raw) % 2
+        tags_ = {256: (4, 64), 257: (4, len(a)), 258: (3, bits), 259: (3, 1), 262: (3, 1), 273: (4, 8), 277: (3, 1), 278: (4, len(a)), 279: (4, len(raw))}
+        content = fmt.file_header(order, False, at) + raw.ljust(at - 8, b"\0") + fmt.pack_directory(order, False, at, tags_)
+        return pa.table({"name": [f"{number}.tif"], "content": pa.array([content], pa.binary())})
+
+    files = pixels(spark, sf_dir).withColumn("file", F.expr("y div 100")).groupBy("file").applyInArrow(build, "name string, content binary")
+    tiles = tiff.scan(spark, _folder_of(files, "depths"), "tiles")
+    number = F.regexp_extract("path", "([0-9]+)[.]tif$", 1).cast("bigint")
+    plain, shown = (tiff.pixels(tiles, rescale=r).select((number * 100 + F.col("y")).alias("y"), "x", F.col("v").cast("bigint").alias(n)) for r, n in ((False, "u"), (True, "shown")))
+    return plain.join(shown, ["y", "x"])
+
+
+@query("""
+    WITH r AS (SELECT o_orderkey * 7919 % 2003 - 2 AS x0, o_custkey * 104729 % 1503 - 2 AS y0, o_custkey % 7 AS w, o_orderkey % 5 AS h FROM orders),
+    cell AS (SELECT DISTINCT x0 + a.range AS x, y0 + b.range AS y FROM r, range(7) a, range(5) b WHERE a.range < w AND b.range < h)
+    SELECT y // 8 AS ty, x // 16 AS tx, 128 - count(*) AS unset_area FROM cell WHERE x >= 0 AND x < 2000 AND y >= 0 AND y < 1504 GROUP BY 1, 2 HAVING count(*) < 128
+""")
+def unset_rectangles(spark, sf_dir):
+    """What small rectangles leave of the tiles that they meet; the areas of the rectangles that remain add up."""
+    from .operators import coverage
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    r = table(spark, sf_dir, "orders").select((k * 7919 % 2003 - 2).alias("x0"), (c * 104729 % 1503 - 2).alias("y0"), (c % 7).alias("w"), (k % 5).alias("h"))
+    return coverage.unset_rectangles(r, 16, 8, 125, 188).groupBy("ty", "tx").agg(F.sum(F.col("w") * F.col("h")).alias("unset_area"))
