@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import connected_components  # noqa: F401  an operator over rasters too
+
 
 def div_floor(a: Column, b: int) -> Column:
     """Floor division, also of negative numbers."""
