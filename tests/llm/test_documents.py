@@ -768,3 +768,18 @@ def test_ngram_join_of_odd_rows(spark):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     other = docs(spark, [(1, "a text of six plain words", "a"), (1, "something else that stays too", "a"), (2, "a text of six plain words", "a")])
     assert sorted(r.text[:4] for r in ngram_join.keep_one(other).collect()) == ["a te", "some"]
+
+
+@pytest.mark.parametrize("shared", [None, 7])
+def test_near_copies_without_ids_of_their_own(spark, shared):
+    """Rows that share an id, or have none, meet by their texts: as many rows as texts, not their square."""
+    import time
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(shared, " ".join([*words, f"tail{i}"])) for i in range(1200)] + [(shared, " ".join(words) + " tail0")] * 50 + [(shared, "another text altogether of seven words"), (shared, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = ngram_join.near_duplicates(df).collect()
+    assert len(got) == len(rows) and time.time() - began < 90
+    assert sorted(r.n_links for r in got) == [0, 0] + [1199] * 1250
+    assert all(r.doc_id == shared and r.class_id == shared for r in got) and max(r.n_copies for r in got) == 51

@@ -157,7 +157,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "ngram")
     bands, rows = choose_bands(threshold, recall)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    # ids may be shared or null: a row is found again by its id and the hash of its text
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("x"))
 
     def sign(batches):
         multipliers = np.random.default_rng(3).integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,10 +176,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     h1.append(None)
                     h2.append(None)
                     sigs.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), b.column(2)], ["id", "h1", "h2", "bands", "x"])
 
-    signed = scratch.save(texts.mapInArrow(sign, f"id {kind}, h1 bigint, h2 bigint, bands array<bigint>"))
-    copies = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    signed = scratch.save(texts.mapInArrow(sign, f"id {kind}, h1 bigint, h2 bigint, bands array<bigint>, x bigint"))
+    smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "x"))
+    copies = signed.where("h1 is not null").groupBy("h1", "h2").agg(smallest.alias("least"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    copies = copies.select("h1", "h2", F.col("least.id").alias("first"), F.col("least.x").alias("x"), "n_copies", "bands")
     reps = scratch.save(copies.withColumn("t", F.monotonically_increasing_id()))
 
     # ties: each text of a bucket to the bucket's smallest
@@ -188,10 +192,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # pairs of blocks
     sized = groups.groupBy("root").agg(F.count("*").alias("m"))
-    members = groups.join(sized, "root").join(reps.select(F.col("t").alias("v"), "first", "h1", "h2"), "v")
-    members = members.select("v", "root", "first", "h1", "h2", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    members = groups.join(sized, "root").join(reps.select(F.col("t").alias("v"), "first", F.col("x").alias("hash"), "h1", "h2"), "v")
+    members = members.select("v", "root", "first", "hash", "h1", "h2", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    with_text = texts.join(members.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("first"))).select("v", "root", "block", "blocks", "h1", "h2", "text")
+    with_text = texts.join(members.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("first")) & (F.col("x") == F.col("hash"))).select("v", "root", "block", "blocks", "h1", "h2", "text")
     placed = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "v", "block", "h1", "h2", "text")
 
@@ -203,7 +207,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 w = word_hashes(t)
                 d = xxhash.xxh3_128_intdigest(w.tobytes())
                 if v in seen or (d >> 64) != h1 % (1 << 64) or d & (1 << 64) - 1 != h2 % (1 << 64):
-                    continue  # another row with the same id
+                    continue  # an equal row, or another text of the same id and hash
                 seen.add(v)
                 ids.append(v)
                 block.append(k)
