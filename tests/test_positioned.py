@@ -195,3 +195,21 @@ def test_suppliers(spark, tmp_path):
         assert len(got) == 400 and all(v == want[y // 16 * 2 + x // 16] for (y, x), v in got.items())
     with pytest.raises(ValueError):
         supplier.supplied(tiles, some, "sometimes")
+
+
+def test_customised_copies_and_updates(spark, tmp_path):
+    a, b = str(tmp_path / "a.tif"), str(tmp_path / "b.tif")
+    array = np.random.default_rng(6).integers(0, 255, (20, 30, 1)).astype(np.uint8)
+    image(a, tiff_sink.Options(tags={270: (2, "old"), 305: (2, "soft")}), array)
+
+    def other(i, tags):
+        return {t: v for t, v in tags.items() if t != 305} | {270: (2, f"copy {i}"), 256: (4, 5)}
+
+    for options in ({}, {"crop": (2, 3, 10, 10)}):
+        tiff_sink.copy_images(a, b, [0, 0], customise=other, **options)
+        found = fmt.directories(open(b, "rb").read())
+        assert [(d.get(270), d.get(305), d.get(256)) for d in found] == [(f"copy {i}", None, 10 if options else 30) for i in range(2)]
+        assert (load(b, 1) == (array[3:13, 2:12] if options else array)).all()
+    assert tiff_sink.update_ifd(b, 1, lambda tags: {270: (2, tags[270][1] + "!"), 266: None}) == "CHANGED"
+    assert fmt.directories(open(b, "rb").read())[1].get(270) == "copy 1!"
+    assert tiff_sink.update_ifd(b, 0, lambda tags: {}) == "UNCHANGED"

@@ -1060,3 +1060,17 @@ def unset_rectangles(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     r = table(spark, sf_dir, "orders").select((k * 7919 % 2003 - 2).alias("x0"), (c * 104729 % 1503 - 2).alias("y0"), (c % 7).alias("w"), (k % 5).alias("h"))
     return coverage.unset_rectangles(r, 16, 8, 125, 188).groupBy("ty", "tx").agg(F.sum(F.col("w") * F.col("h")).alias("unset_area"))
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN '{"exists":true,"main":' || CASE WHEN p_partkey % 4 = 1 THEN 'false' ELSE 'true' END || ',"application":"Aperio Image","summary":"' || trim(p_name) || '","attributes":{'
+        || CASE WHEN p_partkey % 4 = 1 THEN '' ELSE '"MPP":"' || p_partkey || '.25",' END || '"Brand":"' || p_brand || '"},"raw":["Aperio Image","' || p_name || CASE WHEN p_partkey % 4 = 1 THEN '' ELSE '|MPP = ' || p_partkey || '.25' END || '|Brand = ' || p_brand || '"]'
+        || CASE WHEN p_partkey % 4 = 1 THEN '' ELSE ',"pixelSize":' || p_partkey || '.25' END || '}' END AS json
+    FROM part
+""")
+def svs_json(spark, sf_dir):
+    """Descriptions as JSON; a quarter have no pixel size, a quarter are other texts."""
+    kind = F.col("p_partkey") % 4
+    size = F.when(kind == 1, "").otherwise(F.concat(F.lit("|MPP = "), F.col("p_partkey").cast("string"), F.lit(".25")))
+    said = F.concat(F.when(kind > 0, "Aperio Image\n").otherwise("Another image\n"), F.col("p_name"), size, F.lit("|Brand = "), F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.svs_json(said).alias("json"))

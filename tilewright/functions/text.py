@@ -62,6 +62,18 @@ def svs_compression_name(compression: Column, photometric: Column) -> Column:
     return F.when(compression.isin(33003, 33004, 33005, 34712), "J2K").when(compression == 7, jpeg)
 
 
+def svs_json(text: Column) -> Column:
+    """A slide's description as JSON: exists, main, application, summary, attributes, raw (its lines) and pixelSize; null for other texts."""
+    lines = F.split(newlines(text), "\n")
+    attributes = svs_attributes(text)
+    has = lambda key: F.exists(attributes, lambda p: p["key"] == key)
+    parts = F.struct(
+        F.lit(True).alias("exists"), (has("AppMag") | has("MPP")).alias("main"), F.trim(F.get(lines, F.lit(0))).alias("application"), svs_summary(text).alias("summary"),
+        F.map_from_entries(attributes).alias("attributes"), F.transform(lines, lambda line: F.trim(line)).alias("raw"), svs_number(text, "MPP").alias("pixelSize"),
+    )
+    return F.when(is_svs(text), F.to_json(parts))
+
+
 def svs_text(summary: Column, attributes: list[tuple[str, Column]]) -> Column:
     """A description: the summary, then "|key = value" for each attribute."""
     return F.concat(F.lit(SVS_PREFIX + "\n"), summary, *[F.concat(F.lit(f"|{k} = "), v.cast("string")) for k, v in attributes])

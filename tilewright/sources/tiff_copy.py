@@ -9,6 +9,7 @@ grid into blocks, and blocks meet at their new tile.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from . import tiff_format as fmt
 from .tiff_layout import INDEX as INDEX_ROWS
 from .tiff_layout import Sheet, encoded, paint_blocks, pieces, save, stored_bodies
 
+#: Tags that must fit the stored samples: sizes, depths, compression, layout, places.
+STORED = {256, 257, 258, 259, 262, 266, 273, 277, 278, 279, 284, 292, 293, 317, 322, 323, 324, 325, 339, 347, *range(512, 522), 530}
 INDEX = ("TileOffsets", "StripOffsets", "TileByteCounts", "StripByteCounts")
 BLOCKS = "path string, image int, k bigint, width bigint, height bigint, channels int, y bigint, x bigint, h int, w int, raw binary"
 JPEG_CODES = (6, 7, 34892)
@@ -99,12 +102,13 @@ def blocks(tiles: DataFrame, sheets: dict[int, Sheet], at: dict[int, tuple[int,
     return tiles.mapInArrow(run, BLOCKS)
 
 
-def copy_images(source: str, target: str, images: list[int] | None = None, *, crop: tuple[int, int, int, int] | None = None, compression: int | None = None, append: bool = False, filler: float = 0, spark: SparkSession | None = None) -> int:
+def copy_images(source: str, target: str, images: list[int] | None = None, *, crop: tuple[int, int, int, int] | None = None, compression: int | None = None, append: bool = False, filler: float = 0, customise: Callable[[int, dict], dict] | None = None, spark: SparkSession | None = None) -> int:
     """Copy main images, whole or a rectangle (x, y, w, h), to `target`; returns how many.
 
     Without crop or another compression the encoded bytes are copied; tiles that
     share their bytes share them in the copy. Offsets of linked directories are
-    dropped. With append the images follow those that `target` has.
+    dropped. With append the images follow those that `target` has. `customise(i, tags)` gives the tags, {tag: (type,
+    value)}, of the i-th copy from those it would have; what says how and where samples are stored stays as it is.
     """
     if os.path.abspath(source) == os.path.abspath(target):
         raise ValueError("source and target are one file; use compact")
@@ -124,6 +128,13 @@ def copy_images(source: str, target: str, images: list[int] | None = None, *, cr
     pairs = spark.createDataFrame(list(enumerate(chosen)), "image int, global_index int")
     tiles = stored.join(F.broadcast(pairs), "global_index")
     size = [F.col("width"), F.col("height"), F.col("channels")]
+
+    def changed_by_caller(image: int, found: dict) -> dict:
+        if customise is None:
+            return found
+        fixed = {t: v for t, v in found.items() if t in STORED}
+        return {t: v for t, v in customise(image, dict(found)).items() if t not in STORED} | fixed
+
     if crop is None and compression is None:
         there = tiles.where("byte_count > 0")
         firsts = there.groupBy("image", "offset", "byte_count").agg(F.min("k").alias("body"), F.first("path").alias("source"))
@@ -133,7 +144,7 @@ def copy_images(source: str, target: str, images: list[int] | None = None, *, cr
         def entries(image, width, height, channels, places, add, order, big):
             g, last = shapes[chosen[image]], shapes[chosen[image]].grid
             listed = [places.get(k, (0, 0)) for k in range(last[0] * last[1] * g.planes)]
-            return own_tags(mains[chosen[image]]) | index_tags(g.tiled, big, [a for a, _ in listed], [b for _, b in listed])
+            return changed_by_caller(image, own_tags(mains[chosen[image]]) | index_tags(g.tiled, big, [a for a, _ in listed], [b for _, b in listed]))
 
         out, _ = pieces(stored_bodies(bodies), entries, order=h.order, big=h.big, append=append, index=index)
     else:
@@ -160,7 +171,7 @@ def copy_images(source: str, target: str, images: list[int] | None = None, *, cr
                     changed |= {262: (3, 6), 530: (3, [1, 1])}
             if s.compression not in (3, 4):
                 kept = {t: v for t, v in kept.items() if t not in (292, 293)}
-            return kept | changed | index_tags(g.tiled, big, *s.listed(places, add))
+            return changed_by_caller(image, kept | changed | index_tags(g.tiled, big, *s.listed(places, add)))
 
         # an image that no stored tile meets still has a directory
         index = spark.createDataFrame([(target, i, None, None, s.width, s.height, s.channels) for i, s in sheets.items()], INDEX_ROWS)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import mmap
 import os
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -226,12 +227,16 @@ def relink(path: str, main_index: int, new_offset: int) -> None:
     _patch(path, at, struct.pack(h.order + ("Q" if h.big else "I"), new_offset))
 
 
-def update_ifd(path: str, main_index: int, changes: dict[int, tuple[int, object] | None]) -> str:
-    """Put (type, value) or remove (None) tags: UNCHANGED, OVERWRITE_IN_PLACE, or CHANGED (written anew at the end)."""
+def update_ifd(path: str, main_index: int, changes: dict[int, tuple[int, object] | None] | Callable[[dict], dict]) -> str:
+    """Put (type, value) or remove (None) tags: UNCHANGED, OVERWRITE_IN_PLACE, or CHANGED (written anew at the end).
+
+    A function in place of the changes gets all tags, {tag: (type, value)}, and returns the changes.
+    """
     data = _load(path)
     h = fmt.header(data)
     d = fmt.directory(data, h, fmt.chain(data, h)[0][main_index])
     old = _entries(d)
+    changes = changes(dict(old)) if callable(changes) else changes
     new = {t: v for t, v in (old | changes).items() if v is not None}
     if new == old:
         return "UNCHANGED"
