@@ -231,42 +231,8 @@ def test_lines_beyond_three_edits_that_are_no_heads(spark):
     assert {r.doc_id for r in line_dedup.report(docs(spark, rows)).where("n_removed > 0").collect()} == expect
 
 
-def test_least_edits_of_windows(spark):
-    """Never more than the edit distance, where that is within the limit; most pairs of twice the limit are told apart by it."""
-    from pyspark.sql import functions as F
-
-    rnd = random.Random(71)
-    word = lambda: "".join(rnd.choice("etnaiorshulé€漢") for _ in range(rnd.randint(2, 9)))
-    rows = []
-    for i in range(240):
-        x = " ".join(word() for _ in range(rnd.choice([4, 12, 30, 90, 130])))
-        y = changed(rnd, x, rnd.randint(0, max(1, len(x) // 8)))
-        if i % 3 == 0:  # edits at one place, so that the rest is shifted
-            at, n = rnd.randint(0, len(x)), min(len(x) // 20, 30)
-            y = x[:at] + "zq-" * (n // 3) + x[at:] if i % 2 else x[:at] + x[at + n :]
-        most = min(max(len(x), len(y)) // 20, line_dedup.MOST)
-        if abs(len(x) - len(y)) <= most:
-            rows.append((i, x, y, most))
-    lines = spark.createDataFrame([(2 * i + s, v) for i, x, y, _ in rows for s, v in ((0, x), (1, y))], "t long, line string")
-    words = line_dedup.planes(lines)
-    assert {r.t: len(r.words) for r in words.collect()} == {r.t: (len(r.line) - 1) // 64 + 1 for r in lines.collect()}
-    side = lambda s, w: words.where(F.col("t") % 2 == s).select(F.expr("t div 2").alias("id"), F.col("words").alias(w))
-    pairs = spark.createDataFrame([(i, most, len(x), len(y)) for i, x, y, most in rows], "id long, limit int, lx int, ly int").join(side(0, "x"), "id").join(side(1, "y"), "id")
-    least = {r.id: r.least for r in line_dedup.least_edits(pairs).collect()}
-    assert set(least) == {i for i, x, y, _ in rows if min(len(x), len(y)) >= line_dedup.WINDOW}
-    far = []
-    for i, x, y, most in rows:
-        if i in least:
-            d = edits(x, y)
-            assert d > most or least[i] <= d
-            far += [least[i] > most] * (d > 2 * most)
-    assert len(far) > 20 and sum(far) >= 0.9 * len(far)
-
-
-@pytest.mark.parametrize("pairs", [0, line_dedup.PAIRS])
-def test_windows_change_no_class(spark, monkeypatch, pairs):
-    """Variants of texts by words, in rows of blocks that compare windows, and in rows that do not."""
-    monkeypatch.setattr(line_dedup, "PAIRS", pairs)
+def test_variants_by_words(spark):
+    """Variants of texts by words, that share a beginning too."""
     rnd = random.Random(72)
     word = lambda: "".join(rnd.choice("etnaiorshulé") for _ in range(rnd.randint(2, 7)))
     rows, begin = [], "all of these lines begin with the same words, which are a key of theirs, "
