@@ -583,6 +583,52 @@ def test_html_beyond_the_depth():
     assert x("<div>" * 100000 + "deep" + "</div>" * 100000) == "deep"
 
 
+def test_html_layout_has_no_depth():
+    x = html_text.extract
+    for n in (10, 399, 420, 5000):
+        deep = "<div>" * n
+        assert x(deep + "<table><tr><td>a<td>b<tr><td>c<td>d</table>") == "a  b\nc  d", n
+        assert x(deep + "<ul><li>x<li>y<ol><li>z</ol></ul>") == "- x\n- y\n  1. z", n
+    nested = x("<ul><li>x" * 3000)
+    assert nested.split() == ["-", "x"] * 3000 and max(map(len, nested.split("\n"))) <= html_text.MAX_INDENT + 3
+    tables = x("<table><tr><td>a<td>b" * 1500)
+    assert sorted(tables.split()) == ["a"] * 1500 + ["b"] * 1500
+    wide = x("<table><tr><td>" + "w" * 50_000 + "<td>x" + "<tr><td>a<td>b" * 200 + "</table>").split("\n")
+    assert wide[0] == "w" * 50_000 + "  x" and wide[1:] == ["a  b"] * 200
+
+
+def test_html_style_sheets():
+    x = html_text.extract
+    page = lambda css, body="<p class='h k' id=i>one</p><p>two</p>": x(f"<head><style>{css}</style></head><body>{body}")
+    for css in (".h{display:none}", "p.h{display:none}", "#i{display : NONE}", "p.h.k#i{visibility:hidden}", "*.h{display:none}", "b,.h{color:red;display:none}", ".h{display:none!important}p.h{display:block}", "/* .h{} */ @media screen{.h{display:none}}", "@import 'x.css';@layer a{.h{display:none}}", ".h{display:none;&.x{color:red}}", "x{content:'}'}.h{display:none}", "#i{display:none}p.h.k{display:block}", ".h{visibility:collapse}", "@media print{p{display:block}} .h{display:none}"):
+        assert page(css) == "two", css
+    for css in (".x{display:none}", "div.h{display:none}", ".H{display:none}", "@media print{.h{display:none}}", "@media (max-width:9px){.h{display:none}}", ".h{display:none}p.h{display:block}", ".h:hover{display:none}", ".q .h{display:none}", ".h{x-display:none}", "/*.h{display:none}*/", ".h{display:none}.h{display:block}", "p{margin:0}", "@supports (a:b){.h{display:none}}", ".h{color:red;.z{display:none}}"):
+        assert page(css) == "one\n\ntwo", css
+    assert page(".h{display:none}", "<p class=h style='display:block'>one</p>") == "one"
+    assert page(".h{display:none!important}", "<p class=h style='display:block'>one</p>two") == "two"
+    assert page("[hidden]{}p{display:block}", "<p hidden>one</p>") == "one" and page("tr{display:none}", "<table><td>one</table>two") == "two"
+    assert x("<p class=h>one</p>two<style>.h{display:none}</style>") == "two", "a sheet after what it hides"
+    assert x("<style media=print>p{display:none}</style><template><style>p{display:none}</style></template><script>'<style>p{display:none}</style>'</script><!--<style>p{display:none}</style>--><p>one") == "one"
+
+
+def test_html_visibility():
+    x = html_text.extract
+    assert x("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no<img alt=no><input value=no></div>") == "yes"
+    assert x("<div style='visibility:hidden'><p>no<p style='visibility:visible'>a<p>no<div style='display:none'><b style='visibility:visible'>no</b></div></div>b") == "a\n\nb"
+    assert x("<ol><li>a<li style='visibility:hidden'>no<li style='display:none'>no<li>c</ol>") == "1. a\n3. c"
+    assert x("<table><tr><td>a<td style='visibility:hidden'>long<td>c<tr><td>d<td>e<td>f</table>") == "a     c\nd  e  f"
+    assert x("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+    assert x("<details>no<summary>S</summary>no<p>no<summary>no</summary></details><details open>b<summary>T</summary>c</details>").split() == ["S", "b", "T", "c"]
+
+
+def test_html_numbers_and_fields():
+    x = html_text.extract
+    assert x("<ol><li>a<li value=5>b<li>c<li value=x>d</ol>") == "1. a\n5. b\n6. c\n7. d"
+    assert x("<ol reversed><li>a<li>b<li>c</ol>") == "3. a\n2. b\n1. c" and x("<ol reversed start=9><li>a<li>b</ol>") == "9. a\n8. b"
+    assert x("<ol title=' reversed start=4 '><li>a</ol>") == "1. a"
+    assert x("a<input type=submit value=Go>b<input type=hidden value=no><input type=password value=no><input type=checkbox value=no><input value='x &amp; y'><input type=image alt=pic>") == "a Go b x & y pic"
+
+
 def test_html_spans():
     x = html_text.extract
     assert x("<table><tr><td colspan=2>Wide<td>C<tr><td>a<td>b<td>c</table>") == "Wide  C\na  b  c"
@@ -605,7 +651,7 @@ def test_html_tokens_agree_with_a_pattern():
         assert got == [(m.start(), m.end(), (m["name"] or "").lower()) for m in pattern.finditer(page)], page
 
 
-@pytest.mark.parametrize("piece", ["<a ", "<aaaa", '<a "', "<a '\"", "<", "</", "<!", "<!--", "<p>", "<p><object><i>", "<h1></h1>", "<b>x</b>", "<td>", "<table>", "<li>", "<ul><li>", "&", "<script>", "</script ", "<textarea></textarea ", "<i a='>", "<div hidden>", '<a b="c" ', "<td colspan=1000>x", "<tr><td rowspan=9999>x<td>y", "<button><p>"])
+@pytest.mark.parametrize("piece", ["<a ", "<aaaa", '<a "', "<a '\"", "<", "</", "<!", "<!--", "<p>", "<p><object><i>", "<h1></h1>", "<b>x</b>", "<td>", "<table>", "<li>", "<ul><li>", "<ul><li>x", "<table><tr><td>a<td>b", "<style>.a{display:none}</style><p class=a>", "<details>", "&", "<script>", "</script ", "<textarea></textarea ", "<i a='>", "<div hidden>", '<a b="c" ', "<td colspan=1000>x", "<tr><td rowspan=9999>x<td>y", "<button><p>"])
 def test_html_of_a_megabyte(piece):
     import time
 
