@@ -215,3 +215,32 @@ def test_log_luminance_tile():
     t = dict.fromkeys(names, 0) | dict(compression=34676, photometric=32844, w=2, h=1, width=2, height=1, tile_w=2, tile_h=1, planar=False, bits=[16], byte_order="II")
     ((_, _, _, s),) = list(tiff.decode_rows(t, data))
     assert np.allclose(s, 1.0, rtol=0.005)
+
+
+def test_many_small_files_share_a_batch():
+    import pyarrow as pa
+
+    data = fmt.file_header("<", False, 8) + fmt.pack_directory("<", False, 8, {256: (4, 7), 257: (4, 5), 270: (2, "said")})
+    arrow = pa.schema([("path", pa.string()), ("length", pa.int64()), ("is_tiff", pa.bool_()), ("is_valid", pa.bool_()), ("is_big", pa.bool_()), ("byte_order", pa.string()), ("first_ifd_offset", pa.int64()), ("images", pa.int32()), ("loop_offset", pa.int64()), ("error", pa.string())])
+    given = [pa.RecordBatch.from_arrays([pa.array([f"{i}-{j}" for j in range(300)]), pa.array([data] * 300)], ["path", "content"]) for i in range(10)]
+    out = list(tiff.file_batches(given, "files", arrow))
+    assert [r for b in out for r in b.column(0).to_pylist()] == [f"{i}-{j}" for i in range(10) for j in range(300)]
+    assert len(out) == 3 and {tuple(r.values())[1:4] for b in out for r in b.to_pylist()} == {(len(data), True, True)}
+    assert list(tiff.file_batches([], "files", arrow)) == []
+
+
+def test_parts_are_made_into_files_by_many_tasks(spark):
+    from tilewright import catalog
+
+    files = catalog._part_files(spark, "/root/testdata/sf0.001")
+    assert files.rdd.getNumPartitions() >= 64
+
+
+def test_tiles_of_one_file_are_several_tasks(spark, tmp_path):
+    px = spark.range(256 * 512).selectExpr(f"'{tmp_path}/a.tif' as path", "0 as image", "0 as c", "id div 512 as y", "id % 512 as x", "cast(id * 7 % 251 as double) as v")
+    tiff_sink.write(px, tiff_sink.Options(tile_w=16, tile_h=16)).collect()
+    tiles = tiff.scan(spark, str(tmp_path / "a.tif"), "tiles")
+    assert tiles.rdd.getNumPartitions() == 2  # at least 64 KB each
+    assert sorted(r.k for r in tiles.select("k").collect()) == list(range(16 * 32))
+    assert tiff.scan(spark, str(tmp_path / "a.tif"), "tiles", tasks=1).rdd.getNumPartitions() == 1
+    assert tiff.pixels(tiles).where("v <> (y * 512 + x) * 7 % 251").count() == 0

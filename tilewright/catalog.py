@@ -953,7 +953,9 @@ def _part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             p, c = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(c, pa.binary())], ["path", "content"])
 
-    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint"), "p_name").mapInArrow(run, "path string, content binary")
+    # few bytes a part, much work: as many tasks as there are cores, however few splits the table has
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint"), "p_name").repartition(max(64, 4 * spark.sparkContext.defaultParallelism), "p_partkey")
+    return parts.mapInArrow(run, "path string, content binary")
 
 
 @query("""

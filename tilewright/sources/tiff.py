@@ -16,7 +16,8 @@ decoded with a tile a row, wherever the tile rows are.
 Filters on the place of tiles (global_index, k, plane, ty, tx) and on the path are pushed
 into the scan, which then reads the index entries of those tiles alone; so does the option
 region="x,y,w,h", a rectangle that each image turns into a range of its own tiles. Large
-files are several tasks, each with a range of tiles.
+files are several tasks, each with a range of tiles; so are smaller ones where there are
+fewer files than tasks wanted (option tasks; `scan` asks for three a core).
 
 mode=FAILFAST (default) raises on a damaged file, PERMISSIVE gives no rows for
 it (table files: a row with the error).
@@ -73,6 +74,10 @@ def _tagged(kind: int, value) -> tuple:
 Bounds = dict[str, tuple[int, int]]
 PRUNED = ("global_index", "k", "plane", "ty", "tx")
 NO_BOUND = (0, 1 << 62)
+#: Bytes of a file below which it is not cut for the sake of more tasks.
+LEAST_PART = 1 << 16
+#: Rows of an Arrow batch of small files' tables, and bytes of the files that it holds.
+FILE_ROWS, FILE_BYTES = 1024, 1 << 22
 #: Tiles in an Arrow batch, and its schema (workers have no session to derive it).
 TILE_ROWS = 8192
 KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
@@ -205,6 +210,7 @@ class TiffReader(DataSourceReader):
         self.linked = tuple(x for x in options.get("linked", "sub").split(",") if x)
         self.sparse = options.get("sparse", "false").lower() == "true"
         self.split = int(options.get("splitbytes", options.get("splitBytes", 1 << 30)))
+        self.tasks = int(options.get("tasks", 1))
         region = options.get("region")
         self.region = tuple(int(v) for v in region.split(",")) if region else None
         if self.region and len(self.region) != 4:
@@ -254,7 +260,8 @@ class TiffReader(DataSourceReader):
             return [OneFile(p) for p in found]
         out = []
         for p in found:
-            parts = max(1, -(-os.path.getsize(p) // self.split)) if os.path.exists(p) else 1
+            size = os.path.getsize(p) if os.path.exists(p) else 0
+            parts = max(1, -(-size // self.split), min(self.tasks // len(found), size // LEAST_PART))
             out += [OneFile(p, i, parts) for i in range(parts)]
         return out
 
@@ -292,6 +299,7 @@ def register(spark: SparkSession) -> None:
 def scan(spark: SparkSession, path: str, table: str = "files", **options) -> DataFrame:
     """A table of the files at `path` (a file, a folder or a pattern)."""
     register(spark)
+    options = {"tasks": 3 * spark.sparkContext.defaultParallelism} | options
     return spark.read.format("tiff").options(table=table, **options).load(path)
 
 
@@ -306,15 +314,34 @@ def from_binary(files: DataFrame, table: str = "files", **options) -> DataFrame:
     ship(files.sparkSession)
 
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                found = list(rows(table, b.column(0)[i].as_py(), b.column(1)[i].as_py(), **options))
-                columns = list(zip(*found, strict=True)) if found else [[] for _ in arrow.names]
-                yield pa.RecordBatch.from_arrays([pa.array([_named(v, f.type) for v in c], f.type) for c, f in zip(columns, arrow, strict=True)], arrow.names)
+        yield from file_batches(batches, table, arrow, **options)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def file_batches(batches, table: str, arrow: pa.Schema, **options) -> Iterator[pa.RecordBatch]:
+    """The rows of a table for batches of (path, content): many small files in one batch, since a batch costs more than a small file."""
+
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array([_named(v, f.type) for v in c], f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], arrow.names)
+
+    found, size = [], 0
+    for b in batches:
+        for path, content in zip(b.column(0), b.column(1), strict=True):
+            data = content.as_py()
+            for r in rows(table, path.as_py(), data, **options):
+                found.append(r)
+                if len(found) >= FILE_ROWS:
+                    yield batch(found)
+                    found, size = [], 0
+            size += len(data)
+            if found and size >= FILE_BYTES:
+                yield batch(found)
+                found, size = [], 0
+    if found:
+        yield batch(found)
+
+
 def _named(v, t: pa.DataType):
     if pa.types.is_struct(t) and isinstance(v, tuple):
         return {f.name: _named(x, f.type) for f, x in zip(t, v, strict=True)}
