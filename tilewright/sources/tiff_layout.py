@@ -66,7 +66,7 @@ class Sheet:
 
     @property
     def columns(self) -> int:
-        return -(-self.width // self.tile_w)
+        return -(-self.width // self.tile_w) if self.width else 0
 
     @property
     def rows(self) -> int:
