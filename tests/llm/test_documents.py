@@ -795,3 +795,21 @@ def test_near_copies_without_ids_of_their_own(spark, shared):
     assert len(got) == len(rows) and time.time() - began < 90
     assert sorted(r.n_links for r in got) == [0, 0] + [1199] * 1250
     assert all(r.doc_id == shared and r.class_id == shared for r in got) and max(r.n_copies for r in got) == 51
+
+
+def test_line_sieve_keeps_all_wanted_lines_and_tables_go(spark):
+    from tilewright.llm import line_dedup
+    from tilewright.llm.common import Scratch
+
+    scratch = Scratch(spark, "sieve")
+    lines = spark.range(20_000).selectExpr("xxhash64(id) as h1", "id")
+    wanted = scratch.save(spark.range(0, 20_000, 100).selectExpr("xxhash64(id) as w1"))
+    left = {r.id for r in line_dedup.sieved(lines, wanted).collect()}
+    assert left >= set(range(0, 20_000, 100)) and len(left) < 4_000
+    none = scratch.save(wanted.where("false"))
+    assert line_dedup.sieved(lines, none).count() == 0
+    scratch.sweep()
+    keyed = spark.createDataFrame([(1, 5, 1, 9), (1, 6, 2, 9), (2, 5, 1, 9), (3, 7, 1, 9)], "key long, t long, n long, l int")
+    buckets = line_dedup.buckets_of(keyed, scratch)
+    assert sorted((r.key, r.t, r.head) for r in buckets.collect()) == [(1, 5, 6), (1, 6, 6)]
+    assert len(scratch.paths) == 1
