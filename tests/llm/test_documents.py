@@ -244,6 +244,64 @@ def test_variants_by_words(spark):
     assert {r.doc_id for r in line_dedup.report(docs(spark, rows)).where("n_removed > 0").collect()} == set(brute_lines(rows))
 
 
+def test_lines_with_an_edit_in_every_segment_of_four(spark):
+    """Near lines of 80 characters and more that share none of the keys of four segments: edits at even distances, all lengths of classes, against their edit distance."""
+    rnd = random.Random(81)
+    lengths = [80, 99, 100, 119, 120, 139, 150, 165, 199, 200, 239, 260, 299, 300, 340, 400, 439, 500, 539, 540, 600, 659, 660, 700, 819, 820, 1100, 1300]
+    rows, near = [], set()
+    for n, length in enumerate(lengths):
+        for how in range(3):
+            x = "".join(rnd.choice("etnaiorshul ") for _ in range(length - 1)) + "."
+            k = min(length // 20, line_dedup.MOST)
+            if how == 2:  # inserted on one side, deleted on the other: all moves that the limit allows
+                spots = [round((j + 1) * length / (k + 1)) for j in range(k)]
+                y = "".join(("#" + c if at in spots[: k // 2] else "" if at in spots[k // 2 :] else c) for at, c in enumerate(x))
+            else:
+                spots = [int((j + 0.5) * length / k) for j in range(k)] if how else [round((j + 1) * length / (k + 1)) for j in range(k)]
+                y = "".join("#" if at in spots else c for at, c in enumerate(x))
+            assert edits(x, y) <= min(max(len(x), len(y)) // 20, line_dedup.MOST)
+            i = 10 * n + 2 * how
+            rows += [(i, x, "a"), (i + 1, y, "a")]
+            near.add(i + 1)
+    texts = [t for _, t, _ in rows]
+    share_key = shared_keys(spark, texts)
+    assert sum(not share_key(i, i + 1) for i in range(0, len(texts), 2)) > 5
+    assert {r.doc_id for r in line_dedup.report(docs(spark, rows)).where("n_removed > 0").collect()} == near
+
+
+@pytest.mark.parametrize("few", [2, 16])
+def test_near_lines_in_wide_buckets(spark, monkeypatch, few):
+    """A bucket of many lines that are near in pairs alone, beyond the edits of four segments, pair by pair and block by block."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    rnd = random.Random(82)
+    rows, near = [], set()
+    for i in range(12):
+        x = "same beginning of " + "".join(rnd.choice("etnaiorshul ") for _ in range(181)) + "."
+        y = "".join("#" if at % 20 == 19 else c for at, c in enumerate(x))
+        rows += [(2 * i, x, "a"), (2 * i + 1, y, "a")]
+        near.add(2 * i + 1)
+    assert near == set(brute_lines(rows))
+    assert {r.doc_id for r in line_dedup.report(docs(spark, rows)).where("n_removed > 0").collect()} == near
+
+
+@pytest.mark.parametrize("share", [4, 6, 10, 20])
+def test_wide_classes_hold_a_segment_more_than_edits(share):
+    """Of every length: the segments fit into the shortest line that is near, and what is near lies in the same class or the next one."""
+    classes = line_dedup.wide_classes(share, 4)
+    reach = lambda n: min(n // share, line_dedup.MOST)
+    for (least, parts, width, step), after in zip(classes, [*classes[1:], None], strict=True):
+        assert parts * width <= least - reach(least) and 1 <= step <= width
+        assert parts > (reach(after[0] - 1) if after else line_dedup.MOST)
+        if after:
+            longest = max(n for n in range(least, 4 * after[0]) if n - reach(n) < after[0])
+            following = classes[classes.index(after) + 1][0] if after is not classes[-1] else after[0] * line_dedup.growth(share)
+            assert longest < following
+        for h in range(parts // 2 + 1):
+            places = line_dedup.offsets(h, step)
+            assert all(any(o + d in places for o in range(step)) for d in range(-h, h + 1))
+
+
 def test_tallies_differ_by_two_bits_an_edit(spark):
     from pyspark.sql import functions as F
 
