@@ -269,7 +269,7 @@ def test_lines_with_an_edit_in_every_segment_of_four(spark):
     assert {r.doc_id for r in line_dedup.report(docs(spark, rows)).where("n_removed > 0").collect()} == near
 
 
-@pytest.mark.parametrize("few", [2, 16])
+@pytest.mark.parametrize("few", [2, line_dedup.FEW])
 def test_near_lines_in_wide_buckets(spark, monkeypatch, few):
     """A bucket of many lines that are near in pairs alone, beyond the edits of four segments, pair by pair and block by block."""
     monkeypatch.setattr(line_dedup, "FEW", few)
