@@ -7,6 +7,7 @@ import pytest
 
 from tilewright.llm import graph, html_text, line_dedup, mixing, ngram_join, pii, quality, url_filter
 from tilewright.llm.common import Scratch
+from tilewright.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k string, t string, class_id int"
 
@@ -375,6 +376,60 @@ def test_lines_within_a_share_of_their_length(spark):
     assert len(near) > 60 and len(far) > 40 and not gone & far and len(gone & near) >= 0.98 * len(near) and gone <= near
 
 
+class Recorded(Scratch):
+    """A scratch that keeps the plans of what it saves."""
+
+    def __init__(self, spark):
+        super().__init__(spark, "recorded")
+        self.plans = []
+
+    def save(self, df):
+        self.plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return super().save(df)
+
+
+def test_long_lines_are_not_shuffled(spark):
+    """One row for each distinct line, whether frequent, of a class, at no id or at a repeated position; lines that occur once and have no class meet the sieve alone."""
+    rnd = random.Random(83)
+    once = ["".join(rnd.choice("etnaiorshul ") for _ in range(90)) + "." for _ in range(40)]
+    often, short, nowhere = "often " * 20, "short line", "of rows without an id " * 5
+    rows = [(i, f"{x}\n{often}\n{short}", "a") for i, x in enumerate(once)] + [(None, f"{nowhere}\n{once[0]}", "a")]
+    hashed, distinct = line_dedup.occurrences(docs(spark, rows), "doc_id", "text", line_dedup.SHARE, line_dedup.SEGMENTS)
+    scratch = Recorded(spark)
+    distinct = scratch.save(distinct)
+    t = {r.h1: r.t for r in distinct.select("h1", "t").collect()}
+    h1 = {r.line: r.h1 for r in hashed.select("line", "h1").distinct().collect()}
+    a, b = sorted(t[h1[x]] for x in once[1:3])
+    roots = spark.createDataFrame([(a, a), (b, a)], "t long, root long")
+    long = line_dedup.long_lines(distinct, hashed, roots, scratch, 76)
+    got = long.collect()
+    assert sorted(r.line for r in got) == sorted([*once, often]) and len({r.r for r in got}) == len(got)
+    assert {r.line: r.root for r in got if r.root is not None} == {once[1]: a, once[2]: a}
+    plan = next(p for c, p in scratch.plans if "line" in c).splitlines()
+    at = next(i for i, x in enumerate(plan) if "Union" in x)
+    depth = plan[at].index("Union")
+    second = next(i for i in range(at + 1, len(plan)) if plan[i][depth : depth + 3] == "+- ")
+    joins = [x for x in plan[second:] if "Join" in x]
+    assert joins and all("BroadcastHashJoin" in x for x in joins)
+
+
+def test_plans_of_block_comparison_are_small(spark):
+    """Tables that the comparison reads several times are not joined anew each time; the driver broadcasts some of them for each join."""
+    from pyspark.sql import functions as F
+
+    lines = ["the same beginning of these lines and " + w for w in ("one", "two", "three", "onze", "twos", "threes")]
+    scratch = Recorded(spark)
+    texts = spark.createDataFrame([(i, x, [7], len(x)) for i, x in enumerate(lines)], "t long, line string, keys array<long>, size int")
+    texts = scratch.save(texts.select("*", *[c.alias(f"c{i}") for i, c in enumerate(line_dedup.tallies(F.col("line")))]))
+    buckets = scratch.save(texts.select(F.lit(7).cast("long").alias("key"), "t", F.col("size").alias("l"), F.lit(0).cast("long").alias("head"), F.lit(6).cast("long").alias("m")))
+    roots = scratch.save(spark.createDataFrame([(0, 0)], "t long, root long"))
+    scratch.plans.clear()
+    edges = scratch.save(line_dedup.compare_blocks(buckets, texts, roots, scratch, 20, 3))
+    near = {(j, i) for i, x in enumerate(lines) for j, y in enumerate(lines[:i]) if edits(x, y) <= max(len(x), len(y)) // 20}
+    assert near and {(min(r.a, r.b), max(r.a, r.b)) for r in edges.collect()} <= near
+    assert max(p.count("FileScan") for _, p in scratch.plans) <= 12
+
+
 # n-gram join
 
 
